@@ -94,6 +94,23 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events")
 
 
+def review_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Review text rows from ``documents`` with None-like and blank values
+    injected by expression (the table itself has none)."""
+    d = table(spark, sf_dir, "documents")
+    k = F.col("doc_id")
+    text = (
+        F.when(k % 11 == 0, F.lit("nan")).when(k % 11 == 1, F.lit("   "))
+        .when(k % 11 == 2, F.lit("[]")).when(k % 11 == 3, F.lit(None).cast("string"))
+        .otherwise(F.col("text"))
+    )
+    title = (
+        F.when(k % 7 == 0, F.lit("None")).when(k % 7 == 1, F.lit(""))
+        .otherwise(F.concat(F.col("source"), F.lit(" "), F.col("lang")))
+    )
+    return d.select(k.alias("review_id"), title.alias("title"), text.alias("text"), "lang", "n_chars")
+
+
 # ---------------------------------------------------------------- SQL forms
 REVIEWS_SQL = """
 SELECT CONCAT('U', LPAD(CAST(o.o_custkey AS VARCHAR), 8, '0')) AS user_id,
@@ -121,13 +138,26 @@ LEFT JOIN (SELECT l_partkey, AVG(CEIL(l_quantity / 10)) AS average_rating, COUNT
 """
 
 
+REVIEW_TEXTS_SQL = """
+SELECT doc_id AS review_id,
+       CASE WHEN doc_id % 7 = 0 THEN 'None' WHEN doc_id % 7 = 1 THEN '' ELSE source || ' ' || lang END AS title,
+       CASE WHEN doc_id % 11 = 0 THEN 'nan' WHEN doc_id % 11 = 1 THEN '   ' WHEN doc_id % 11 = 2 THEN '[]'
+            WHEN doc_id % 11 = 3 THEN NULL ELSE text END AS text,
+       lang, n_chars
+FROM documents
+"""
+
+
 def with_views(sql: str) -> str:
     """Prefix a DuckDB query with the ``reviews`` and ``metadata`` CTEs.
 
     A query that has CTEs of its own starts with ``WITH``; they are appended
     after the two views.
     """
-    head = f"WITH reviews AS ({REVIEWS_SQL}), metadata AS ({METADATA_SQL})"
+    head = (
+        f"WITH reviews AS ({REVIEWS_SQL}), metadata AS ({METADATA_SQL}), "
+        f"review_texts AS ({REVIEW_TEXTS_SQL})"
+    )
     body = sql.strip()
     if body[:5].upper() == "WITH ":
         return f"{head},\n{body[5:]}"
