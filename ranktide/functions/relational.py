@@ -117,3 +117,37 @@ def dense_index(df: DataFrame, order: Sequence[str | Column], index_col: str = "
 def r6(c: Column | str) -> Column:
     """Round a double to 6 places (oracle comparisons use the same rounding)."""
     return F.round(F.col(c) if isinstance(c, str) else c, 6)
+
+
+def with_previous(df: DataFrame, key: str, order: str, value: str, out: str = "prev") -> DataFrame:
+    """``lag(value) OVER (PARTITION BY key ORDER BY order)`` without putting a
+    hot key in one task.
+
+    Rows are range-partitioned on ``(key, order)``, so one key may span several
+    bounded partitions. The lag is taken inside each partition, and the first
+    row of a partition takes the previous partition's last row when the key
+    continues across the boundary (one row per partition meets in one place).
+    ``order`` must be unique within a key for a deterministic result.
+    """
+    tagged = (
+        df.orderBy(F.col(key), F.col(order))
+        .withColumn("_pid", F.spark_partition_id())
+        .withColumn("_mid", F.monotonically_increasing_id())
+    )
+    tagged = cut_lineage(tagged)
+    w = Window.partitionBy("_pid", key).orderBy("_mid")
+    local = tagged.withColumn(out, F.lag(value).over(w))
+    edges = tagged.groupBy("_pid").agg(
+        F.min("_mid").alias("_first_mid"),
+        F.max_by(F.col(key), F.col("_mid")).alias("_last_key"),
+        F.max_by(F.col(value), F.col("_mid")).alias("_last_val"),
+    )
+    wp = Window.orderBy("_pid")
+    edges = edges.select(
+        "_pid", "_first_mid",
+        F.lag("_last_key").over(wp).alias("_pk"), F.lag("_last_val").over(wp).alias("_pv"),
+    )
+    res = local.join(F.broadcast(edges), "_pid")
+    carry = (F.col("_mid") == F.col("_first_mid")) & (F.col("_pk") == F.col(key))
+    res = res.withColumn(out, F.when(carry, F.col("_pv")).otherwise(F.col(out)))
+    return res.drop("_pid", "_mid", "_first_mid", "_pk", "_pv")
