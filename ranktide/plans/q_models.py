@@ -1,3 +1,113 @@
-"""Queries (filled in as operators land)."""
+"""Queries for recommenders and ranking metrics (M*, N*)."""
 
 from __future__ import annotations
+
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ranktide.functions.relational import r6
+from ranktide.models import knn as K
+from ranktide.operators import clean as C
+from ranktide.operators import evaluate as N
+from ranktide.operators import interactions as I
+from ranktide.plans.q_filters import DEDUP_SQL
+from ranktide.plans.registry import register
+from ranktide.sources import fixtures as fx
+
+# Fixture stand-ins: train < 2000, validation = 2000, date floor 1996 (FIXTURES.md).
+VAL_YEAR, FLOOR = 2000, "1996-01-01"
+K_EVAL = 10
+KNN_NEIGHBORS = 5
+
+
+@dataclass
+class ModelFrames:
+    train: DataFrame   # (u, i, value) with u = user_id, i = parent_asin
+    truth: DataFrame   # (u, i) validation pairs
+    users: DataFrame   # (u) validation users = requested users
+
+
+def model_frames(spark, sf_dir) -> ModelFrames:
+    r = I.dedup_user_item(fx.reviews(spark, sf_dir), order=["timestamp", *fx.REVIEW_TIEBREAK])
+    r = C.date_floor(r, "timestamp", FLOOR).select(
+        F.col("user_id").alias("u"), F.col("parent_asin").alias("i"), F.year("timestamp").alias("_y")
+    )
+    train = r.where(F.col("_y") < VAL_YEAR).groupBy("u", "i").agg(F.count(F.lit(1)).cast("double").alias("value"))
+    truth = r.where(F.col("_y") == VAL_YEAR).select("u", "i").distinct()
+    return ModelFrames(train, truth, truth.select("u").distinct())
+
+
+FRAMES_SQL = f"""
+WITH dd AS ({DEDUP_SQL}),
+f AS (SELECT user_id AS u, parent_asin AS i, year(timestamp) AS y FROM dd WHERE timestamp >= TIMESTAMP '{FLOOR}'),
+tr AS (SELECT u, i, CAST(COUNT(*) AS DOUBLE) AS value FROM f WHERE y < {VAL_YEAR} GROUP BY u, i),
+va AS (SELECT DISTINCT u, i FROM f WHERE y = {VAL_YEAR}),
+eu AS (SELECT DISTINCT u FROM va),
+seen AS (SELECT DISTINCT u, i FROM tr),
+"""
+
+KNN_SQL = FRAMES_SQL + f"""
+nrm AS (SELECT i, SQRT(SUM(value * value)) AS norm FROM tr GROUP BY i),
+co AS (SELECT a.i AS i, b.i AS j, SUM(a.value * b.value) AS dot FROM tr a JOIN tr b ON a.u = b.u AND a.i < b.i GROUP BY 1, 2),
+s1 AS (SELECT co.i, co.j, dot / (n1.norm * n2.norm) AS sim FROM co JOIN nrm n1 ON n1.i = co.i JOIN nrm n2 ON n2.i = co.j),
+sim AS (SELECT i AS item, j AS neighbor, sim FROM s1 UNION ALL SELECT j AS item, i AS neighbor, sim FROM s1),
+nb AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY item ORDER BY sim DESC, neighbor) AS rank FROM sim),
+nbk AS (SELECT * FROM nb WHERE rank <= {KNN_NEIGHBORS}),
+cand AS (SELECT s.u, nbk.neighbor AS i, nbk.sim FROM seen s JOIN nbk ON nbk.item = s.i),
+sc AS (SELECT u, i, SUM(sim) AS score FROM cand
+       WHERE NOT EXISTS (SELECT 1 FROM seen x WHERE x.u = cand.u AND x.i = cand.i) GROUP BY u, i),
+recs AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY u ORDER BY ROUND(score, 9) DESC, i) AS rank FROM sc)
+         WHERE rank <= {K_EVAL}),
+"""
+
+
+def metrics_sql(recs_cte: str = "recs", k: int = K_EVAL) -> str:
+    return f"""
+ts AS (SELECT u, COUNT(*) AS n_truth FROM va GROUP BY u),
+h AS (SELECT r.u, COUNT(*) AS hits, MIN(r.rank) AS fh, SUM(1.0 / log2(r.rank + 1)) AS dcg
+      FROM {recs_cte} r JOIN va ON va.u = r.u AND va.i = r.i WHERE r.rank <= {k} GROUP BY r.u),
+per AS (SELECT ts.u, n_truth, COALESCE(hits, 0) AS hits, fh, COALESCE(dcg, 0.0) AS dcg, LEAST({k}, n_truth) AS p
+        FROM ts JOIN eu ON eu.u = ts.u LEFT JOIN h ON h.u = ts.u),
+pm AS (SELECT *, hits / {float(k)} AS prec, CASE WHEN p > 0 THEN hits / p ELSE 0.0 END AS adj,
+              hits / n_truth AS rec, COALESCE(1.0 / fh, 0.0) AS mrr,
+              dcg / list_sum(list_transform(range(1, p + 1), lambda r: 1.0 / log2(r + 1))) AS ndcg FROM per)
+SELECT ROUND(COUNT(*) FILTER (WHERE hits > 0) / (SELECT COUNT(*) FROM eu), 4) AS hit_rate,
+       ROUND(AVG(prec), 4) AS precision, ROUND(AVG(adj), 4) AS adj_precision, ROUND(AVG(rec), 4) AS recall,
+       ROUND(AVG(mrr), 4) AS mrr, ROUND(AVG(ndcg), 4) AS ndcg, COUNT(*) AS n_scored,
+       (SELECT COUNT(*) FROM eu) AS n_users
+FROM pm"""
+
+
+def _knn(spark, sf_dir):
+    mf = model_frames(spark, sf_dir)
+    return mf, K.ItemKNN(n_neighbors=KNN_NEIGHBORS, user_neighbors=KNN_NEIGHBORS).fit(mf.train)
+
+
+@register(
+    "knn_similar_items",
+    KNN_SQL.rstrip().rstrip(",")
+    + "\nSELECT item, neighbor, ROUND(sim, 6) AS sim, rank, ROUND(1 - sim, 6) AS distance FROM nbk",
+    raw_sql=True,
+)
+def q_knn_similar_items(spark, sf_dir):
+    _, model = _knn(spark, sf_dir)
+    out = model.similar(KNN_NEIGHBORS)
+    return out.select("item", "neighbor", r6("sim").alias("sim"), "rank", r6("distance").alias("distance"))
+
+
+@register(
+    "knn_user_recs",
+    KNN_SQL.rstrip().rstrip(",") + "\nSELECT u, i, ROUND(score, 6) AS score, rank FROM recs",
+    raw_sql=True,
+)
+def q_knn_user_recs(spark, sf_dir):
+    _, model = _knn(spark, sf_dir)
+    return model.recommend(K_EVAL).select("u", "i", r6("score").alias("score"), "rank")
+
+
+@register("ranking_metrics", KNN_SQL + metrics_sql(), raw_sql=True)
+def q_ranking_metrics(spark, sf_dir):
+    mf, model = _knn(spark, sf_dir)
+    return N.evaluate_at_k(model.recommend(K_EVAL), mf.truth, mf.users, K_EVAL)

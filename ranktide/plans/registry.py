@@ -22,7 +22,8 @@ ORACLES: dict[str, str] = {}
 def register(name: str, oracle: str | None = None, raw_sql: bool = False):
     """Register ``fn`` as query ``name``; ``oracle`` is DuckDB SQL.
 
-    Unless ``raw_sql`` is set the SQL is prefixed with the fixture views.
+    The SQL is prefixed with the fixture views (``raw_sql`` is kept for
+    callers that build complete statements; the views are harmless there).
     """
 
     def deco(fn: QueryFn) -> QueryFn:
@@ -30,7 +31,7 @@ def register(name: str, oracle: str | None = None, raw_sql: bool = False):
             raise ValueError(f"query {name!r} registered twice")
         QUERIES[name] = fn
         if oracle is not None:
-            ORACLES[name] = oracle.strip() if raw_sql else with_views(oracle)
+            ORACLES[name] = with_views(oracle)
         return fn
 
     return deco
