@@ -1,3 +1,204 @@
-"""Queries (filled in as operators land)."""
+"""Queries for retrieval (O1-O6) and the interaction-log tables."""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ranktide.functions.relational import r6
+from ranktide.operators import activity as P
+from ranktide.operators import clean as C
+from ranktide.operators import retrieval as R
+from ranktide.plans import sqlfrag as S
+from ranktide.plans.registry import register
+from ranktide.sources import fixtures as fx
+
+SEARCH_K = 5
+VAL_YEAR = 2000
+
+
+def _code(col):
+    return F.concat(F.lit("P"), F.lpad(F.col(col).cast("string"), 8, "0"))
+
+
+# ------------------------------------------------------------------ O4 exact search
+@register(
+    "vector_topk",
+    f"""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+            d AS (SELECT q.vec_id AS qid, c.vec_id AS id,
+                         list_sum(list_transform(range(1, len(q.v) + 1), lambda k: (q.v[k] - c.v[k]) * (q.v[k] - c.v[k]))) AS distance
+                  FROM e q JOIN e c ON q.vec_id <> c.vec_id),
+            r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY qid ORDER BY ROUND(distance, 9), id) AS rank FROM d)
+       SELECT qid, id, ROUND(distance, 6) AS distance, rank FROM r WHERE rank <= {SEARCH_K}""",
+)
+def q_vector_topk(spark, sf_dir):
+    e = fx.table(spark, sf_dir, "embeddings")
+    out = R.vector_search(
+        e.select(F.col("vec_id").alias("qid"), "embedding"), e.select(F.col("vec_id").alias("id"), "embedding"),
+        SEARCH_K, exclude_self=True,
+    )
+    return out.select("qid", "id", r6("distance").alias("distance"), "rank")
+
+
+# ------------------------------------------------------------------ O1 / O5 / O6 / F7
+def _catalog(spark, sf_dir):
+    chunks = C.rag_chunks(fx.metadata(spark, sf_dir))
+    emb = fx.table(spark, sf_dir, "embeddings").select(_code("vec_id").alias("id"), "embedding")
+    return chunks.join(emb, "id")
+
+
+def _context(spark, sf_dir):
+    conv = fx.table(spark, sf_dir, "conversations")
+    emb = fx.table(spark, sf_dir, "embeddings")
+    q = conv.select("conv_id").distinct().join(emb, emb.vec_id == conv.conv_id).select(
+        F.col("conv_id").alias("qid"), "embedding"
+    )
+    cat = _catalog(spark, sf_dir)
+    hits = R.vector_search(q, cat.select("id", "embedding"), SEARCH_K)
+    return R.context_blocks(hits, cat, "qid", "id").withColumnRenamed("qid", "conv_id")
+
+
+def _rag_sql() -> str:
+    title = S.clean_retrieval("title")
+    desc = S.clean_retrieval("COALESCE(description, '') || ' ' || " + S.list_text("features"))
+    return f"""
+WITH s AS (SELECT CAST(parent_asin AS VARCHAR) AS id, {title} AS t, {desc} AS d, {S.list_text('categories')} AS c
+           FROM metadata WHERE parent_asin IS NOT NULL AND title IS NOT NULL),
+ch AS (SELECT id, 'Product ID: ' || id || chr(10) || 'Title: ' || t || chr(10) || 'Category: ' ||
+              CASE WHEN c <> '' THEN replace(c, ' ', ' > ') ELSE 'Unknown Category' END || chr(10) ||
+              'Description and Features: ' || d AS document
+       FROM s WHERE t <> '' AND lower(t) <> 'nan' AND length(d) >= 10),
+cat AS (SELECT ch.id, ch.document, CAST(e.embedding AS DOUBLE[]) AS v FROM ch
+        JOIN embeddings e ON 'P' || lpad(CAST(e.vec_id AS VARCHAR), 8, '0') = ch.id),
+qv AS (SELECT DISTINCT c.conv_id, CAST(e.embedding AS DOUBLE[]) AS v FROM conversations c JOIN embeddings e ON e.vec_id = c.conv_id),
+d AS (SELECT qv.conv_id, cat.id, cat.document,
+             list_sum(list_transform(range(1, len(qv.v) + 1), lambda k: (qv.v[k] - cat.v[k]) * (qv.v[k] - cat.v[k]))) AS dist
+      FROM qv JOIN cat ON TRUE),
+hits AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY conv_id ORDER BY ROUND(dist, 9), id) AS rank FROM d)
+         WHERE rank <= {SEARCH_K}),
+ctx AS (SELECT conv_id, string_agg(document, '{R.CONTEXT_SEPARATOR.replace(chr(10), "' || chr(10) || '")}' ORDER BY rank) AS context
+        FROM hits GROUP BY conv_id),
+"""
+
+
+_CTX_SQL = _rag_sql().replace("'\n\n--- PRODUCT ---\n'", "chr(10) || chr(10) || '--- PRODUCT ---' || chr(10)")
+
+
+@register("rag_context", _CTX_SQL.rstrip().rstrip(",") + "\nSELECT conv_id, context FROM ctx")
+def q_rag_context(spark, sf_dir):
+    return _context(spark, sf_dir)
+
+
+@register(
+    "rag_prompts",
+    _CTX_SQL
+    + f"""lu AS (SELECT conv_id, MAX(turn) AS qt FROM conversations WHERE role = 'user' GROUP BY conv_id),
+      q AS (SELECT lu.conv_id, lu.qt, c.text FROM lu JOIN conversations c ON c.conv_id = lu.conv_id AND c.turn = lu.qt),
+      hist AS (SELECT * FROM (SELECT c.conv_id, c.turn, c.role, c.text,
+                                     ROW_NUMBER() OVER (PARTITION BY c.conv_id ORDER BY c.turn DESC) AS r
+                              FROM conversations c JOIN lu ON lu.conv_id = c.conv_id WHERE c.turn < lu.qt) WHERE r <= 4),
+      rows AS (SELECT conv_id, 0 AS ord, 'system' AS role, '{R.DEFAULT_SYSTEM_PROMPT}' AS content FROM lu
+               UNION ALL SELECT conv_id, turn + 1, role, text FROM hist
+               UNION ALL SELECT q.conv_id, q.qt + 1000, 'user',
+                    CASE WHEN ctx.context IS NOT NULL AND ctx.context <> ''
+                         THEN 'User Request: ' || q.text || chr(10) || chr(10) || 'Available Products Context:' || chr(10) || ctx.context
+                         ELSE 'User Request: ' || q.text || chr(10) || chr(10) || '(No specific products found in the catalog matching this request.)' END
+               FROM q LEFT JOIN ctx ON ctx.conv_id = q.conv_id)
+    SELECT conv_id, role, content, CAST(ROW_NUMBER() OVER (PARTITION BY conv_id ORDER BY ord) - 1 AS INT) AS position FROM rows""",
+)
+def q_rag_prompts(spark, sf_dir):
+    conv = fx.table(spark, sf_dir, "conversations")
+    return R.prompt_rows(conv, _context(spark, sf_dir)).select("conv_id", "role", "content", "position")
+
+
+@register(
+    "last_turns",
+    """SELECT conv_id, turn, role, text FROM (
+         SELECT *, ROW_NUMBER() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations) WHERE r <= 4""",
+)
+def q_last_turns(spark, sf_dir):
+    return R.last_turns(fx.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+
+
+# ------------------------------------------------------------------ O2 / O3
+def _upserted(spark, sf_dir):
+    meta = fx.metadata(spark, sf_dir)
+    v1 = C.rag_chunks(meta).withColumn("version", F.lit(1))
+    recrawl = meta.where(F.col("price").isNull()).withColumn("title", F.upper("title"))
+    v2 = C.rag_chunks(recrawl).withColumn("version", F.lit(2))
+    return R.upsert_latest(v1, v2, "id")
+
+
+_UPSERT_SQL = f"""
+WITH v AS (
+  SELECT parent_asin, title, description, features, categories, 1 AS version FROM metadata
+  UNION ALL
+  SELECT parent_asin, upper(title), description, features, categories, 2 FROM metadata WHERE price IS NULL),
+s AS (SELECT CAST(parent_asin AS VARCHAR) AS id, version, {S.clean_retrieval('title')} AS t,
+             {S.clean_retrieval("COALESCE(description, '') || ' ' || " + S.list_text('features'))} AS d,
+             {S.list_text('categories')} AS c
+      FROM v WHERE parent_asin IS NOT NULL AND title IS NOT NULL),
+ch AS (SELECT id, version, 'Product ID: ' || id || chr(10) || 'Title: ' || t || chr(10) || 'Category: ' ||
+              CASE WHEN c <> '' THEN replace(c, ' ', ' > ') ELSE 'Unknown Category' END || chr(10) ||
+              'Description and Features: ' || d AS document, substring(t, 1, 100) AS title
+       FROM s WHERE t <> '' AND lower(t) <> 'nan' AND length(d) >= 10),
+best AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY id ORDER BY version DESC) AS r FROM ch) WHERE r = 1)
+"""
+
+
+@register("upsert_latest", _UPSERT_SQL + "SELECT id, version, document, title FROM best")
+def q_upsert_latest(spark, sf_dir):
+    return _upserted(spark, sf_dir).select("id", "version", "document", "title")
+
+
+@register("collection_count", _UPSERT_SQL + "SELECT COUNT(*) AS n_documents FROM best")
+def q_collection_count(spark, sf_dir):
+    return _upserted(spark, sf_dir).agg(F.count(F.lit(1)).alias("n_documents"))
+
+
+# ------------------------------------------------------------------ P1-P5
+def _users(spark, sf_dir):
+    r = fx.reviews(spark, sf_dir).select("user_id", F.col("timestamp").alias("created_at"), F.year("timestamp").alias("y"))
+    users = P.seed_users(P.empty_users(spark), r.where(F.col("y") < VAL_YEAR), is_new=False)
+    return P.seed_users(users, r.where(F.col("y") >= VAL_YEAR), is_new=True)
+
+
+@register(
+    "seed_users",
+    f"""WITH old AS (SELECT user_id, MIN(timestamp) AS created_at FROM reviews WHERE year(timestamp) < {VAL_YEAR} GROUP BY user_id),
+            new AS (SELECT user_id, MIN(timestamp) AS created_at FROM reviews WHERE year(timestamp) >= {VAL_YEAR}
+                    AND user_id NOT IN (SELECT user_id FROM old) GROUP BY user_id)
+       SELECT user_id, FALSE AS is_new, created_at FROM old UNION ALL SELECT user_id, TRUE, created_at FROM new""",
+)
+def q_seed_users(spark, sf_dir):
+    return P.users_newest_first(_users(spark, sf_dir))
+
+
+def _log(spark, sf_dir):
+    ev = fx.events(spark, sf_dir)
+    rows = ev.select(
+        F.concat(F.lit("U"), F.lpad(F.col("user_id").cast("string"), 8, "0")).alias("user_id"),
+        F.concat(F.lit("P"), F.lpad(F.get_json_object("props", "$.k"), 8, "0")).alias("product_id"),
+        F.col("event_type").alias("interaction_type"), F.col("ts").alias("timestamp"),
+    )
+    return P.record_interactions(None, rows)
+
+
+_LOG_SQL = """
+WITH lg AS (SELECT 'U' || lpad(CAST(user_id AS VARCHAR), 8, '0') AS user_id,
+                   'P' || lpad(json_extract_string(props, '$.k'), 8, '0') AS product_id,
+                   event_type AS interaction_type, ts AS timestamp FROM events)
+"""
+
+
+@register("interaction_log", _LOG_SQL + "SELECT * FROM lg")
+def q_interaction_log(spark, sf_dir):
+    return _log(spark, sf_dir)
+
+
+@register(
+    "user_history",
+    _LOG_SQL + """SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY timestamp DESC, product_id, interaction_type) AS position
+                  FROM lg""",
+)
+def q_user_history(spark, sf_dir):
+    return P.user_histories(_log(spark, sf_dir))
