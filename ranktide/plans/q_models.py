@@ -53,7 +53,7 @@ nrm AS (SELECT i, SQRT(SUM(value * value)) AS norm FROM tr GROUP BY i),
 co AS (SELECT a.i AS i, b.i AS j, SUM(a.value * b.value) AS dot FROM tr a JOIN tr b ON a.u = b.u AND a.i < b.i GROUP BY 1, 2),
 s1 AS (SELECT co.i, co.j, dot / (n1.norm * n2.norm) AS sim FROM co JOIN nrm n1 ON n1.i = co.i JOIN nrm n2 ON n2.i = co.j),
 sim AS (SELECT i AS item, j AS neighbor, sim FROM s1 UNION ALL SELECT j AS item, i AS neighbor, sim FROM s1),
-nb AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY item ORDER BY sim DESC, neighbor) AS rank FROM sim),
+nb AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY item ORDER BY ROUND(sim, 9) DESC, neighbor) AS rank FROM sim),
 nbk AS (SELECT * FROM nb WHERE rank <= {KNN_NEIGHBORS}),
 cand AS (SELECT s.u, nbk.neighbor AS i, nbk.sim FROM seen s JOIN nbk ON nbk.item = s.i),
 sc AS (SELECT u, i, SUM(sim) AS score FROM cand
@@ -111,3 +111,155 @@ def q_knn_user_recs(spark, sf_dir):
 def q_ranking_metrics(spark, sf_dir):
     mf, model = _knn(spark, sf_dir)
     return N.evaluate_at_k(model.recommend(K_EVAL), mf.truth, mf.users, K_EVAL)
+
+
+# ------------------------------------------------------------------ coded frames for factor models
+@dataclass
+class CodedFrames:
+    train: DataFrame   # (u, i, value) int codes
+    truth: DataFrame   # (u, i)
+    users: DataFrame   # (u)
+    n_users: int
+    n_items: int
+
+
+def coded_frames(spark, sf_dir) -> CodedFrames:
+    from ranktide.operators import features as G
+
+    r = I.dedup_user_item(fx.reviews(spark, sf_dir), order=["timestamp", *fx.REVIEW_TIEBREAK])
+    r = C.date_floor(r, "timestamp", FLOOR)
+    tr = r.where(F.year("timestamp") < VAL_YEAR)
+    va = r.where(F.year("timestamp") == VAL_YEAR)
+    mats = G.prepare_interaction_matrices(tr, va)
+    n_users = mats.users.count()
+    n_items = mats.items.count()
+    truth = mats.val.select("u", "i")
+    return CodedFrames(mats.train, truth, mats.eval_users, n_users, n_items)
+
+
+def _factor_recs(model, cf: CodedFrames):
+    return model.recommend(cf.train, K_EVAL, only_users=cf.users)
+
+
+# Model parameters: the reference's configuration, trimmed only
+# where noted for local runs.
+ALS_PARAMS = dict(rank=64, reg=0.1, iterations=20)
+SVD_PARAMS = dict(k=64, oversample=10, power_iters=2)
+BPR_PARAMS = dict(factors=64, lr=0.01, reg=0.01, epochs=10)   # reference: 100 epochs
+FM_PARAMS = dict(factor_size=32, step=1e-3, iterations=5, negatives=4)
+
+
+def _als(spark, sf_dir):
+    from ranktide.models.factors import fit_als
+
+    cf = coded_frames(spark, sf_dir)
+    return cf, fit_als(cf.train, **ALS_PARAMS)
+
+
+def _svd(spark, sf_dir):
+    from ranktide.models.factors import fit_svd
+
+    cf = coded_frames(spark, sf_dir)
+    return cf, fit_svd(cf.train, **SVD_PARAMS)
+
+
+def _bpr(spark, sf_dir):
+    from ranktide.models.factors import fit_bpr
+
+    cf = coded_frames(spark, sf_dir)
+    return cf, fit_bpr(cf.train, **BPR_PARAMS)
+
+
+def _fm(spark, sf_dir):
+    from ranktide.models.fm import fit_fm
+
+    cf = coded_frames(spark, sf_dir)
+    return cf, fit_fm(cf.train, cf.n_users, cf.n_items, **FM_PARAMS)
+
+
+@register("als_recs")
+def q_als_recs(spark, sf_dir):
+    cf, m = _als(spark, sf_dir)
+    return _factor_recs(m, cf)
+
+
+@register("als_similar_items")
+def q_als_similar_items(spark, sf_dir):
+    _, m = _als(spark, sf_dir)
+    return m.similar_items(10)
+
+
+@register("als_metrics")
+def q_als_metrics(spark, sf_dir):
+    cf, m = _als(spark, sf_dir)
+    return N.evaluate_at_k(_factor_recs(m, cf), cf.truth, cf.users, K_EVAL)
+
+
+@register("svd_recs")
+def q_svd_recs(spark, sf_dir):
+    cf, m = _svd(spark, sf_dir)
+    return _factor_recs(m, cf)
+
+
+@register("svd_similar_items")
+def q_svd_similar_items(spark, sf_dir):
+    _, m = _svd(spark, sf_dir)
+    return m.similar_items(10)
+
+
+@register("svd_metrics")
+def q_svd_metrics(spark, sf_dir):
+    cf, m = _svd(spark, sf_dir)
+    return N.evaluate_at_k(_factor_recs(m, cf), cf.truth, cf.users, K_EVAL)
+
+
+@register("bpr_recs")
+def q_bpr_recs(spark, sf_dir):
+    cf, m = _bpr(spark, sf_dir)
+    return _factor_recs(m, cf)
+
+
+@register("bpr_metrics")
+def q_bpr_metrics(spark, sf_dir):
+    cf, m = _bpr(spark, sf_dir)
+    return N.evaluate_at_k(_factor_recs(m, cf), cf.truth, cf.users, K_EVAL)
+
+
+@register("negative_samples")
+def q_negative_samples(spark, sf_dir):
+    from ranktide.models.fm import negative_samples
+
+    cf = coded_frames(spark, sf_dir)
+    return negative_samples(cf.train, cf.n_items, FM_PARAMS["negatives"])
+
+
+@register("fm_recs")
+def q_fm_recs(spark, sf_dir):
+    cf, m = _fm(spark, sf_dir)
+    return _factor_recs(m, cf)
+
+
+@register("fm_metrics")
+def q_fm_metrics(spark, sf_dir):
+    cf, m = _fm(spark, sf_dir)
+    return N.evaluate_at_k(_factor_recs(m, cf), cf.truth, cf.users, K_EVAL)
+
+
+@register("model_comparison")
+def q_model_comparison(spark, sf_dir):
+    """KNN, ALS, SVD and BPR trained and evaluated on one split; timings vary."""
+    from ranktide.models.factors import fit_als, fit_bpr, fit_svd
+
+    mf = model_frames(spark, sf_dir)
+    cf = coded_frames(spark, sf_dir)
+    fitters = {
+        "ALS": lambda: _factor_recs(fit_als(cf.train, **ALS_PARAMS), cf),
+        "SVD": lambda: _factor_recs(fit_svd(cf.train, **SVD_PARAMS), cf),
+        "BPR": lambda: _factor_recs(fit_bpr(cf.train, **BPR_PARAMS), cf),
+    }
+    coded = N.compare_models(spark, fitters, cf.truth, cf.users, K_EVAL)
+    knn = N.compare_models(
+        spark, {"ItemKNN": lambda: K.ItemKNN(KNN_NEIGHBORS, KNN_NEIGHBORS).fit(mf.train).recommend(K_EVAL)},
+        mf.truth, mf.users, K_EVAL,
+    )
+    return coded.unionByName(knn).orderBy(F.desc_nulls_last("hit_rate"))
