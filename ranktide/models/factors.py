@@ -193,21 +193,23 @@ def fit_svd(train: DataFrame, k: int = 64, oversample: int = 10, power_iters: in
 
 
 # ------------------------------------------------------------------ BPR
-def sample_triples(train: DataFrame, n_items: int, epoch: int, seed: int = 42) -> DataFrame:
+def sample_triples(train: DataFrame, n_items: int, epoch: int, seed: int = 42, max_rounds: int = 64) -> DataFrame:
     """(u, pos, neg): one triple per positive; the negative is a seeded hash draw,
-    redrawn (bounded rounds) when it hits one of the user's positives."""
+    redrawn only for the slots that hit one of the user's positives."""
     seen = train.select("u", F.col("i").alias("neg"))
-    t = train.select("u", F.col("i").alias("pos"))
-    out = None
-    todo = t
-    for rnd in range(8):
-        draw = todo.withColumn(
+    todo = train.select("u", F.col("i").alias("pos"))
+    parts = []
+    for rnd in range(max_rounds):
+        draw = cut_lineage(todo.withColumn(
             "neg", F.pmod(F.xxhash64("u", "pos", F.lit(epoch), F.lit(rnd), F.lit(seed)), F.lit(n_items)).cast("int")
-        )
-        ok = draw.join(seen, ["u", "neg"], "left_anti")
-        bad = draw.join(seen, ["u", "neg"], "left_semi").select("u", "pos")
-        out = ok if out is None else out.unionByName(ok)
-        todo = bad
+        ))
+        parts.append(draw.join(seen, ["u", "neg"], "left_anti"))
+        todo = cut_lineage(draw.join(seen, ["u", "neg"], "left_semi").select("u", "pos"))
+        if todo.isEmpty():
+            break
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
     return out
 
 
