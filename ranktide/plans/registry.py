@@ -44,6 +44,7 @@ def load_all() -> None:
         q_eda,
         q_features,
         q_filters,
+        q_io,
         q_models,
         q_retrieval,
         q_text,
