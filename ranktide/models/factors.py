@@ -175,14 +175,18 @@ def fit_svd(train: DataFrame, k: int = 64, oversample: int = 10, power_iters: in
 
     q = _orthonormal(_times_dense(a, omega, width), width)
     for _ in range(power_iters):
-        z = _transpose_times(a, q, n_items, width)
-        z, _ = np.linalg.qr(z)
+        z, _ = np.linalg.qr(_transpose_times(a, q, n_items, width))
         bz = sc.broadcast(z)
-        q = _orthonormal(_times_dense(a, lambda: bz.value, width), width)
-    b_t = _transpose_times(a, q, n_items, width)          # B^T = A^T Q, n_items x width
-    _, s, vt = np.linalg.svd(b_t.T, full_matrices=False)
-    kk = min(k, len(s))
-    v = vt[:kk].T                                          # n_items x k
+        q = _orthonormal(_times_dense(a, lambda bz=bz: bz.value, width), width)
+    # Rayleigh-Ritz on the item side: an exact QR of A^T Q (catalogue-bounded,
+    # on the driver), then the small eigenproblem of (A V0)^T (A V0).
+    v0, _ = np.linalg.qr(_transpose_times(a, q, n_items, width))
+    bv0 = sc.broadcast(v0)
+    g = _gram(cut_lineage(_times_dense(a, lambda: bv0.value, width)), width)
+    lam, w = np.linalg.eigh(g)
+    order = np.argsort(lam)[::-1]
+    kk = min(k, width)
+    v = v0 @ w[:, order[:kk]]                              # n_items x k right singular vectors
     bv = sc.broadcast(v)
     users = _times_dense(a, lambda: bv.value, kk).withColumnRenamed("vec", "features")
     spark = a.sparkSession
