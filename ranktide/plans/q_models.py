@@ -14,6 +14,7 @@ from ranktide.operators import evaluate as N
 from ranktide.operators import interactions as I
 from ranktide.plans.q_filters import DEDUP_SQL
 from ranktide.plans.registry import register
+from ranktide.session import cut_lineage
 from ranktide.sources import fixtures as fx
 
 # Fixture stand-ins: train < 2000, validation = 2000, date floor 1996 (FIXTURES.md).
@@ -29,14 +30,24 @@ class ModelFrames:
     users: DataFrame   # (u) validation users = requested users
 
 
+def _dedup_narrow(spark, sf_dir):
+    """De-duplicated (user, item, time): projected before the de-dup so the
+    aggregate carries only the columns the models use."""
+    r = fx.reviews(spark, sf_dir).select("user_id", "parent_asin", "timestamp", *fx.REVIEW_TIEBREAK)
+    return I.dedup_user_item(r, order=["timestamp", *fx.REVIEW_TIEBREAK])
+
+
 def model_frames(spark, sf_dir) -> ModelFrames:
-    r = I.dedup_user_item(fx.reviews(spark, sf_dir), order=["timestamp", *fx.REVIEW_TIEBREAK])
+    r = _dedup_narrow(spark, sf_dir)
     r = C.date_floor(r, "timestamp", FLOOR).select(
         F.col("user_id").alias("u"), F.col("parent_asin").alias("i"), F.year("timestamp").alias("_y")
     )
+    # the interaction table feeds degrees, chunks, norms, seen lists and truth:
+    # write it once to the checkpoint folder instead of recomputing it per use
+    r = cut_lineage(r)
     train = r.where(F.col("_y") < VAL_YEAR).groupBy("u", "i").agg(F.count(F.lit(1)).cast("double").alias("value"))
     truth = r.where(F.col("_y") == VAL_YEAR).select("u", "i").distinct()
-    return ModelFrames(train, truth, truth.select("u").distinct())
+    return ModelFrames(cut_lineage(train), truth, truth.select("u").distinct())
 
 
 FRAMES_SQL = f"""
@@ -126,15 +137,19 @@ class CodedFrames:
 def coded_frames(spark, sf_dir) -> CodedFrames:
     from ranktide.operators import features as G
 
-    r = I.dedup_user_item(fx.reviews(spark, sf_dir), order=["timestamp", *fx.REVIEW_TIEBREAK])
-    r = C.date_floor(r, "timestamp", FLOOR)
-    tr = r.where(F.year("timestamp") < VAL_YEAR)
-    va = r.where(F.year("timestamp") == VAL_YEAR)
+    r = C.date_floor(_dedup_narrow(spark, sf_dir), "timestamp", FLOOR).select(
+        "user_id", "parent_asin", F.year("timestamp").alias("_y")
+    )
+    # one materialised input for the two code fits and both long tables
+    r = cut_lineage(r)
+    tr = r.where(F.col("_y") < VAL_YEAR)
+    va = r.where(F.col("_y") == VAL_YEAR)
     mats = G.prepare_interaction_matrices(tr, va)
+    train = cut_lineage(mats.train)
+    truth = cut_lineage(mats.val.select("u", "i"))
     n_users = mats.users.count()
     n_items = mats.items.count()
-    truth = mats.val.select("u", "i")
-    return CodedFrames(mats.train, truth, mats.eval_users, n_users, n_items)
+    return CodedFrames(train, truth, truth.select("u").distinct(), n_users, n_items)
 
 
 def _factor_recs(model, cf: CodedFrames):
