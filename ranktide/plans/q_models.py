@@ -278,3 +278,21 @@ def q_model_comparison(spark, sf_dir):
         mf.truth, mf.users, K_EVAL,
     )
     return coded.unionByName(knn).orderBy(F.desc_nulls_last("hit_rate"))
+
+
+TUNING_TRIALS = 4   # the reference runs 15; the library default is 15 (serving.tune_als)
+
+
+@register("als_tuning")
+def q_als_tuning(spark, sf_dir):
+    from ranktide.operators.serving import tune_als
+
+    cf = coded_frames(spark, sf_dir)
+    return tune_als(cf.train, cf.truth, cf.users, n_trials=TUNING_TRIALS)
+
+
+@register("user_sample_fraction")
+def q_user_sample_fraction(spark, sf_dir):
+    from ranktide.operators import features as G
+
+    return G.sample_user_fraction(fx.reviews(spark, sf_dir), 0.1)
