@@ -31,9 +31,10 @@ def spam_users(
     The gap rule is evaluated without sorting a user's history in one task:
     with buckets of width ``min_time_gap``, two rows in one bucket are closer
     than the gap, and otherwise only neighbouring buckets can hold such a pair
-    (last row of bucket b vs first row of bucket b+1). Both checks are
-    aggregates with map-side combine plus one equi-join on (user, bucket).
-    Rows with a null user or timestamp never flag.
+    (last row of bucket b-1 vs first row of bucket b). Each bucket aggregate
+    row is sent to its own key and to the next bucket's key, and a second
+    aggregate compares them, so the rule is two aggregations with map-side
+    combine and no join. Rows with a null user or timestamp never flag.
     """
     require_columns(df, [user_col, ts_col, rating_col])
     base = df.where(F.col(user_col).isNotNull() & F.col(ts_col).isNotNull())
@@ -45,20 +46,22 @@ def spam_users(
     )
     flagged = day
     if min_time_gap > 0:
+        gap = F.lit(float(min_time_gap))
         secs = base.select(user_col, _seconds(ts_col).alias("_s"))
-        buckets = secs.groupBy(user_col, F.floor(F.col("_s") / F.lit(float(min_time_gap))).alias("_b")).agg(
+        buckets = secs.groupBy(user_col, F.floor(F.col("_s") / gap).alias("_b")).agg(
             F.count(F.lit(1)).alias("_n"), F.min("_s").alias("_lo"), F.max("_s").alias("_hi")
         )
-        same = buckets.where(F.col("_n") >= 2).select(user_col)
-        nxt = buckets.select(
-            F.col(user_col), (F.col("_b") - 1).alias("_b"), F.col("_lo").alias("_next_lo")
+        sent = buckets.select(user_col, F.explode(F.array(
+            F.struct(F.col("_b").alias("k"), F.col("_n").alias("n"), F.col("_lo").alias("lo"),
+                     F.lit(None).cast("double").alias("prev_hi")),
+            F.struct((F.col("_b") + 1).alias("k"), F.lit(0).cast("bigint").alias("n"),
+                     F.lit(None).cast("double").alias("lo"), F.col("_hi").alias("prev_hi")),
+        )).alias("x")).select(user_col, "x.*")
+        per_key = sent.groupBy(user_col, "k").agg(
+            F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("prev_hi").alias("prev_hi")
         )
-        adjacent = (
-            buckets.join(nxt, [user_col, "_b"])
-            .where(F.col("_next_lo") - F.col("_hi") < F.lit(float(min_time_gap)))
-            .select(user_col)
-        )
-        flagged = flagged.unionByName(same).unionByName(adjacent)
+        close = per_key.where((F.col("n") >= 2) | (F.col("lo") - F.col("prev_hi") < gap)).select(user_col)
+        flagged = flagged.unionByName(close)
     return flagged.distinct()
 
 
