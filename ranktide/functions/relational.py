@@ -151,3 +151,16 @@ def with_previous(df: DataFrame, key: str, order: str, value: str, out: str = "p
     carry = (F.col("_mid") == F.col("_first_mid")) & (F.col("_pk") == F.col(key))
     res = res.withColumn(out, F.when(carry, F.col("_pv")).otherwise(F.col(out)))
     return res.drop("_pid", "_mid", "_first_mid", "_pk", "_pv")
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash-partition ``df`` on ``key`` when its scan yields fewer partitions
+    than the cluster has cores (a single large row group, a few big files), so
+    CPU-heavy per-row work such as tokenising whole texts runs on every core.
+    A later ``groupBy(key, ...)`` reuses this partitioning (no second shuffle).
+    On a large input the scan is already split and ``df`` is returned as is."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(max(cores, int(spark.conf.get("spark.sql.shuffle.partitions"))), key)

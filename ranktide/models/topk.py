@@ -130,3 +130,121 @@ def blocked_topk(queries: DataFrame, catalog: DataFrame, k: int, *, qid: str = "
 def seen_lists(history: DataFrame, user_col: str = "u", item_col: str = "i") -> DataFrame:
     """(user, seen array): a user's distinct items; bounded by the catalogue size."""
     return history.groupBy(user_col).agg(F.collect_set(item_col).alias("seen"))
+
+
+# ---------------------------------------------------------------- sparse queries
+def _collect_sparse_block(block: DataFrame, cid: str, idx: str, val: str, dim: int):
+    """Block of a long (cid, idx, val) table as term-major arrays: for term t the
+    block positions and values sit in ``pos[ptr[t]:ptr[t+1]]`` / ``w[...]``."""
+    tbl = block.select(cid, idx, val).toArrow()
+    cids = tbl.column(0).to_numpy(zero_copy_only=False)
+    tix = np.asarray(tbl.column(1).to_numpy(zero_copy_only=False), dtype=np.int64)
+    w = np.asarray(tbl.column(2).to_numpy(zero_copy_only=False), dtype=np.float64)
+    ids, pos = np.unique(cids, return_inverse=True)
+    order = np.lexsort((pos, tix))
+    tix, pos, w = tix[order], pos[order], w[order]
+    ptr = np.searchsorted(tix, np.arange(dim + 1), side="left").astype(np.int64)
+    return ids, ptr, pos.astype(np.int64), w
+
+
+def _sparse_scorer(bc, qid: str, cid: str, k: int | None, exclude_col: str | None, exclude_self: bool,
+                   normalize_query: bool):
+    def run(batches):
+        ids, ptr, pos, w, order_rank = bc.value
+        n = len(ids)
+        where = {v: i for i, v in enumerate(ids.tolist())}
+        for pdf in batches:
+            out_q, out_c, out_s, out_r = [], [], [], []
+            for r in range(len(pdf)):
+                qi = np.asarray(pdf["idx"].values[r], dtype=np.int64)
+                qv = np.asarray(pdf["val"].values[r], dtype=np.float64)
+                if n == 0 or len(qi) == 0:
+                    continue
+                starts, ends = ptr[qi], ptr[qi + 1]
+                lens = ends - starts
+                total = int(lens.sum())
+                if total == 0:
+                    continue
+                # flat positions of every (query term, block entry) without a Python loop
+                offs = np.repeat(starts - (np.cumsum(lens) - lens), lens) + np.arange(total)
+                score = np.bincount(pos[offs], weights=w[offs] * np.repeat(qv, lens), minlength=n)
+                if normalize_query:
+                    score = score / np.sqrt(np.dot(qv, qv))
+                ok = score > 0
+                if exclude_self:
+                    j = where.get(pdf[qid].values[r])
+                    if j is not None:
+                        ok[j] = False
+                if exclude_col is not None:
+                    seen = pdf[exclude_col].values[r]
+                    if seen is not None:
+                        js = [where[s] for s in seen if s in where]
+                        ok[js] = False
+                cand = np.nonzero(ok)[0]
+                if len(cand) == 0:
+                    continue
+                key = -np.round(score[cand], ROUND_DIGITS)
+                if k is not None and len(cand) > k:
+                    thr = np.partition(key, k - 1)[k - 1]
+                    cand, key = cand[key <= thr], key[key <= thr]
+                best = cand[np.lexsort((order_rank[cand], key))]
+                if k is not None:
+                    best = best[:k]
+                out_q.extend([pdf[qid].values[r]] * len(best))
+                out_c.extend(ids[best].tolist())
+                out_s.extend(score[best].tolist())
+                out_r.extend(range(1, len(best) + 1))
+            if out_q:
+                yield pd.DataFrame({qid: out_q, cid: out_c, "score": out_s, "rank": out_r})
+
+    return run
+
+
+def sparse_topk(queries: DataFrame, catalog: DataFrame, k: int | None, *, qid: str, cid: str,
+                exclude_col: str | None = None, exclude_self: bool = False, normalize_query: bool = False,
+                block_bytes: int = DEFAULT_BLOCK_BYTES) -> DataFrame:
+    """(qid, cid, score, rank): inner products of sparse query vectors with a
+    sparse catalogue, positive scores only, top ``k`` per query (all positive
+    scores when ``k`` is None); ties by catalogue id.
+
+    ``queries`` has ``idx`` (array<int>) and ``val`` (array<double>) columns,
+    ``catalog`` is the long table ``(cid, idx, val)``. The catalogue is cut into
+    blocks whose term-major arrays fit ``block_bytes`` (16 bytes per entry) and
+    each block is broadcast once; every query is scored against a block with
+    a gather and one ``bincount``, so no (query, entry) pair ever becomes a row
+    and a term shared by every item costs one vector add, not n^2 join rows.
+    ``normalize_query`` divides by the query's L2 norm (cosine against
+    unit-length catalogue rows)."""
+    spark = queries.sparkSession
+    nnz, dim = catalog.select(F.count(F.lit(1)), F.max("idx")).first()
+    nnz, dim = int(nnz or 0), int(dim or 0) + 1
+    n_blocks = max(1, math.ceil(nnz * 16 / block_bytes))
+    qtype = dict((f.name, f.dataType) for f in queries.schema.fields)[qid]
+    ctype = dict((f.name, f.dataType) for f in catalog.schema.fields)[cid]
+    schema = T.StructType([
+        T.StructField(qid, qtype), T.StructField(cid, ctype),
+        T.StructField("score", T.DoubleType()), T.StructField("rank", T.IntegerType()),
+    ])
+    q = queries.select(qid, "idx", "val", *([exclude_col] if exclude_col else []))
+    parts = []
+    for b in range(n_blocks):
+        block = catalog if n_blocks == 1 else catalog.where(F.pmod(F.xxhash64(F.col(cid)), F.lit(n_blocks)) == b)
+        ids, ptr, pos, w = _collect_sparse_block(block, cid, "idx", "val", dim)
+        order_rank = np.arange(len(ids), dtype=np.int64)  # ids come back sorted from np.unique
+        bc = spark.sparkContext.broadcast((ids, ptr, pos, w, order_rank))
+        part = q.mapInPandas(_sparse_scorer(bc, qid, cid, k, exclude_col, exclude_self, normalize_query), schema)
+        if n_blocks > 1:
+            part = cut_lineage(part)
+            bc.unpersist()
+        parts.append(part)
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    if n_blocks > 1:
+        from pyspark.sql import Window
+
+        w = Window.partitionBy(qid).orderBy(F.desc(F.round("score", ROUND_DIGITS)), F.asc(cid))
+        out = out.withColumn("rank", F.row_number().over(w))
+        if k is not None:
+            out = out.where(F.col("rank") <= k)
+    return out
