@@ -61,7 +61,9 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> D
         *[F.col(c).alias(f"o{i}") for i, c in enumerate(order)],
         *[F.col(c).alias(f"p{i}") for i, c in enumerate(payload)],
     )
-    best = df.groupBy(*keys).agg(F.min(packed).alias("_best"))
+    # a struct buffer means a sort-based aggregate; when the input arrives in
+    # fewer partitions than cores, shuffle first so the sorts run everywhere
+    best = spread(df, *keys).groupBy(*keys).agg(F.min(packed).alias("_best"))
     out = best.select(
         *keys,
         *[F.col(f"_best.o{i}").alias(c) for i, c in enumerate(order)],
@@ -153,14 +155,14 @@ def with_previous(df: DataFrame, key: str, order: str, value: str, out: str = "p
     return res.drop("_pid", "_mid", "_first_mid", "_pk", "_pv")
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash-partition ``df`` on ``key`` when its scan yields fewer partitions
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition ``df`` on ``keys`` when its scan yields fewer partitions
     than the cluster has cores (a single large row group, a few big files), so
     CPU-heavy per-row work such as tokenising whole texts runs on every core.
-    A later ``groupBy(key, ...)`` reuses this partitioning (no second shuffle).
+    A later ``groupBy(*keys, ...)`` reuses this partitioning (no second shuffle).
     On a large input the scan is already split and ``df`` is returned as is."""
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= cores:
         return df
-    return df.repartition(max(cores, int(spark.conf.get("spark.sql.shuffle.partitions"))), key)
+    return df.repartition(max(cores, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)

@@ -79,11 +79,16 @@ def clean_metadata_text(c: Column | str) -> Column:
 
 
 @F.pandas_udf(StringType())
-def html_unescape(s: pd.Series) -> pd.Series:
+def _html_unescape(s: pd.Series) -> pd.Series:
     """HTML character references (named and numeric) -> characters, per Arrow batch."""
     return s.map(lambda x: html.unescape(x) if isinstance(x, str) else x)
 
 
+# Marked non-deterministic only so the optimizer does not copy it into filters
+# pushed below a projection (the Python call would then run twice per row).
+html_unescape = _html_unescape.asNondeterministic()
+
+
 def strip_tags_lazy(c: Column | str) -> Column:
     """``<.*?>`` (non-greedy, ``.`` stops at newlines) -> space."""
     return F.regexp_replace(_c(c), r"<[^\n]*?>", " ")

@@ -15,6 +15,7 @@ from ranktide.functions.relational import (
     first_per_key,
     reject_complex,
     require_columns,
+    spread,
 )
 
 
@@ -204,7 +205,8 @@ def rag_chunks(meta: DataFrame, item_col: str = "parent_asin", min_desc_chars: i
             return T.list_to_text(c)
         return F.coalesce(F.col(c).cast("string"), F.lit(""))
 
-    base = meta.where(F.col(item_col).isNotNull() & F.col("title").isNotNull())
+    # tag stripping and unescaping of whole descriptions is the CPU-heavy part
+    base = spread(meta.where(F.col(item_col).isNotNull() & F.col("title").isNotNull()), item_col)
     staged = base.select(
         F.col(item_col).cast("string").alias("id"),
         T.clean_retrieval_text(F.col("title")).alias("_title"),
