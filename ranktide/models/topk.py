@@ -248,3 +248,148 @@ def sparse_topk(queries: DataFrame, catalog: DataFrame, k: int | None, *, qid: s
         if k is not None:
             out = out.where(F.col("rank") <= k)
     return out
+
+
+# ---------------------------------------------------------------- fused sparse side
+def _profile_scores(pdf, r, ptr, pos, w, n, where, exclude_col, normalize_query):
+    """Positive scores of query row ``r`` against one block: (positions, scores)."""
+    empty = (np.zeros(0, dtype=np.int64), np.zeros(0))
+    qi, qv = pdf["idx"].values[r], pdf["val"].values[r]
+    if qi is None or n == 0 or len(qi) == 0:
+        return empty
+    qi = np.asarray(qi, dtype=np.int64)
+    qv = np.asarray(qv, dtype=np.float64)
+    starts, lens = ptr[qi], ptr[qi + 1] - ptr[qi]
+    total = int(lens.sum())
+    if total == 0:
+        return empty
+    offs = np.repeat(starts - (np.cumsum(lens) - lens), lens) + np.arange(total)
+    score = np.bincount(pos[offs], weights=w[offs] * np.repeat(qv, lens), minlength=n)
+    if normalize_query:
+        score = score / np.sqrt(np.dot(qv, qv))
+    ok = score > 0
+    seen = pdf[exclude_col].values[r] if exclude_col else None
+    if seen is not None:
+        js = [where[s] for s in seen if s in where]
+        ok[js] = False
+    cand = np.nonzero(ok)[0]
+    return cand, score[cand]
+
+
+def _range_scorer(bc, qid, exclude_col, normalize_query):
+    def run(batches):
+        ids, ptr, pos, w = bc.value
+        where = {v: i for i, v in enumerate(ids.tolist())}
+        for pdf in batches:
+            out = [(pdf[qid].values[r], s.min(), s.max())
+                   for r in range(len(pdf))
+                   for _, s in [_profile_scores(pdf, r, ptr, pos, w, len(ids), where, exclude_col, normalize_query)]
+                   if len(s)]
+            if out:
+                yield pd.DataFrame(out, columns=[qid, "_lo", "_hi"])
+
+    return run
+
+
+def _fused_scorer(bc, block: int, qid: str, cid: str, k: int, alphas, exclude_col, normalize_query,
+                  global_range: bool):
+    def run(batches):
+        ids, ptr, pos, w = bc.value
+        sids = ids.astype(str)
+        where = {v: i for i, v in enumerate(ids.tolist())}
+        for pdf in batches:
+            rows = []
+            for r in range(len(pdf)):
+                cpos, sc = _profile_scores(pdf, r, ptr, pos, w, len(ids), where, exclude_col, normalize_query)
+                if global_range:
+                    lo, hi = pdf["_lo"].values[r], pdf["_hi"].values[r]
+                elif len(sc):
+                    lo, hi = sc.min(), sc.max()
+                else:
+                    lo = hi = 0.0
+                sb = (sc - lo) / (hi - lo) if len(sc) and hi > lo else np.zeros(len(sc))
+                a_items, a_sa, a_blk = pdf["a_items"].values[r], pdf["a_sa"].values[r], pdf["a_blk"].values[r]
+                if a_items is not None and len(a_items):
+                    mine = np.asarray(a_blk) == block
+                    a_items = np.asarray(a_items, dtype=str)[mine]
+                    a_sa = np.asarray(a_sa, dtype=np.float64)[mine]
+                else:
+                    a_items, a_sa = np.zeros(0, dtype=str), np.zeros(0)
+                if len(sc) + len(a_items) == 0:
+                    continue
+                uid, inv = np.unique(np.concatenate([sids[cpos], a_items]), return_inverse=True)
+                vsb = np.bincount(inv, weights=np.concatenate([sb, np.zeros(len(a_items))]), minlength=len(uid))
+                vsa = np.bincount(inv, weights=np.concatenate([np.zeros(len(sc)), a_sa]), minlength=len(uid))
+                order_rank = np.arange(len(uid))
+                for alpha in alphas:
+                    f = alpha * vsa + (1 - alpha) * vsb
+                    best = np.lexsort((order_rank, -np.round(f, ROUND_DIGITS)))[:k]
+                    q = pdf[qid].values[r]
+                    rows.extend((alpha, q, uid[j], f[j], n + 1) for n, j in enumerate(best))
+            if rows:
+                yield pd.DataFrame(rows, columns=["alpha", qid, cid, "score", "rank"])
+
+    return run
+
+
+def fused_sparse_topk(queries: DataFrame, catalog: DataFrame, k: int, alphas, *, qid: str, cid: str,
+                      exclude_col: str | None = None, normalize_query: bool = False,
+                      block_bytes: int = DEFAULT_BLOCK_BYTES) -> DataFrame:
+    """(alpha, qid, cid, score, rank): top ``k`` per query and alpha of
+    ``alpha * sa + (1 - alpha) * sb``, where ``sb`` is the min-max normalised
+    positive sparse score of :func:`sparse_topk` over the whole catalogue and
+    ``sa`` a second, already normalised side given per query as the arrays
+    ``a_items`` / ``a_sa`` (0 where a side has no entry).
+
+    The sparse side is never materialised: each query's full score vector lives
+    only inside the task. With several catalogue blocks a first pass computes
+    every query's (min, max) over all blocks, the second scores each block with
+    that range; a side-``a`` candidate is handled by the block its id hashes to
+    (the block split's own hash), and block results merge by a ranking over at
+    most ``k * n_blocks`` rows per query and alpha."""
+    spark = queries.sparkSession
+    nnz, dim = catalog.select(F.count(F.lit(1)), F.max("idx")).first()
+    nnz, dim = int(nnz or 0), int(dim or 0) + 1
+    n_blocks = max(1, math.ceil(nnz * 16 / block_bytes))
+    qtype = dict((f.name, f.dataType) for f in queries.schema.fields)[qid]
+    ctype = dict((f.name, f.dataType) for f in catalog.schema.fields)[cid]
+    blk = lambda c: F.pmod(F.xxhash64(c), F.lit(n_blocks)).cast("int")
+    q = queries.select(qid, "idx", "val", "a_items", "a_sa", *([exclude_col] if exclude_col else [])).withColumn(
+        "a_blk", F.transform("a_items", lambda x: blk(x))
+    )
+    blocks = []
+    for b in range(n_blocks):
+        block = catalog if n_blocks == 1 else catalog.where(blk(F.col(cid)) == b)
+        ids, ptr, pos, w = _collect_sparse_block(block, cid, "idx", "val", dim)
+        blocks.append(spark.sparkContext.broadcast((ids, ptr, pos, w)))
+    if n_blocks > 1:
+        rng_schema = T.StructType([T.StructField(qid, qtype), T.StructField("_lo", T.DoubleType()),
+                                   T.StructField("_hi", T.DoubleType())])
+        ranges = None
+        for bc in blocks:
+            part = q.mapInPandas(_range_scorer(bc, qid, exclude_col, normalize_query), rng_schema)
+            ranges = part if ranges is None else ranges.unionByName(part)
+        ranges = ranges.groupBy(qid).agg(F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"))
+        q = cut_lineage(q.join(ranges, qid, "left"))
+    schema = T.StructType([
+        T.StructField("alpha", T.DoubleType()), T.StructField(qid, qtype), T.StructField(cid, ctype),
+        T.StructField("score", T.DoubleType()), T.StructField("rank", T.IntegerType()),
+    ])
+    alphas = [float(a) for a in alphas]
+    parts = []
+    for b, bc in enumerate(blocks):
+        part = q.mapInPandas(_fused_scorer(bc, b, qid, cid, k, alphas, exclude_col, normalize_query, n_blocks > 1),
+                             schema)
+        if n_blocks > 1:
+            part = cut_lineage(part)
+            bc.unpersist()
+        parts.append(part)
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    if n_blocks > 1:
+        from pyspark.sql import Window
+
+        wnd = Window.partitionBy("alpha", qid).orderBy(F.desc(F.round("score", ROUND_DIGITS)), F.asc(cid))
+        out = out.withColumn("rank", F.row_number().over(wnd)).where(F.col("rank") <= k)
+    return out

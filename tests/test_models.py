@@ -162,3 +162,26 @@ def test_sparse_topk_matches_brute_force(spark, block_bytes):
     assert {(r["qid"], r["cid"], r["rank"]) for r in got.collect()} == _brute_sparse(rows_q, rows_c, 4, True, True)
     every = sparse_topk(q, cat, None, qid="qid", cid="cid", block_bytes=block_bytes)
     assert {(r["qid"], r["cid"], r["rank"]) for r in every.collect()} == _brute_sparse(rows_q, rows_c, 99, False, False)
+
+
+@pytest.mark.parametrize("block_bytes", [1 << 28, 200])
+def test_fused_content_side_matches_materialised_fusion(spark, block_bytes):
+    """Fusion inside the scorer equals fusing the fully materialised content table."""
+    from ranktide.models import tfidf as TF
+
+    rng = np.random.default_rng(5)
+    vocab = ["red", "blue", "green", "lamp", "desk", "chair", "soft", "wood", "metal", "glass"]
+    docs = [(f"i{j:02d}", " ".join(rng.choice(vocab, size=int(rng.integers(2, 7))))) for j in range(30)]
+    w = TF.tfidf(spark.createDataFrame(docs, "item string, text string"), max_features=40)
+    hist = spark.createDataFrame(
+        [(f"u{u}", f"i{int(j):02d}") for u in range(12) for j in rng.choice(34, size=3, replace=False)],
+        "u string, i string")
+    side_a = spark.createDataFrame(
+        [(f"u{u}", f"i{int(j):02d}", float(rng.integers(1, 5))) for u in range(0, 14, 2)
+         for j in rng.choice(34, size=4, replace=False)],
+        "u string, i string, score double").join(hist, ["u", "i"], "left_anti")
+    alphas = [0.0, 0.7, 1.0]
+    b = TF.user_scores(hist, w, None).select("u", "i", "score")
+    want = {(r["alpha"], r["u"], r["i"], r["rank"]) for r in H.fuse_grid(side_a, b, alphas, 5).collect()}
+    got = H.fuse_with_content(side_a, hist, w, alphas, 5, block_bytes=block_bytes)
+    assert {(r["alpha"], r["u"], r["i"], r["rank"]) for r in got.collect()} == want
