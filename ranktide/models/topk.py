@@ -297,10 +297,11 @@ def _fused_scorer(bc, block: int, qid: str, cid: str, k: int, alphas, exclude_co
         ids, ptr, pos, w = bc.value
         sids = ids.astype(str)
         where = {v: i for i, v in enumerate(ids.tolist())}
+        n = len(ids)
         for pdf in batches:
             rows = []
             for r in range(len(pdf)):
-                cpos, sc = _profile_scores(pdf, r, ptr, pos, w, len(ids), where, exclude_col, normalize_query)
+                cpos, sc = _profile_scores(pdf, r, ptr, pos, w, n, where, exclude_col, normalize_query)
                 if global_range:
                     lo, hi = pdf["_lo"].values[r], pdf["_hi"].values[r]
                 elif len(sc):
@@ -317,15 +318,29 @@ def _fused_scorer(bc, block: int, qid: str, cid: str, k: int, alphas, exclude_co
                     a_items, a_sa = np.zeros(0, dtype=str), np.zeros(0)
                 if len(sc) + len(a_items) == 0:
                     continue
-                uid, inv = np.unique(np.concatenate([sids[cpos], a_items]), return_inverse=True)
-                vsb = np.bincount(inv, weights=np.concatenate([sb, np.zeros(len(a_items))]), minlength=len(uid))
-                vsa = np.bincount(inv, weights=np.concatenate([np.zeros(len(sc)), a_sa]), minlength=len(uid))
-                order_rank = np.arange(len(uid))
+                # slots: block positions (already in id order), then side-a items
+                # without text in this block; ``ordk`` interleaves them by id
+                a_pos = np.fromiter((where.get(x, -1) for x in a_items), dtype=np.int64, count=len(a_items))
+                extra = a_items[a_pos < 0]
+                a_pos[a_pos < 0] = n + np.arange(len(extra))
+                vsb = np.zeros(n + len(extra))
+                vsa = np.zeros(n + len(extra))
+                vsb[cpos] = sb
+                vsa[a_pos] = a_sa
+                ordk = np.concatenate([2 * np.arange(n), 2 * np.searchsorted(sids, extra) - 1])
+                cand = np.union1d(cpos, a_pos)
+                q = pdf[qid].values[r]
                 for alpha in alphas:
-                    f = alpha * vsa + (1 - alpha) * vsb
-                    best = np.lexsort((order_rank, -np.round(f, ROUND_DIGITS)))[:k]
-                    q = pdf[qid].values[r]
-                    rows.extend((alpha, q, uid[j], f[j], n + 1) for n, j in enumerate(best))
+                    f = alpha * vsa[cand] + (1 - alpha) * vsb[cand]
+                    key = -np.round(f, ROUND_DIGITS)
+                    cc = cand
+                    if len(cc) > k:
+                        keep = key <= np.partition(key, k - 1)[k - 1]
+                        cc, key = cc[keep], key[keep]
+                    best = cc[np.lexsort((ordk[cc], key))][:k]
+                    fb = alpha * vsa[best] + (1 - alpha) * vsb[best]
+                    for m, (j, sj) in enumerate(zip(best.tolist(), fb.tolist())):
+                        rows.append((alpha, q, sids[j] if j < n else extra[j - n], sj, m + 1))
             if rows:
                 yield pd.DataFrame(rows, columns=["alpha", qid, cid, "score", "rank"])
 
