@@ -147,53 +147,51 @@ def _collect_sparse_block(block: DataFrame, cid: str, idx: str, val: str, dim: i
     return ids, ptr, pos.astype(np.int64), w
 
 
+def _item_major(ptr: np.ndarray, pos: np.ndarray, w: np.ndarray, n: int):
+    """Item-major copy of a block (item p's terms at ``iptr[p]:iptr[p+1]``), used
+    to sum a user's seen rows into a profile inside the task."""
+    tix = np.repeat(np.arange(len(ptr) - 1), np.diff(ptr))
+    order = np.lexsort((tix, pos))
+    iptr = np.searchsorted(pos[order], np.arange(n + 1), side="left").astype(np.int64)
+    return iptr, tix[order].astype(np.int64), w[order], len(ptr) - 1
+
+
+def _gather(ptr: np.ndarray, rows: np.ndarray):
+    """Flat offsets of the slices ``ptr[r]:ptr[r+1]`` for every r in ``rows``."""
+    starts, lens = ptr[rows], ptr[rows + 1] - ptr[rows]
+    total = int(lens.sum())
+    return np.repeat(starts - (np.cumsum(lens) - lens), lens) + np.arange(total), lens
+
+
 def _sparse_scorer(bc, qid: str, cid: str, k: int | None, exclude_col: str | None, exclude_self: bool,
-                   normalize_query: bool):
+                   normalize_query: bool, profile_in_task: bool = False):
     def run(batches):
         ids, ptr, pos, w, order_rank = bc.value
         n = len(ids)
         where = {v: i for i, v in enumerate(ids.tolist())}
+        im = _item_major(ptr, pos, w, n) if profile_in_task else None
         for pdf in batches:
             out_q, out_c, out_s, out_r = [], [], [], []
             for r in range(len(pdf)):
-                qi = np.asarray(pdf["idx"].values[r], dtype=np.int64)
-                qv = np.asarray(pdf["val"].values[r], dtype=np.float64)
-                if n == 0 or len(qi) == 0:
-                    continue
-                starts, ends = ptr[qi], ptr[qi + 1]
-                lens = ends - starts
-                total = int(lens.sum())
-                if total == 0:
-                    continue
-                # flat positions of every (query term, block entry) without a Python loop
-                offs = np.repeat(starts - (np.cumsum(lens) - lens), lens) + np.arange(total)
-                score = np.bincount(pos[offs], weights=w[offs] * np.repeat(qv, lens), minlength=n)
-                if normalize_query:
-                    score = score / np.sqrt(np.dot(qv, qv))
-                ok = score > 0
-                if exclude_self:
+                cand, sc = _profile_scores(pdf, r, ptr, pos, w, n, where, exclude_col, normalize_query, im)
+                if exclude_self and len(cand):
                     j = where.get(pdf[qid].values[r])
                     if j is not None:
-                        ok[j] = False
-                if exclude_col is not None:
-                    seen = pdf[exclude_col].values[r]
-                    if seen is not None:
-                        js = [where[s] for s in seen if s in where]
-                        ok[js] = False
-                cand = np.nonzero(ok)[0]
+                        keep = cand != j
+                        cand, sc = cand[keep], sc[keep]
                 if len(cand) == 0:
                     continue
-                key = -np.round(score[cand], ROUND_DIGITS)
+                key = -np.round(sc, ROUND_DIGITS)
                 if k is not None and len(cand) > k:
-                    thr = np.partition(key, k - 1)[k - 1]
-                    cand, key = cand[key <= thr], key[key <= thr]
-                best = cand[np.lexsort((order_rank[cand], key))]
+                    keep = key <= np.partition(key, k - 1)[k - 1]
+                    cand, sc, key = cand[keep], sc[keep], key[keep]
+                order = np.lexsort((order_rank[cand], key))
                 if k is not None:
-                    best = best[:k]
-                out_q.extend([pdf[qid].values[r]] * len(best))
-                out_c.extend(ids[best].tolist())
-                out_s.extend(score[best].tolist())
-                out_r.extend(range(1, len(best) + 1))
+                    order = order[:k]
+                out_q.extend([pdf[qid].values[r]] * len(order))
+                out_c.extend(ids[cand[order]].tolist())
+                out_s.extend(sc[order].tolist())
+                out_r.extend(range(1, len(order) + 1))
             if out_q:
                 yield pd.DataFrame({qid: out_q, cid: out_c, "score": out_s, "rank": out_r})
 
@@ -202,7 +200,7 @@ def _sparse_scorer(bc, qid: str, cid: str, k: int | None, exclude_col: str | Non
 
 def sparse_topk(queries: DataFrame, catalog: DataFrame, k: int | None, *, qid: str, cid: str,
                 exclude_col: str | None = None, exclude_self: bool = False, normalize_query: bool = False,
-                block_bytes: int = DEFAULT_BLOCK_BYTES) -> DataFrame:
+                block_bytes: int = DEFAULT_BLOCK_BYTES, profile_in_task: bool = False) -> DataFrame:
     """(qid, cid, score, rank): inner products of sparse query vectors with a
     sparse catalogue, positive scores only, top ``k`` per query (all positive
     scores when ``k`` is None); ties by catalogue id.
@@ -214,25 +212,32 @@ def sparse_topk(queries: DataFrame, catalog: DataFrame, k: int | None, *, qid: s
     a gather and one ``bincount``, so no (query, entry) pair ever becomes a row
     and a term shared by every item costs one vector add, not n^2 join rows.
     ``normalize_query`` divides by the query's L2 norm (cosine against
-    unit-length catalogue rows)."""
+    unit-length catalogue rows). With ``profile_in_task`` the query vector is
+    the sum of the catalogue rows of the query's ``exclude_col`` items, built in
+    the task (the catalogue must fit one block, see :func:`single_block`)."""
     spark = queries.sparkSession
     nnz, dim = catalog.select(F.count(F.lit(1)), F.max("idx")).first()
     nnz, dim = int(nnz or 0), int(dim or 0) + 1
     n_blocks = max(1, math.ceil(nnz * 16 / block_bytes))
+    if profile_in_task and n_blocks > 1:
+        raise ValueError("profile_in_task needs the catalogue in one block (see single_block)")
     qtype = dict((f.name, f.dataType) for f in queries.schema.fields)[qid]
     ctype = dict((f.name, f.dataType) for f in catalog.schema.fields)[cid]
     schema = T.StructType([
         T.StructField(qid, qtype), T.StructField(cid, ctype),
         T.StructField("score", T.DoubleType()), T.StructField("rank", T.IntegerType()),
     ])
-    q = queries.select(qid, "idx", "val", *([exclude_col] if exclude_col else []))
+    vec = [] if profile_in_task else ["idx", "val"]
+    q = queries.select(qid, *vec, *([exclude_col] if exclude_col else []))
     parts = []
     for b in range(n_blocks):
         block = catalog if n_blocks == 1 else catalog.where(F.pmod(F.xxhash64(F.col(cid)), F.lit(n_blocks)) == b)
         ids, ptr, pos, w = _collect_sparse_block(block, cid, "idx", "val", dim)
         order_rank = np.arange(len(ids), dtype=np.int64)  # ids come back sorted from np.unique
         bc = spark.sparkContext.broadcast((ids, ptr, pos, w, order_rank))
-        part = q.mapInPandas(_sparse_scorer(bc, qid, cid, k, exclude_col, exclude_self, normalize_query), schema)
+        part = q.mapInPandas(
+            _sparse_scorer(bc, qid, cid, k, exclude_col, exclude_self, normalize_query, profile_in_task), schema
+        )
         if n_blocks > 1:
             part = cut_lineage(part)
             bc.unpersist()
@@ -251,14 +256,29 @@ def sparse_topk(queries: DataFrame, catalog: DataFrame, k: int | None, *, qid: s
 
 
 # ---------------------------------------------------------------- fused sparse side
-def _profile_scores(pdf, r, ptr, pos, w, n, where, exclude_col, normalize_query):
-    """Positive scores of query row ``r`` against one block: (positions, scores)."""
+def _profile_scores(pdf, r, ptr, pos, w, n, where, exclude_col, normalize_query, im=None):
+    """Positive scores of query row ``r`` against one block: (positions, scores).
+    With ``im`` (item-major arrays) the query vector is the sum of the rows of
+    the query's ``exclude_col`` items, built here instead of in a join."""
     empty = (np.zeros(0, dtype=np.int64), np.zeros(0))
-    qi, qv = pdf["idx"].values[r], pdf["val"].values[r]
-    if qi is None or n == 0 or len(qi) == 0:
+    if im is not None:
+        seen = pdf[exclude_col].values[r]
+        if seen is None or n == 0:
+            return empty
+        iptr, itix, iw, dim = im
+        rows = np.fromiter((where[x] for x in seen if x in where), dtype=np.int64)
+        offs, _ = _gather(iptr, rows)
+        acc = np.bincount(itix[offs], weights=iw[offs], minlength=dim)
+        qi = np.nonzero(acc)[0]
+        qv = acc[qi]
+    else:
+        qi, qv = pdf["idx"].values[r], pdf["val"].values[r]
+        if qi is None or n == 0:
+            return empty
+        qi = np.asarray(qi, dtype=np.int64)
+        qv = np.asarray(qv, dtype=np.float64)
+    if len(qi) == 0:
         return empty
-    qi = np.asarray(qi, dtype=np.int64)
-    qv = np.asarray(qv, dtype=np.float64)
     starts, lens = ptr[qi], ptr[qi + 1] - ptr[qi]
     total = int(lens.sum())
     if total == 0:
@@ -292,16 +312,17 @@ def _range_scorer(bc, qid, exclude_col, normalize_query):
 
 
 def _fused_scorer(bc, block: int, qid: str, cid: str, k: int, alphas, exclude_col, normalize_query,
-                  global_range: bool):
+                  global_range: bool, profile_in_task: bool = False):
     def run(batches):
         ids, ptr, pos, w = bc.value
         sids = ids.astype(str)
         where = {v: i for i, v in enumerate(ids.tolist())}
         n = len(ids)
+        im = _item_major(ptr, pos, w, n) if profile_in_task else None
         for pdf in batches:
             rows = []
             for r in range(len(pdf)):
-                cpos, sc = _profile_scores(pdf, r, ptr, pos, w, n, where, exclude_col, normalize_query)
+                cpos, sc = _profile_scores(pdf, r, ptr, pos, w, n, where, exclude_col, normalize_query, im)
                 if global_range:
                     lo, hi = pdf["_lo"].values[r], pdf["_hi"].values[r]
                 elif len(sc):
@@ -347,9 +368,14 @@ def _fused_scorer(bc, block: int, qid: str, cid: str, k: int, alphas, exclude_co
     return run
 
 
+def single_block(catalog: DataFrame, block_bytes: int = DEFAULT_BLOCK_BYTES, bytes_per_entry: int = 32) -> bool:
+    """Whether the long catalogue fits one broadcast block (term- and item-major)."""
+    return catalog.count() * bytes_per_entry <= block_bytes
+
+
 def fused_sparse_topk(queries: DataFrame, catalog: DataFrame, k: int, alphas, *, qid: str, cid: str,
                       exclude_col: str | None = None, normalize_query: bool = False,
-                      block_bytes: int = DEFAULT_BLOCK_BYTES) -> DataFrame:
+                      block_bytes: int = DEFAULT_BLOCK_BYTES, profile_in_task: bool = False) -> DataFrame:
     """(alpha, qid, cid, score, rank): top ``k`` per query and alpha of
     ``alpha * sa + (1 - alpha) * sb``, where ``sb`` is the min-max normalised
     positive sparse score of :func:`sparse_topk` over the whole catalogue and
@@ -368,8 +394,11 @@ def fused_sparse_topk(queries: DataFrame, catalog: DataFrame, k: int, alphas, *,
     n_blocks = max(1, math.ceil(nnz * 16 / block_bytes))
     qtype = dict((f.name, f.dataType) for f in queries.schema.fields)[qid]
     ctype = dict((f.name, f.dataType) for f in catalog.schema.fields)[cid]
+    if profile_in_task and n_blocks > 1:
+        raise ValueError("profile_in_task needs the catalogue in one block (see single_block)")
     blk = lambda c: F.pmod(F.xxhash64(c), F.lit(n_blocks)).cast("int")
-    q = queries.select(qid, "idx", "val", "a_items", "a_sa", *([exclude_col] if exclude_col else [])).withColumn(
+    vec = [] if profile_in_task else ["idx", "val"]
+    q = queries.select(qid, *vec, "a_items", "a_sa", *([exclude_col] if exclude_col else [])).withColumn(
         "a_blk", F.transform("a_items", lambda x: blk(x))
     )
     blocks = []
@@ -393,8 +422,8 @@ def fused_sparse_topk(queries: DataFrame, catalog: DataFrame, k: int, alphas, *,
     alphas = [float(a) for a in alphas]
     parts = []
     for b, bc in enumerate(blocks):
-        part = q.mapInPandas(_fused_scorer(bc, b, qid, cid, k, alphas, exclude_col, normalize_query, n_blocks > 1),
-                             schema)
+        part = q.mapInPandas(_fused_scorer(bc, b, qid, cid, k, alphas, exclude_col, normalize_query, n_blocks > 1,
+                                           profile_in_task), schema)
         if n_blocks > 1:
             part = cut_lineage(part)
             bc.unpersist()

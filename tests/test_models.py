@@ -185,3 +185,19 @@ def test_fused_content_side_matches_materialised_fusion(spark, block_bytes):
     want = {(r["alpha"], r["u"], r["i"], r["rank"]) for r in H.fuse_grid(side_a, b, alphas, 5).collect()}
     got = H.fuse_with_content(side_a, hist, w, alphas, 5, block_bytes=block_bytes)
     assert {(r["alpha"], r["u"], r["i"], r["rank"]) for r in got.collect()} == want
+
+
+def test_profile_in_task_matches_spark_profiles(spark):
+    """Summing a user's item rows inside the scorer equals the (user, term) aggregate."""
+    from ranktide.models import tfidf as TF
+
+    rng = np.random.default_rng(9)
+    vocab = ["oak", "pine", "birch", "lamp", "shade", "bulb", "rug", "wool", "silk", "jute"]
+    docs = [(f"i{j:02d}", " ".join(rng.choice(vocab, size=int(rng.integers(1, 6))))) for j in range(25)]
+    w = TF.tfidf(spark.createDataFrame(docs, "item string, text string"), max_features=30)
+    hist = spark.createDataFrame(
+        [(f"u{u}", f"i{int(j):02d}") for u in range(10) for j in rng.choice(28, size=4, replace=False)],
+        "u string, i string")
+    key = lambda d: {(r["u"], r["i"], r["rank"], round(r["score"], 9)) for r in d.collect()}
+    assert TF.profile_queries(hist, w)[1] and not TF.profile_queries(hist, w, block_bytes=64)[1]
+    assert key(TF.user_scores(hist, w, 4)) == key(TF.user_scores(hist, w, 4, block_bytes=64))
