@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ranktide.llm import bpe, chat, sharding, warc
+from ranktide.llm import bpe, chat, decontam, quality, sharding, substring, warc
 from ranktide.llm.common import read, shared_path
 
 SHARDS = 40
@@ -16,6 +16,17 @@ TOKENIZER = "byte_bpe_multi_50k.tiktoken"
 EXTRA_CONVERSATION = "\\### Assistant: </turn> ok"
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and divergence verdict of every document."""
+    return quality.judge(read(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items inside documents."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontam.find(docs, read(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write every page as a WARC record, read the archives back."""
     root = shared_path(spark, "warc")
@@ -45,8 +56,14 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(docs, bpe.rank_file(public_tokenizers.path(TOKENIZER)))
 
 
+def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of 50 words that a document of smaller id has, cut from every document."""
+    out = substring.remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op6_warc, op7_sharding, op8_chat, op9_bpe)
+    f.__name__: f for f in (op1_quality, op3_decontamination, op6_warc, op7_sharding, op8_chat, op9_bpe, op10_substring)
 }
 
 
