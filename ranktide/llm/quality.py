@@ -6,7 +6,8 @@ Jensen-Shannon distance (base 2, so 0 to 1) of a histogram to the reference pass
 length are not judged by that histogram, since few counts are far from anything.
 
 References exist for languages with at least 1/``share`` of all words, so at most ``share`` of them travel to the
-tasks; documents of any other language (or none) are compared with the sum of all."""
+tasks; documents of any other language (or none) are compared with each, and with the sum of all, and the nearest
+counts."""
 
 from __future__ import annotations
 
@@ -95,6 +96,13 @@ def distance(p: np.ndarray, q: np.ndarray) -> float:
     return max(0.0, (half(p) + half(q)) / 2) ** 0.5
 
 
+def word_distance(words: Counter, bins: dict[str, int], reference: np.ndarray) -> float:
+    own = np.zeros(len(reference), np.int64)
+    for word, times in words.items():
+        own[bins.get(bare(word), len(bins))] += times
+    return distance(own, reference)
+
+
 def references(docs: DataFrame, rules: Rules = Rules()) -> dict[str, tuple[list[int], dict[str, int], int]]:
     """For each language, "" being all together: counts of the character classes, counts of its common words, and all
     words. Over every document; at most ``share + 1`` languages with ``common`` words each reach the driver."""
@@ -155,7 +163,7 @@ def judge(docs: DataFrame, rules: Rules = Rules(), keep: tuple[str, ...] = ()) -
 
     ``base_failed``: under ``base_min_words`` words, or over ``base_max_repeat_percent`` of them in repeated triples.
     ``kept``: neither that nor a distance over its limit. A distance is null where the text is too short for it. A
-    null text has no words and fails; a null or rare language is compared with all; repeated rows are judged each;
+    null text has no words and fails; a null or rare language is held against every reference; repeated rows are judged each;
     columns not in ``keep`` are ignored; no rows give no rows."""
     names = [c.split()[0] for c in COLUMNS.split(", ")]
     assert not set(keep) & {"doc_id", *names}
@@ -174,15 +182,12 @@ def judge(docs: DataFrame, rules: Rules = Rules(), keep: tuple[str, ...] = ()) -
             chars, symbols, lines, repeated = base_counts(text, words)
             failed = n < rules.base_min_words or 100 * repeated > rules.base_max_repeat_percent * n
             by_class = by_word = None
-            classes, bins, reference = ready.get(lang) or ready[""]
+            against = [ready[lang]] if lang and lang in ready else ready.values()
             if len(text) >= rules.min_class_chars:
-                by_class = distance(class_counts(text), classes)
+                own = class_counts(text)
+                by_class = min(distance(own, classes) for classes, _, _ in against)
             if n >= rules.min_words:
-                own = np.zeros(len(reference), np.int64)
-                other = len(bins)
-                for word, times in Counter(words).items():
-                    own[bins.get(bare(word), other)] += times
-                by_word = distance(own, reference)
+                by_word = min(word_distance(Counter(words), bins, reference) for _, bins, reference in against)
             far = (by_class or 0) > rules.max_class_distance or (by_word or 0) > rules.max_word_distance
             return n, chars, symbols, lines, repeated, failed, not failed and not far, by_class, by_word
 
