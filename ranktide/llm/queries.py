@@ -8,11 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ranktide.llm import bpe, chat, decontam, quality, sharding, substring, warc
+from ranktide.llm import bpe, chat, decontam, lm, neardup, quality, sharding, substring, urls, warc
 from ranktide.llm.common import read, shared_path
 
 SHARDS = 40
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
+RULES = [urls.Rule("allow", "com/"), urls.Rule("block", "example.com/en/"), urls.Rule("allow", "www.example.com/en/"),
+         urls.Rule("block", "net/es/"), urls.Rule("block", "net/fr/")]
 EXTRA_CONVERSATION = "\\### Assistant: </turn> ok"
 
 
@@ -21,12 +23,36 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(read(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
 
+def op2_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every document."""
+    return neardup.classes(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items inside documents."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return decontam.find(docs, read(spark, sf_dir, "benchmark").select("item_id", "text"))
 
 
+def op4_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cross-entropy difference of every document; documents labelled as good are the target."""
+    target = read(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    out = lm.score(read(spark, sf_dir, "documents").select("doc_id", "text"), target)
+    return out.select("doc_id", "n_tokens", *[F.round(c, 6).alias(c) for c in ("target_loss", "background_loss", "difference")])
+
+
+def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict for every page. The dictionary is of all documents; a page is labelled through the document that its
+    path numbers: block if that is labelled bad or toxic."""
+    pages = read(spark, sf_dir, "pages").select("page_id", "url")
+    counts = urls.dictionary(read(spark, sf_dir, "documents").select("text"))
+    labels = read(spark, sf_dir, "labels").groupBy("doc_id").agg(
+        F.max((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("block")).where("block IS NOT NULL")
+    numbered = urls.located(pages).withColumn("doc_id", F.expr("try_cast(regexp_extract(path, '/([0-9]+)[^/]*/?$', 1) AS long)"))
+    model = urls.train(numbered.join(labels, "doc_id"), counts)
+    return urls.judge(pages, RULES, counts, model).withColumn("odds", F.round("odds", 6))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write every page as a WARC record, read the archives back."""
     root = shared_path(spark, "warc")
@@ -63,7 +89,7 @@ def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality, op3_decontamination, op6_warc, op7_sharding, op8_chat, op9_bpe, op10_substring)
+    f.__name__: f for f in (op1_quality, op2_neardup, op3_decontamination, op4_lm, op5_urls, op6_warc, op7_sharding, op8_chat, op9_bpe, op10_substring)
 }
 
 
