@@ -114,29 +114,33 @@ def k_core(df: DataFrame, thresholds: dict[str, int], max_iterations: int = 3) -
     """Iterative k-core (C4): per pass, in dict order, keep values whose row count
     is strictly greater than the threshold; stop when a pass removes nothing.
 
-    Counts are aggregates (map-side combine); the filter is a semi join that
-    AQE may turn into a broadcast or split when skewed. Each pass is written
-    to the shared checkpoint folder so lineage stays flat and a lost executor
-    only recomputes one pass.
+    Passes run on the distinct key combinations and their row counts, not on
+    the rows: counts are aggregates (map-side combine), the filter is a semi
+    join, and each pass is written to the shared checkpoint folder. The rows
+    themselves are read once more at the end, for the keys that remain.
     """
-    require_columns(df, list(thresholds))
-    cur = cut_lineage(df)
-    before = cur.count()
+    cols = require_columns(df, list(thresholds))
+    keys = cut_lineage(df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n")))
+    before = _rows(keys)
     sizes: list[int] = []
     converged = False
     it = 0
     for it in range(1, max_iterations + 1):
         for col, k in thresholds.items():
-            keep = cur.groupBy(col).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > k).select(col)
-            cur = keep_keys(cur, keep, col)
-        cur = cut_lineage(cur)
-        after = cur.count()
+            keep = keys.groupBy(col).agg(F.sum("_n").alias("_s")).where(F.col("_s") > k).select(col)
+            keys = keep_keys(keys, keep, col)
+        keys = cut_lineage(keys)
+        after = _rows(keys)
         sizes.append(after)
         if after == before:
             converged = True
             break
         before = after
-    return KCoreResult(cur, it, converged, sizes)
+    return KCoreResult(keep_keys(df, keys.select(*cols), cols), it, converged, sizes)
+
+
+def _rows(keys: DataFrame) -> int:
+    return keys.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
 
 
 def item_counts(df: DataFrame, item_col: str = "parent_asin") -> DataFrame:
