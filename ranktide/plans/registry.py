@@ -46,6 +46,7 @@ def load_all() -> None:
         q_filters,
         q_io,
         q_models,
+        q_prep,
         q_retrieval,
         q_text,
     )
