@@ -8,11 +8,11 @@ items masked.
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -69,6 +69,13 @@ def _n_items(a: DataFrame) -> int:
     return int(a.agg(F.max("i")).first()[0]) + 1
 
 
+def vectors_frame(spark, id_col: str, matrix: np.ndarray) -> DataFrame:
+    """(id, features): the rows of a matrix, numbered from 0."""
+    return spark.createDataFrame(pa.table({
+        id_col: pa.array(np.arange(len(matrix)), pa.int32()),
+        "features": pa.array(list(matrix), pa.list_(pa.float64()))}))
+
+
 def _by_user(a: DataFrame) -> DataFrame:
     return a.repartition("u").sortWithinPartitions("u")
 
@@ -189,100 +196,73 @@ def fit_svd(train: DataFrame, k: int = 64, oversample: int = 10, power_iters: in
     v = v0 @ w[:, order[:kk]]                              # n_items x k right singular vectors
     bv = sc.broadcast(v)
     users = _times_dense(a, lambda: bv.value, kk).withColumnRenamed("vec", "features")
-    spark = a.sparkSession
-    items = spark.createDataFrame(
-        pd.DataFrame({"i": np.arange(n_items, dtype=np.int32), "features": list(v)})
-    )
-    return FactorModel(cut_lineage(users), items)
+    return FactorModel(cut_lineage(users), vectors_frame(a.sparkSession, "i", v))
 
 
 # ------------------------------------------------------------------ BPR
-def sample_triples(train: DataFrame, n_items: int, epoch: int, seed: int = 42, max_rounds: int = 64) -> DataFrame:
-    """(u, pos, neg): one triple per positive; the negative is a seeded hash draw,
-    redrawn only for the slots that hit one of the user's positives."""
-    seen = train.select("u", F.col("i").alias("neg"))
-    todo = train.select("u", F.col("i").alias("pos"))
-    parts = []
-    for rnd in range(max_rounds):
-        draw = cut_lineage(todo.withColumn(
-            "neg", F.pmod(F.xxhash64("u", "pos", F.lit(epoch), F.lit(rnd), F.lit(seed)), F.lit(n_items)).cast("int")
-        ))
-        parts.append(draw.join(seen, ["u", "neg"], "left_anti"))
-        todo = cut_lineage(draw.join(seen, ["u", "neg"], "left_semi").select("u", "pos"))
-        if todo.isEmpty():
-            break
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def fit_bpr(train: DataFrame, factors: int = 64, lr: float = 0.01, reg: float = 0.01, epochs: int = 100,
+            seed: int = 42, shards: int = 16, mix_every: int = 10, batch: int = 256) -> FactorModel:
+    """M5: BPR-MF by iterative parameter mixing over a fixed number of user shards.
 
+    A user's items and factors are one row, hashed to one of ``shards`` partitions (a parameter, so the model does not
+    depend on the cluster). Each job runs ``mix_every`` epochs per shard against a broadcast copy of the item factors
+    (bounded by the catalogue): per epoch every positive gets a fresh unseen item and the triples are applied in
+    shuffled mini-batches. User factors stay with their rows; an item's updates are averaged over the shards that
+    touched it."""
+    from ranktide.models.fm import seen_items, unseen
 
-def fit_bpr(train: DataFrame, factors: int = 64, lr: float = 0.01, reg: float = 0.01, epochs: int = 10,
-            seed: int = 42) -> FactorModel:
-    """M5: BPR-MF trained with iterative parameter mixing: every epoch, each
-    partition of (u, pos, neg) triples runs SGD over its own users against a
-    broadcast copy of the item factors (catalogue-bounded); user factors stay
-    with their partition's users, item updates are averaged across partitions.
-    One Spark job per epoch; factors are checkpointed every epoch."""
     spark = train.sparkSession
-    sc = spark.sparkContext
-    a = cut_lineage(train.select(F.col("u").cast("int"), F.col("i").cast("int")).distinct())
-    n_items = _n_items(a.withColumn("value", F.lit(1.0)))
+    n_items = _n_items(train)
     if n_items * factors * 8 > MAX_DENSE_BYTES:
         raise ValueError("catalogue too large for broadcast item factors")
-    rng = np.random.default_rng(seed)
-    item_f = rng.normal(0, 0.01, (n_items, factors))
-    users = a.select("u").distinct().withColumn(
-        "features", F.transform(F.sequence(F.lit(1), F.lit(factors)),
-                                lambda j: (F.pmod(F.xxhash64("u", j, F.lit(seed)), F.lit(2000)) - 1000) / F.lit(1e5))
-    )
-    users = cut_lineage(users)
-    schema = T.StructType([
-        T.StructField("kind", T.StringType()), T.StructField("id", T.IntegerType()),
-        T.StructField("features", T.ArrayType(T.DoubleType())), T.StructField("n", T.LongType()),
-    ])
-    for epoch in range(epochs):
-        bc = sc.broadcast(item_f)
-        trip = sample_triples(a.select("u", "i"), n_items, epoch, seed).join(users, "u")
-        trip = trip.repartition("u").sortWithinPartitions(F.xxhash64("u", "pos", F.lit(epoch)))
-
-        def run(batches, bc=bc):
-            q = bc.value.copy()
-            base = bc.value
-            pu: dict[int, np.ndarray] = {}
-            for pdf in batches:
-                for u, i, j, f in zip(pdf["u"].to_numpy(), pdf["pos"].to_numpy(), pdf["neg"].to_numpy(),
-                                      pdf["features"].to_numpy()):
-                    p = pu.get(u)
-                    if p is None:
-                        p = np.asarray(f, dtype=np.float64).copy()
-                        pu[u] = p
-                    d = q[i] - q[j]
-                    z = 1.0 / (1.0 + math.exp(min(50.0, float(p @ d))))
-                    gp = z * d - reg * p
-                    gi = z * p - reg * q[i]
-                    gj = -z * p - reg * q[j]
-                    p += lr * gp
-                    q[i] += lr * gi
-                    q[j] += lr * gj
-            if pu:
-                yield pd.DataFrame({"kind": "u", "id": np.fromiter(pu.keys(), dtype=np.int32),
-                                    "features": list(pu.values()), "n": 1})
+    start = F.transform(F.sequence(F.lit(1), F.lit(factors)),
+                        lambda j: (F.pmod(F.xxhash64("u", j, F.lit(seed)), F.lit(2000)) - 1000) / F.lit(1e5))
+    users = cut_lineage(seen_items(train.select(F.col("u").cast("int"), F.col("i").cast("int")))
+                        .repartition(shards, "u").sortWithinPartitions("u").withColumn("features", start))
+    item_f = np.random.default_rng(seed).normal(0, 0.01, (n_items, factors))
+    schema = "kind string, id int, seen array<int>, features array<double>"
+
+    for first in range(0, epochs, mix_every):
+        shared = spark.sparkContext.broadcast(item_f)
+        rounds = range(first, min(epochs, first + mix_every))
+
+        def run(batches, shared=shared, rounds=rounds):
+            pdf = pd.concat(list(batches), ignore_index=True)
+            if not len(pdf):
+                return
+            base = shared.value
+            q, p = base.copy(), np.stack(pdf["features"].to_numpy()).astype(np.float64)
+            seen = [np.asarray(s, dtype=np.int64) for s in pdf["seen"]]
+            ids = pdf["u"].tolist()
+            for epoch in rounds:
+                drawn = [unseen(s, n_items, 1, (seed * 1009 + epoch) * 0x9E3779B1 + u) for u, s in zip(ids, seen)]
+                sizes = [len(d) for d in drawn]
+                row = np.repeat(np.arange(len(seen)), sizes)
+                pos = np.concatenate([s[:n] for s, n in zip(seen, sizes)])
+                neg = np.concatenate(drawn)
+                order = np.random.default_rng((seed, epoch, ids[0])).permutation(len(row))
+                for at in range(0, len(order), batch):
+                    own = order[at: at + batch]
+                    u, i, j = row[own], pos[own], neg[own]
+                    pu, d = p[u], q[i] - q[j]
+                    z = (1.0 / (1.0 + np.exp(np.clip((pu * d).sum(axis=1), -50, 50))))[:, None]
+                    np.add.at(p, u, lr * (z * d - reg * pu))
+                    gi, gj = lr * (z * pu - reg * q[i]), lr * (-z * pu - reg * q[j])
+                    np.add.at(q, i, gi)
+                    np.add.at(q, j, gj)
+            yield pd.DataFrame({"kind": "u", "id": pdf["u"].astype("int32"), "seen": pdf["seen"], "features": list(p)})
             delta = q - base
-            rows = np.nonzero(np.any(delta != 0, axis=1))[0]
-            if len(rows):
-                yield pd.DataFrame({"kind": "i", "id": rows.astype(np.int32), "features": list(delta[rows]), "n": 1})
-
-        out = cut_lineage(trip.select("u", "pos", "neg", "features").mapInPandas(run, schema))
-        new_users = out.where(F.col("kind") == "u").select(F.col("id").alias("u"), "features")
-        users = cut_lineage(users.join(new_users.withColumnRenamed("features", "_nf"), "u", "left").select(
-            "u", F.coalesce("_nf", "features").alias("features")))
-        deltas = out.where(F.col("kind") == "i").select("id", F.posexplode("features").alias("j", "v")).groupBy(
-            "id", "j").agg(F.sum("v").alias("v"), F.count(F.lit(1)).alias("n"))
-        tbl = deltas.toArrow()
-        ids, js = tbl.column("id").to_numpy(), tbl.column("j").to_numpy()
+            moved = np.flatnonzero(np.any(delta != 0, axis=1))
+            yield pd.DataFrame({"kind": "i", "id": moved.astype(np.int32), "seen": None, "features": list(delta[moved])})
+
+        out = cut_lineage(users.select("u", "seen", "features").mapInPandas(run, schema))
+        users = out.where("kind = 'u'").select(F.col("id").alias("u"), "seen", "features")
         item_f = item_f.copy()
-        item_f[ids, js] += tbl.column("v").to_numpy() / tbl.column("n").to_numpy()
-        bc.unpersist()
-    items = spark.createDataFrame(pd.DataFrame({"i": np.arange(n_items, dtype=np.int32), "features": list(item_f)}))
-    return FactorModel(users, items)
+        total, touched = np.zeros_like(item_f), np.zeros(n_items)
+        # at most shards x catalogue rows, one shard's at a time
+        for r in out.where("kind = 'i'").select("id", "features").toLocalIterator():
+            total[r.id] += r.features
+            touched[r.id] += 1
+        item_f += total / np.maximum(touched, 1)[:, None]
+        shared.unpersist()
+    return FactorModel(users.select("u", "features"), vectors_frame(spark, "i", item_f))

@@ -221,7 +221,7 @@ def sample_users(df: DataFrame, n: int, user_col: str = "user_id", seed: int = 4
     users = df.select(user_col).where(F.col(user_col).isNotNull()).distinct()
     if n <= 0:
         return users
-    return users.orderBy(F.xxhash64(F.col(user_col), F.lit(seed)), F.col(user_col)).limit(n)
+    return users.orderBy(F.md5(F.concat(F.col(user_col).cast("string"), F.lit(f"|{seed}"))), F.col(user_col)).limit(n)
 
 
 def sample_user_fraction(df: DataFrame, rate: float = 0.1, user_col: str = "user_id", seed: int = 42) -> DataFrame:

@@ -211,7 +211,10 @@ def q_store_tier(spark, sf_dir):
     return out.select("parent_asin", "store", "store_tier")
 
 
-# ------------------------------------------------------------------ G12 (rows only: hash order)
-@register("user_sample")
+# ------------------------------------------------------------------ G12
+@register(
+    "user_sample",
+    "SELECT user_id FROM (SELECT DISTINCT user_id FROM reviews) ORDER BY md5(user_id || '|42'), user_id LIMIT 100",
+)
 def q_user_sample(spark, sf_dir):
     return G.sample_users(_reviews(spark, sf_dir), 100, seed=42)

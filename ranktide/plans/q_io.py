@@ -79,7 +79,10 @@ def q_split_roundtrip(spark, sf_dir):
     return spark.read.parquet(path).where(F.col("split") == "val")
 
 
-@register("split_validate")
+@register(
+    "split_validate",
+    "SELECT * FROM (VALUES ('row_count', TRUE), ('schema', TRUE), ('unit_range:helpful_vote_norm', TRUE)) v(\"check\", ok)",
+)
 def q_split_validate(spark, sf_dir):
     r, path = _split_written(spark, sf_dir)
     back = spark.read.parquet(path).select(*r.columns)
@@ -135,8 +138,13 @@ def q_stream_daily_counts(spark, sf_dir):
     return S.run_counts_to_table(counts, "daily-counts")
 
 
-@register("stream_clean")
+@register(
+    "stream_clean",
+    """WITH e AS (SELECT user_id, event_type, CASE WHEN trim(props) IN ('None', '', '[]', 'nan') THEN NULL ELSE props END AS props
+                  FROM events)
+       SELECT DISTINCT * FROM e WHERE user_id IS NOT NULL AND event_type IS NOT NULL""",
+)
 def q_stream_clean(spark, sf_dir):
     cleaned = S.clean_stream(_events_stream(spark, sf_dir), "ts", ["event_type", "props"],
                              ["user_id", "event_type"], ["user_id", "event_type", "props"])
-    return spark.read.parquet(S.run_to_parquet(cleaned, "clean"))
+    return spark.read.parquet(S.run_to_parquet(cleaned, "clean")).select("user_id", "event_type", "props")

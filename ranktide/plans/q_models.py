@@ -160,7 +160,7 @@ def _factor_recs(model, cf: CodedFrames):
 # where noted for local runs.
 ALS_PARAMS = dict(rank=64, reg=0.1, iterations=20)
 SVD_PARAMS = dict(k=64, oversample=10, power_iters=2)
-BPR_PARAMS = dict(factors=64, lr=0.01, reg=0.01, epochs=10)   # reference: 100 epochs
+BPR_PARAMS = dict(factors=64, lr=0.01, reg=0.01, epochs=100)
 FM_PARAMS = dict(factor_size=32, step=1e-3, iterations=5, negatives=4)
 
 
@@ -248,6 +248,74 @@ def q_negative_samples(spark, sf_dir):
     return negative_samples(cf.train, cf.n_items, FM_PARAMS["negatives"])
 
 
+CODED_SQL = FRAMES_SQL + f"""
+uc AS (SELECT u, DENSE_RANK() OVER (ORDER BY u) - 1 AS c FROM (SELECT DISTINCT u FROM f WHERE y <= {VAL_YEAR})),
+ic AS (SELECT i, DENSE_RANK() OVER (ORDER BY i) - 1 AS c FROM (SELECT DISTINCT i FROM f WHERE y <= {VAL_YEAR})),
+"""
+
+
+@register(
+    "negative_samples_check",
+    CODED_SQL + f"""d AS (SELECT u, COUNT(DISTINCT i) AS n FROM tr GROUP BY u)
+    SELECT uc.c::INT AS u, n AS positives, {4} * n AS negatives, 0 AS seen_negatives, 0 AS outside
+    FROM d JOIN uc ON uc.u = d.u""",
+)
+def q_negative_samples_check(spark, sf_dir):
+    """Per user: positives, negatives, negatives that the user has seen, negatives outside the catalogue."""
+    from ranktide.models.fm import negative_samples
+
+    cf = coded_frames(spark, sf_dir)
+    drawn = negative_samples(cf.train, cf.n_items, FM_PARAMS["negatives"])
+    seen = cf.train.select("u", "i").distinct().withColumn("_seen", F.lit(1))
+    return drawn.join(seen, ["u", "i"], "left").groupBy("u").agg(
+        F.count_if(F.expr("label = 1")).alias("positives"), F.count_if(F.expr("label = 0")).alias("negatives"),
+        F.count_if(F.expr("label = 0 AND _seen = 1")).alias("seen_negatives"),
+        F.count_if(F.expr(f"i < 0 OR i >= {cf.n_items}")).alias("outside"))
+
+
+def _recs_contract(model, cf: CodedFrames):
+    """Per validation user known in training: recommendations, seen ones among them, and whether ranks run from 1 with
+    falling scores."""
+    recs = _factor_recs(model, cf)
+    seen = cf.train.select("u", "i").distinct().withColumn("_seen", F.lit(1))
+    known = cf.train.select("u").distinct()
+    return recs.join(known, "u", "left_semi").join(seen, ["u", "i"], "left").groupBy("u").agg(
+        F.count(F.lit(1)).alias("n_recs"), F.count("_seen").alias("n_seen"),
+        (F.max("rank") == F.count(F.lit(1))).alias("_dense"),
+        F.sort_array(F.collect_list(F.struct("rank", F.round("score", 6).alias("score")))).alias("_s"),  # at most k rows
+    ).select("u", "n_recs", "n_seen", (F.col("_dense") & (F.col("_s.score") == F.reverse(F.sort_array("_s.score")))).alias("ordered"))
+
+
+_CONTRACT_SQL = CODED_SQL + f"""n AS (SELECT COUNT(DISTINCT i) AS items FROM tr),
+d AS (SELECT u, COUNT(DISTINCT i) AS n FROM tr GROUP BY u)
+SELECT uc.c::INT AS u, LEAST({K_EVAL}, n.items - d.n) AS n_recs, 0 AS n_seen, TRUE AS ordered
+FROM d JOIN uc ON uc.u = d.u JOIN eu ON eu.u = d.u CROSS JOIN n"""
+
+
+@register("als_recs_check", _CONTRACT_SQL)
+def q_als_recs_check(spark, sf_dir):
+    cf, m = _als(spark, sf_dir)
+    return _recs_contract(m, cf)
+
+
+@register("svd_recs_check", _CONTRACT_SQL)
+def q_svd_recs_check(spark, sf_dir):
+    cf, m = _svd(spark, sf_dir)
+    return _recs_contract(m, cf)
+
+
+@register("bpr_recs_check", _CONTRACT_SQL)
+def q_bpr_recs_check(spark, sf_dir):
+    cf, m = _bpr(spark, sf_dir)
+    return _recs_contract(m, cf)
+
+
+@register("fm_recs_check", _CONTRACT_SQL)
+def q_fm_recs_check(spark, sf_dir):
+    cf, m = _fm(spark, sf_dir)
+    return _recs_contract(m, cf)
+
+
 @register("fm_recs")
 def q_fm_recs(spark, sf_dir):
     cf, m = _fm(spark, sf_dir)
@@ -280,7 +348,7 @@ def q_model_comparison(spark, sf_dir):
     return coded.unionByName(knn).orderBy(F.desc_nulls_last("hit_rate"))
 
 
-TUNING_TRIALS = 4   # the reference runs 15; the library default is 15 (serving.tune_als)
+TUNING_TRIALS = 15
 
 
 @register("als_tuning")
@@ -291,7 +359,12 @@ def q_als_tuning(spark, sf_dir):
     return tune_als(cf.train, cf.truth, cf.users, n_trials=TUNING_TRIALS)
 
 
-@register("user_sample_fraction")
+@register(
+    "user_sample_fraction",
+    """WITH u AS (SELECT DISTINCT user_id FROM reviews)
+       SELECT user_id FROM (SELECT user_id, ROW_NUMBER() OVER (ORDER BY md5(user_id || '|42'), user_id) AS r FROM u)
+       WHERE r <= CAST(floor(0.1 * (SELECT COUNT(*) FROM u)) AS BIGINT)""",
+)
 def q_user_sample_fraction(spark, sf_dir):
     from ranktide.operators import features as G
 

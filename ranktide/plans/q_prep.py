@@ -8,15 +8,16 @@ from ranktide.functions.relational import r6
 from ranktide.operators import eda as E
 from ranktide.operators import features as G
 from ranktide.operators import preprocess as P
-from ranktide.plans.q_filters import KCORE_CONVERGING, kcore_sql
+from ranktide.plans.q_filters import kcore_sql
 from ranktide.plans.registry import register
 from ranktide.sources import fixtures as fx
 from ranktide.sources import io as IO
 
-VAL_YEAR, TEST_YEAR, MAX_PER_DAY, TOP_N = 2000, 2001, 5, 500
+VAL_YEAR, TEST_YEAR, MAX_PER_DAY, TOP_N = 2000, 2001, 9, 500
 TIER = (10, 14, 3.0)
+KCORE = {"user_id": 5, "parent_asin": 5}
 # Day-granular fixture timestamps: equal times have gap 0, so the gap rule is off here (spam_users tests it).
-SETTINGS = P.Settings(max_reviews_per_day=MAX_PER_DAY, min_time_gap=0, k_core=KCORE_CONVERGING, top_n=TOP_N,
+SETTINGS = P.Settings(max_reviews_per_day=MAX_PER_DAY, min_time_gap=0, k_core=KCORE, top_n=TOP_N,
                       val_year=VAL_YEAR, test_year=TEST_YEAR, store_tier=TIER, tiebreak=tuple(fx.REVIEW_TIEBREAK))
 
 
@@ -31,7 +32,7 @@ def prepared(spark, sf_dir) -> P.Prepared:
     return P.preprocess(reviews_with_text(spark, sf_dir), fx.metadata(spark, sf_dir, with_arrays=False), SETTINGS)
 
 
-_KCORE, _LAST = kcore_sql(KCORE_CONVERGING, 3, "dd")
+_KCORE, _LAST = kcore_sql(KCORE, 3, "dd")
 _NULL = "CASE WHEN trim({0}, ' ' || chr(9) || chr(10) || chr(13)) IN ('None', '', '[]', 'nan') THEN NULL ELSE {0} END"
 PREP_SQL = f"""
 WITH rt AS (SELECT r.*, {_NULL.format('t.title')} AS title, {_NULL.format('t.text')} AS text0
@@ -53,9 +54,9 @@ fin AS (SELECT *, LN(1 + helpful_vote) AS hv, CASE WHEN verified_purchase THEN 1
 
 @register(
     "prepared_report",
-    PREP_SQL + """z AS (SELECT 1)
-    SELECT split, COUNT(*) AS n_rows, COUNT(DISTINCT user_id) AS n_users, COUNT(DISTINCT parent_asin) AS n_items
-    FROM fin GROUP BY split""",
+    PREP_SQL + """z AS (SELECT unnest(['train', 'val', 'test']) AS split)
+    SELECT z.split, COUNT(user_id) AS n_rows, COUNT(DISTINCT user_id) AS n_users, COUNT(DISTINCT parent_asin) AS n_items
+    FROM z LEFT JOIN fin USING (split) GROUP BY z.split""",
 )
 def q_prepared_report(spark, sf_dir):
     """The whole job, its splits written and read back, and the report of what was written."""
@@ -75,7 +76,7 @@ def q_prepared_report(spark, sf_dir):
     iv AS (SELECT parent_asin, AVG(rating) AS y FROM fin WHERE split = 'train' GROUP BY parent_asin)
     SELECT fin.u AS user_id, fin.i AS parent_asin, fin.user_id AS user_id_original, fin.parent_asin AS parent_asin_original,
            fin.l_orderkey, fin.l_linenumber, rating, title,
-           CASE WHEN len(regexp_extract_all(text0, '\\S+')) < 5 THEN NULL
+           CASE WHEN text0 IS NULL OR len(regexp_extract_all(text0, '\\S+')) < 5 THEN NULL
                 ELSE LEAST(len(regexp_extract_all(text0, '\\S+')), 250) END AS text_words,
            ROUND(CASE WHEN hh = hl THEN 0.0 ELSE (hv - hl) / (hh - hl) END, 6) AS helpful_vote_norm,
            ROUND(CASE WHEN ch = cl THEN 0.0 ELSE (cw - cl) / (ch - cl) END, 6) AS final_weight_norm,

@@ -27,13 +27,13 @@ def build_session(
     """
     master = master or os.environ.get("SPARK_MASTER", "local[8]")
     if shuffle_partitions is None:
-        shuffle_partitions = int(os.environ.get("RANKTIDE_SHUFFLE_PARTITIONS", "8"))
+        wanted = os.environ.get("RANKTIDE_SHUFFLE_PARTITIONS", "8" if master.startswith("local") else "")
+        shuffle_partitions = int(wanted) if wanted else None
     b = (
         SparkSession.builder.master(master)
         .appName(app_name)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
@@ -41,7 +41,10 @@ def build_session(
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("RANKTIDE_DRIVER_MEMORY", "16g"))
         .config("spark.sql.files.maxPartitionBytes", str(128 * 1024 * 1024))
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
+    if shuffle_partitions is not None:  # a cluster's own setting stays otherwise
+        b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     for k, v in (extra or {}).items():
         b = b.config(k, v)
     spark = b.getOrCreate()

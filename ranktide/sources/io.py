@@ -57,7 +57,6 @@ def write_json(df: DataFrame, path: str) -> str:
 def validate_written(written: DataFrame, expected: DataFrame, unit_columns: Sequence[str] = ()) -> DataFrame:
     """One row per check; ``ok`` is true when the re-read output has the
     same row count and schema, and every ``unit_columns`` value is in [0, 1]."""
-    spark = written.sparkSession
     same_schema = [(f.name, f.dataType.simpleString()) for f in written.schema.fields] == [
         (f.name, f.dataType.simpleString()) for f in expected.schema.fields
     ]
@@ -73,7 +72,6 @@ def validate_written(written: DataFrame, expected: DataFrame, unit_columns: Sequ
           for i, c in enumerate(unit_columns)],
     )
     cols = ["a", "b", *[f"c{i}" for i in range(len(unit_columns))]]
-    del spark
     return rows.select(F.explode(F.array(*cols)).alias("s")).select("s.*")
 
 

@@ -46,10 +46,10 @@ def clean_stream(stream: DataFrame, ts_col: str, text_cols: Sequence[str], requi
     return out.withWatermark(ts_col, watermark).dropDuplicatesWithinWatermark(list(dedup_subset))
 
 
-def run_to_parquet(df: DataFrame, name: str) -> str:
-    """Append the stream to Parquet (A7) until the available input is consumed."""
-    spark = df.sparkSession
-    base = _workdir(spark, name)
+def run_to_parquet(df: DataFrame, name: str, base: str | None = None) -> str:
+    """Append the stream to Parquet (A7) until the available input is consumed.
+    A job that is started again with the same ``base`` goes on where it ended."""
+    base = base or _workdir(df.sparkSession, name)
     q = (df.writeStream.format("parquet").outputMode("append")
          .option("checkpointLocation", os.path.join(base, "_checkpoint"))
          .trigger(availableNow=True).start(os.path.join(base, "data")))
@@ -64,15 +64,17 @@ def daily_counts_stream(stream: DataFrame, user_col: str = "user_id", ts_col: st
     return s.groupBy(user_col, F.window(ts_col, "1 day").alias("w")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def run_counts_to_table(counts: DataFrame, name: str) -> DataFrame:
-    """Update-mode aggregation written by ``foreachBatch`` into an append-only
-    Parquet log (batch id kept); the final value of a key is its latest row."""
+def run_counts_to_table(counts: DataFrame, name: str, base: str | None = None) -> DataFrame:
+    """Update-mode aggregation written by ``foreachBatch`` into a Parquet log
+    with a folder per batch (a repeated batch replaces its own); the final
+    value of a key is its latest row. With the same ``base`` a job that is
+    started again goes on where it ended."""
     spark = counts.sparkSession
-    base = _workdir(spark, name)
+    base = base or _workdir(spark, name)
     data = os.path.join(base, "data")
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(data)
+        batch.write.mode("overwrite").parquet(os.path.join(data, f"batch_id={batch_id}"))
 
     q = (counts.writeStream.outputMode("update").foreachBatch(sink)
          .option("checkpointLocation", os.path.join(base, "_checkpoint"))
