@@ -1,12 +1,11 @@
 """Exact top-k of query vectors against a catalogue of vectors.
 
-Queries (users, or search vectors) stay partitioned across the cluster; the
-catalogue (item factors, or the vector collection) is cut into blocks whose
-size is checked against ``block_bytes`` and each block is broadcast once.
-Every Arrow batch of queries is scored against the block with one numpy
-matrix product; per query the block's top k (ties by catalogue id) is kept,
-and blocks are merged by a per-query ``row_number`` over at most
-``k * n_blocks`` rows. Seen items are masked before the top-k.
+Dense vectors: both sides are packed where they lie into blocks of rows, and
+blocks meet in a join on (catalogue block, share of the queries), so neither
+side goes through the driver. A pair of blocks is one numpy product of a fixed
+size; seen items are masked and the block's top k kept (ties by catalogue id)
+for all its queries at once. Blocks merge by a per-query ranking over at most
+``k * n_blocks`` rows. Sparse vectors: see :func:`sparse_topk`.
 """
 
 from __future__ import annotations
@@ -15,116 +14,142 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ranktide.session import cut_lineage
 
 DEFAULT_BLOCK_BYTES = 256 * 1024 * 1024
+DENSE_BLOCK_BYTES = 4 * 1024 * 1024
 ROUND_DIGITS = 9   # scores closer than 1e-9 tie and fall back to the id order
 
 
-def _collect_block(block: DataFrame, cid: str, vec: str):
-    tbl = block.select(cid, vec).toArrow()
-    ids = tbl.column(0).to_numpy(zero_copy_only=False)
-    flat = tbl.column(1).combine_chunks()
-    dim = len(flat[0]) if len(flat) else 0
-    mat = np.asarray(flat.flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(len(ids), dim)
-    return ids, mat
-
-
-def _scorer(bc, qid: str, vec: str, k: int, metric: str, exclude_col: str | None, exclude_self: bool):
-    def run(batches):
-        ids, mat, order_rank, cc = bc.value
-        pos = {v: i for i, v in enumerate(ids.tolist())}
-        for pdf in batches:
-            if len(pdf) == 0 or len(ids) == 0:
-                continue
-            q = np.stack([np.asarray(v, dtype=np.float64) for v in pdf[vec].values])
-            prod = q @ mat.T
-            if metric == "l2":
-                qq = np.einsum("ij,ij->i", q, q)
-                key = np.maximum(qq[:, None] + cc[None, :] - 2.0 * prod, 0.0)
-                score = key
-            else:
-                key = -prod
-                score = prod
-            key = np.round(key, ROUND_DIGITS)
-            if exclude_self:
-                for r, qv in enumerate(pdf[qid].values):
-                    j = pos.get(qv)
-                    if j is not None:
-                        key[r, j] = np.inf
-            if exclude_col:
-                for r, seen in enumerate(pdf[exclude_col].values):
-                    if seen is None:
-                        continue
-                    js = [pos[s] for s in seen if s in pos]
-                    if js:
-                        key[r, js] = np.inf
-            kk = min(k, key.shape[1])
-            out_q, out_c, out_s, out_r = [], [], [], []
-            for r in range(key.shape[0]):
-                row = key[r]
-                part = np.argpartition(row, kk - 1)[:kk]
-                thr = row[part].max()
-                cand = np.nonzero(row <= thr)[0]
-                cand = cand[np.isfinite(row[cand])]
-                best = cand[np.lexsort((order_rank[cand], row[cand]))][:kk]
-                out_q.extend([pdf[qid].values[r]] * len(best))
-                out_c.extend(ids[best].tolist())
-                out_s.extend(score[r, best].tolist())
-                out_r.extend(range(1, len(best) + 1))
-            yield pd.DataFrame({qid: out_q, "item": out_c, "score": out_s, "rank": out_r})
-
-    return run
+def _pack_queries(rows: int, key: pa.DataType, with_seen: bool):
+    """Arrow batches of (id, vector[, seen]) to rows of up to ``rows`` queries."""
+    def work(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                vec = part.column(1)
+                out = [pa.array([part.column(0).to_pylist()], pa.list_(key)),
+                       pa.array([np.asarray(vec.flatten(), np.float64).tobytes()], pa.binary())]
+                if with_seen:
+                    out.append(pa.array([part.column(2).to_pylist()], pa.list_(pa.list_(key))))
+                yield pa.RecordBatch.from_arrays(out, names=["_q", "_qv", "_seen"][: len(out)])
+
+    return work
+
+
+def _pack_catalog(key: pa.DataType):
+    """Arrow batches of (block, id, vector), sorted by block and id, to one row per block."""
+    def row(block, ids, vectors):
+        return pa.RecordBatch.from_arrays(
+            [pa.array([block], pa.int32()), pa.array([ids], pa.list_(key)), pa.array([b"".join(vectors)], pa.binary())],
+            names=["_cb", "_c", "_cv"])
+
+    def work(batches):
+        now, ids, vectors = None, [], []
+        for batch in batches:
+            blocks = batch.column(0).to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(blocks)) + 1).tolist(), len(blocks)] if len(blocks) else []
+            for a, b in zip(edges, edges[1:]):
+                if now is not None and blocks[a] != now:
+                    yield row(now, ids, vectors)
+                    ids, vectors = [], []
+                now = int(blocks[a])
+                ids += batch.column(1).slice(a, b - a).to_pylist()
+                vectors.append(np.asarray(batch.column(2).slice(a, b - a).flatten(), np.float64).tobytes())
+        if now is not None:
+            yield row(now, ids, vectors)
+
+    return work
+
+
+def best_of_rows(key: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, rank) of the ``k`` smallest finite keys of each row; ties go to the smaller column."""
+    k = min(k, key.shape[1])
+    limit = np.partition(key, k - 1, axis=1)[:, k - 1]
+    row, col = np.nonzero((key <= limit[:, None]) & np.isfinite(key))
+    order = np.lexsort((col, key[row, col], row))
+    row, col = row[order], col[order]
+    rank = np.arange(len(row)) - np.searchsorted(row, row) + 1
+    keep = rank <= k
+    return row[keep], col[keep], rank[keep]
+
+
+def _score_blocks(k: int, metric: str, key_types, exclude_self: bool, with_seen: bool):
+    qtype, ctype = key_types
+
+    def work(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = {name: batch.column(name)[i] for name in batch.schema.names}
+                qids, cids = np.array(row["_q"].as_py()), np.array(row["_c"].as_py())
+                q = np.frombuffer(row["_qv"].as_py()).reshape(len(qids), -1)
+                c = np.frombuffer(row["_cv"].as_py()).reshape(len(cids), -1)
+                score = q @ c.T
+                if metric == "l2":
+                    score *= -2.0
+                    score += np.einsum("ij,ij->i", q, q)[:, None]
+                    score += np.einsum("ij,ij->i", c, c)[None, :]
+                    np.maximum(score, 0.0, out=score)
+                key = np.round(score if metric == "l2" else -score, ROUND_DIGITS)
+                skip = [(np.arange(len(qids)), qids)] if exclude_self else []
+                if with_seen:
+                    seen = [x or [] for x in row["_seen"].as_py()]
+                    flat = [x for s in seen for x in s]
+                    if flat:
+                        skip.append((np.repeat(np.arange(len(seen)), [len(s) for s in seen]), np.array(flat)))
+                for which, ids in skip:
+                    at = np.minimum(np.searchsorted(cids, ids), len(cids) - 1)
+                    hit = cids[at] == ids
+                    key[which[hit], at[hit]] = np.inf
+                r, j, rank = best_of_rows(key, k)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(qids[r].tolist(), qtype), pa.array(cids[j].tolist(), ctype),
+                    pa.array(score[r, j], pa.float64()), pa.array(rank, pa.int32())], names=["_qid", "_cid", "score", "rank"])
+
+    return work
 
 
 def blocked_topk(queries: DataFrame, catalog: DataFrame, k: int, *, qid: str = "u", cid: str = "i",
                  vec: str = "features", metric: str = "dot", exclude_col: str | None = None,
-                 exclude_self: bool = False, block_bytes: int = DEFAULT_BLOCK_BYTES) -> DataFrame:
-    """(qid, item, score, rank): top-k catalogue entries per query.
+                 exclude_self: bool = False, block_bytes: int = DENSE_BLOCK_BYTES, query_rows: int = 256) -> DataFrame:
+    """(qid, cid, score, rank): top-k catalogue entries per query.
 
     ``metric="dot"`` ranks by descending inner product, ``"l2"`` by ascending
     squared Euclidean distance. ``exclude_col`` names an array column of
-    catalogue ids to skip per query (seen items)."""
-    spark = queries.sparkSession
+    catalogue ids to skip per query (seen items). The catalogue is hashed into
+    blocks of about ``block_bytes``; a product has ``query_rows`` times a
+    block's entries."""
     n_cat, dim = catalog.select(F.count(F.lit(1)), F.max(F.size(vec))).first()
-    n_cat, dim = int(n_cat or 0), int(dim or 0)
-    n_blocks = max(1, math.ceil(n_cat * max(dim, 1) * 8 / block_bytes))
-    qtype = dict((f.name, f.dataType) for f in queries.schema.fields)[qid]
-    ctype = dict((f.name, f.dataType) for f in catalog.schema.fields)[cid]
-    schema = T.StructType([
-        T.StructField(qid, qtype), T.StructField("item", ctype),
-        T.StructField("score", T.DoubleType()), T.StructField("rank", T.IntegerType()),
-    ])
-    cols = [qid, vec] + ([exclude_col] if exclude_col else [])
-    q = queries.select(*cols)
-    parts = []
-    for b in range(n_blocks):
-        block = catalog if n_blocks == 1 else catalog.where(F.pmod(F.xxhash64(F.col(cid)), F.lit(n_blocks)) == b)
-        ids, mat = _collect_block(block, cid, vec)
-        order_rank = np.empty(len(ids), dtype=np.int64)
-        order_rank[np.argsort(ids, kind="stable")] = np.arange(len(ids))
-        cc = np.einsum("ij,ij->i", mat, mat) if len(ids) else np.zeros(0)
-        bc = spark.sparkContext.broadcast((ids, mat, order_rank, cc))
-        part = q.mapInPandas(_scorer(bc, qid, vec, k, metric, exclude_col, exclude_self), schema)
-        if n_blocks > 1:
-            # materialise this block's candidates before the next broadcast
-            part = cut_lineage(part)
-            bc.unpersist()
-        parts.append(part)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    n_blocks = max(1, math.ceil(int(n_cat or 0) * max(int(dim or 0), 1) * 8 / block_bytes))
+    shares = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    types = {f.name: f.dataType for f in queries.schema.fields} | {"_c": catalog.schema[cid].dataType}
+    arrow = to_arrow_type(types[qid]), to_arrow_type(types["_c"])
+    qt, ct = types[qid].simpleString(), types["_c"].simpleString()
+
+    wide = F.transform(vec, lambda x: x.cast("double"))
+    given = queries.select(qid, wide, *([exclude_col] if exclude_col else []))
+    seen = f", _seen array<array<{ct}>>" if exclude_col else ""
+    packed = given.mapInArrow(_pack_queries(query_rows, arrow[0], bool(exclude_col)), f"_q array<{qt}>, _qv binary{seen}")
+    packed = packed.withColumn("_share", F.pmod(F.xxhash64("_q"), F.lit(shares)).cast("int")).withColumn(
+        "_cb", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+    block = F.pmod(F.xxhash64(cid), F.lit(n_blocks)).cast("int")
+    blocks = (catalog.select(block.alias("_cb"), F.col(cid).alias("_c"), wide.alias("_v")).repartition(n_blocks, "_cb")
+              .sortWithinPartitions("_cb", "_c").mapInArrow(_pack_catalog(arrow[1]), f"_cb int, _c array<{ct}>, _cv binary")
+              .withColumn("_share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1)))))
+    pairs = packed.join(blocks, ["_cb", "_share"]).select("_q", "_qv", "_c", "_cv", *(["_seen"] if exclude_col else []))
+    out = pairs.mapInArrow(_score_blocks(k, metric, arrow, exclude_self, bool(exclude_col)),
+                           f"_qid {qt}, _cid {ct}, score double, rank int")
     if n_blocks > 1:
-        from pyspark.sql import Window
-
-        asc = F.asc(F.round("score", ROUND_DIGITS)) if metric == "l2" else F.desc(F.round("score", ROUND_DIGITS))
-        w = Window.partitionBy(qid).orderBy(asc, F.asc("item"))
+        score = F.round("score", ROUND_DIGITS)
+        w = Window.partitionBy("_qid").orderBy(score.asc() if metric == "l2" else score.desc(), F.asc("_cid"))
         out = out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    return out.withColumnRenamed("item", cid) if cid != qid else out
+    return out.select(F.col("_qid").alias(qid), F.col("_cid").alias(cid if cid != qid else "item"), "score", "rank")
 
 
 def seen_lists(history: DataFrame, user_col: str = "u", item_col: str = "i") -> DataFrame:
@@ -246,8 +271,6 @@ def sparse_topk(queries: DataFrame, catalog: DataFrame, k: int | None, *, qid: s
     for p in parts[1:]:
         out = out.unionByName(p)
     if n_blocks > 1:
-        from pyspark.sql import Window
-
         w = Window.partitionBy(qid).orderBy(F.desc(F.round("score", ROUND_DIGITS)), F.asc(cid))
         out = out.withColumn("rank", F.row_number().over(w))
         if k is not None:
@@ -432,8 +455,6 @@ def fused_sparse_topk(queries: DataFrame, catalog: DataFrame, k: int, alphas, *,
     for p in parts[1:]:
         out = out.unionByName(p)
     if n_blocks > 1:
-        from pyspark.sql import Window
-
         wnd = Window.partitionBy("alpha", qid).orderBy(F.desc(F.round("score", ROUND_DIGITS)), F.asc(cid))
         out = out.withColumn("rank", F.row_number().over(wnd)).where(F.col("rank") <= k)
     return out
