@@ -124,6 +124,40 @@ def q_ranking_metrics(spark, sf_dir):
     return N.evaluate_at_k(model.recommend(K_EVAL), mf.truth, mf.users, K_EVAL)
 
 
+_METRICS = ("hit_rate", "precision", "adj_precision", "recall", "mrr", "ndcg")
+
+
+@register("metrics_melt", KNN_SQL + "m AS (WITH " + metrics_sql().lstrip()
+          + f") SELECT 'ItemKNN' AS model, metric, value::DOUBLE AS value FROM (UNPIVOT m ON {', '.join(_METRICS)} "
+            "INTO NAME metric VALUE value)")
+def q_metrics_melt(spark, sf_dir):
+    """The metrics of a run in long form."""
+    mf, model = _knn(spark, sf_dir)
+    m = N.evaluate_at_k(model.recommend(K_EVAL), mf.truth, mf.users, K_EVAL).select(F.lit("ItemKNN").alias("model"), "*")
+    return N.metrics_long(m, metrics=_METRICS)
+
+
+def _log_sql(step: int) -> str:
+    return (f"SELECT 'ItemKNN' AS run, 'metric' AS kind, metric AS key, value::DOUBLE AS value, {step} AS step FROM "
+            f"(UNPIVOT m{step} ON {', '.join(_METRICS)} INTO NAME metric VALUE value) UNION ALL "
+            f"SELECT 'ItemKNN', 'param', 'neighbors', {KNN_NEIGHBORS}, {step} UNION ALL SELECT 'ItemKNN', 'param', 'k', {step}, {step}")
+
+
+@register("run_log", KNN_SQL + f"m5 AS (WITH {metrics_sql(k=5).lstrip()}), m10 AS (WITH {metrics_sql(k=10).lstrip()}) "
+          + _log_sql(5) + " UNION ALL " + _log_sql(10))
+def q_run_log(spark, sf_dir):
+    """Two evaluations appended to a run table, read back."""
+    from ranktide.sources import io as IO
+
+    mf, model = _knn(spark, sf_dir)
+    recs = cut_lineage(model.recommend(K_EVAL))
+    path = IO.scratch_path(spark, "run-log")
+    for k in (5, K_EVAL):
+        m = N.evaluate_at_k(recs, mf.truth, mf.users, k).select(F.lit("ItemKNN").alias("model"), "*")
+        N.append_run_log(N.run_log_rows(m, {"neighbors": KNN_NEIGHBORS, "k": k}, k, metrics=_METRICS), path)
+    return spark.read.parquet(path)
+
+
 # ------------------------------------------------------------------ coded frames for factor models
 @dataclass
 class CodedFrames:
