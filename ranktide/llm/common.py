@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ranktide.session import checkpoint_dir
 
@@ -27,6 +29,29 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+FILTER_BITS = 27
+
+
+def filter_bit(column: str = "doc_id"):
+    """Where a value's bit is in a :func:`bit_filter`."""
+    return F.pmod(F.xxhash64(column), F.lit(1 << FILTER_BITS))
+
+
+def bit_filter(ids: DataFrame, column: str = "doc_id", at=None) -> np.ndarray:
+    """A bit set of fixed size (16 MB) that holds every value of ``column`` and, by chance, others; ``at`` is the bit's
+    place where it is not that of :func:`filter_bit`."""
+    at = filter_bit(column) if at is None else at
+    words = (ids.select((at / 64).cast("int").alias("word"), (at % 64).cast("int").alias("bit")).groupBy("word")
+             .agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")).toArrow())
+    out = np.zeros((1 << FILTER_BITS) // 64, np.int64)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return out
+
+
+def in_filter(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (bits[at >> 6] >> (at & 63)) & 1 == 1
+
+
 def batches(rows, schema: pa.Schema, size: int = 2000):
     """Arrow batches of at most ``size`` of the tuples that ``rows`` yields."""
     part = []

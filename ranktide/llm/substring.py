@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ranktide.llm.common import bit_filter, filter_bit, in_filter, materialise
 from ranktide.llm.words import OTHER_MULTIPLIER, mix, windows, word_hashes
 
 WIDTH = 50
@@ -139,29 +140,44 @@ def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = (), width: int = WID
               .where("first < last").select("h", "g", "first"))
     repeated = found.join(firsts, ["h", "g"]).where("doc_id > first")
     # a text has at most as many places as words
-    marks = repeated.groupBy("doc_id", F.shiftright("at", 32).alias("tag")).agg(
-        F.collect_set(F.expr("cast(at & 4294967295L as int)")).alias("_places"))
-    joined = tagged.join(marks, ["doc_id", "tag"], "left").select("doc_id", "text", "_places", *keep)
+    marks = materialise(repeated.groupBy("doc_id", F.shiftright("at", 32).alias("tag")).agg(
+        F.collect_set(F.expr("cast(at & 4294967295L as int)")).alias("_places")), "places")
+    # texts that lose nothing stay where they are
+    marked = docs.sparkSession.sparkContext.broadcast(bit_filter(marks))
+    at = tagged.withColumn("_at", filter_bit())
+
+    def where_marked(batch, inside: bool):
+        return batch.filter(pa.array(in_filter(marked.value, batch.column("_at").to_numpy(zero_copy_only=False)) == inside))
+
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in at.schema)
+    passed = at.mapInArrow(lambda it: (where_marked(b, True) for b in it), types)
+    joined = passed.join(marks, ["doc_id", "tag"], "left").select("doc_id", "text", "_places", *keep)
     kept_types = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
 
-    def cut(it):
-        for batch in it:
-            kept, n_words, n_removed = [], [], []
-            for text, places in zip(batch.column("text").to_pylist(), batch.column("_places").to_pylist()):
-                words = WORD.findall(text or "")
-                gone = 0
-                if places:
-                    edge = np.zeros(len(words) + 1, np.int64)
-                    edge[places] += 1
-                    edge[np.array(places) + width] -= 1
-                    stays = np.cumsum(edge[:-1]) == 0
-                    gone = len(words) - int(stays.sum())
-                    words = [w for w, s in zip(words, stays.tolist()) if s]
-                kept.append(" ".join(words))
-                n_words.append(len(words) + gone)
-                n_removed.append(gone)
-            own = [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())]
-            names = ["doc_id", "n_words", "n_removed", "text", *keep]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *own, *(batch.column(c) for c in keep)], names=names)
-
-    return joined.mapInArrow(cut, f"doc_id long, n_words long, n_removed long, text string{kept_types}")
+    def cut(batch, all_places):
+        kept, n_words, n_removed = [], [], []
+        for text, places in zip(batch.column("text").to_pylist(), all_places):
+            words = WORD.findall(text or "")
+            gone = 0
+            if places:
+                edge = np.zeros(len(words) + 1, np.int64)
+                edge[places] += 1
+                edge[np.array(places) + width] -= 1
+                stays = np.cumsum(edge[:-1]) == 0
+                gone = len(words) - int(stays.sum())
+                words = [w for w, s in zip(words, stays.tolist()) if s]
+            kept.append(" ".join(words))
+            n_words.append(len(words) + gone)
+            n_removed.append(gone)
+        own = [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())]
+        names = ["doc_id", "n_words", "n_removed", "text", *keep]
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), *own, *(batch.column(c) for c in keep)], names=names)
+
+    def cut_marked(it):
+        return (cut(b, b.column("_places").to_pylist()) for b in it)
+
+    def cut_others(it):
+        return (cut(b, [None] * b.num_rows) for b in (where_marked(b, False) for b in it))
+
+    result = f"doc_id long, n_words long, n_removed long, text string{kept_types}"
+    return joined.mapInArrow(cut_marked, result).unionByName(at.mapInArrow(cut_others, result))
