@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ranktide.llm import bpe, chat, decontam, lm, neardup, quality, sharding, substring, urls, warc
+from ranktide.llm import bpe, chat, decontam, lm, neardup, oracles, quality, sharding, substring, urls, warc
 from ranktide.llm.common import read, shared_path
 
 SHARDS = 40
@@ -20,7 +20,8 @@ EXTRA_CONVERSATION = "\\### Assistant: </turn> ok"
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and divergence verdict of every document."""
-    return quality.judge(read(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    out = quality.judge(read(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return out.withColumns({c: F.round(c, 6) for c in ("class_distance", "word_distance")})
 
 
 def op2_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,67 +94,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 
-def _tree_sql(shards: int, name: str) -> str:
-    """The shard of ``key`` by the tree, as nested CASEs over draws."""
-    tree = sharding.even_tree(shards)
-    weight: dict[str, float] = {}
-    for s in tree:
-        for path in (f"/r{s.region}", f"/r{s.region}/k{s.rack}", f"/r{s.region}/k{s.rack}/s{s.shard}"):
-            weight[path] = weight.get(path, 0) + s.weight
-
-    def draw(path: str) -> str:
-        return (f"-ln((CAST('0x' || substr(md5(key || '{path}'), 1, 13) AS BIGINT)::DOUBLE + 1) / {2**52 + 1}.0)"
-                f" / {weight[path]}")
-
-    def pick(children: dict[str, str]) -> str:
-        if len(children) == 1:
-            return next(iter(children.values()))
-        low = f"least({', '.join(draw(p) for p in children)})"
-        return "CASE " + " ".join(f"WHEN {draw(p)} = {low} THEN {v}" for p, v in children.items()) + " END"
-
-    racks: dict[str, dict[str, str]] = {}
-    for s in tree:
-        racks.setdefault(f"/r{s.region}/k{s.rack}", {})[f"/r{s.region}/k{s.rack}/s{s.shard}"] = str(s.shard)
-    regions: dict[str, dict[str, str]] = {}
-    for rack, leaves in racks.items():
-        regions.setdefault(rack.rsplit("/", 1)[0], {})[rack] = f"({pick(leaves)})"
-    return f"({pick({r: f'({pick(k)})' for r, k in regions.items()})}) AS {name}"
-
-
-def _op7_sql() -> str:
-    return f"""
-WITH crc AS (SELECT list_transform(range(16), lambda i: list_reduce(range(4), lambda c, k:
-       CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS t),
-d AS (SELECT doc_id, coalesce(doc_id::VARCHAR, '') AS key, octet_length(encode(coalesce(text, ''))) + 16 AS size,
-      hex(encode(coalesce(text, ''))) AS h FROM documents),
-n AS (SELECT d.*, list_transform(string_split(regexp_replace(h, '(.)(.)', '\\2\\1', 'g'), ''),
-      lambda c: instr('0123456789ABCDEF', c) - 1) AS v FROM d),
-s AS (SELECT doc_id, key, size::BIGINT AS size, CASE WHEN size = 16 THEN 0 ELSE xor(list_reduce(v, lambda c, b:
-        xor(c >> 4, crc.t[(xor(c, b) & 15) + 1]), 4294967295), 4294967295) END AS text_crc32,
-        {_tree_sql(SHARDS, 'shard')}, {_tree_sql(SHARDS + 1, 'grown_shard')}
-      FROM n, crc)
-SELECT doc_id, size, text_crc32::BIGINT AS text_crc32, 'key' AS law, shard::INT AS shard,
-       row_number() OVER (PARTITION BY shard ORDER BY CAST('0x' || substr(md5(key), 1, 8) AS BIGINT) % {sharding.BUCKETS},
-                          doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, grown_shard::INT AS grown_shard
-FROM s"""
-
-
-def _op8_sql() -> str:
-    names = "CASE " + " ".join(f"WHEN role = '{r}' THEN '### {n}:'" for r, n in chat.NAMES.items()) \
-        + " ELSE '### Role ' || url_encode(role) || ':' END"
-    control = chat.HEADER.replace("(?:", "(?:") + "|" + chat.CLOSE
-    return f"""
-WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL SELECT -7, 0, 'user', '{EXTRA_CONVERSATION}' UNION ALL SELECT -7, 1, 'assistant', '{EXTRA_CONVERSATION}'),
-r AS (SELECT *, {names} || chr(10) || regexp_replace(text, '(\\\\*)({control})', '\\1\\1\\\\\\2', 'g') || chr(10)
-        || '{chat.CLOSE}' || chr(10) AS rendered FROM c)
-SELECT conv_id, count(*) AS n_turns,
-  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, rendered)) AS turns_sha256,
-  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
-  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, rendered) FILTER (role = 'assistant'), '')) AS loss_sha256,
-  sum(length(rendered))::BIGINT AS formatted_chars
-FROM r GROUP BY conv_id"""
-
-
-def oracles() -> dict[str, str]:
-    return {"op7_sharding": _op7_sql(), "op8_chat": _op8_sql()}
+def oracle_sql() -> dict[str, str]:
+    """SQL for all but the URL model (op5) and the merges of byte pairs (op9), which have tests by brute force."""
+    return {"op1_quality": oracles.op1(), "op2_neardup": oracles.op2(), "op3_decontamination": oracles.op3(),
+            "op4_lm": oracles.op4(), "op6_warc": oracles.op6(), "op7_sharding": oracles.op7(SHARDS),
+            "op8_chat": oracles.op8(EXTRA_CONVERSATION), "op10_substring": oracles.op10()}
