@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -168,6 +169,21 @@ class CodedFrames:
     n_items: int
 
 
+def _once(build):
+    """One build per application and input: its frames are tables in the checkpoint folder, which queries share."""
+    kept = {}
+
+    @functools.wraps(build)
+    def get(spark, sf_dir):
+        key = spark.sparkContext.applicationId, sf_dir
+        if key not in kept:
+            kept[key] = build(spark, sf_dir)
+        return kept[key]
+
+    return get
+
+
+@_once
 def coded_frames(spark, sf_dir) -> CodedFrames:
     from ranktide.operators import features as G
 
@@ -198,32 +214,40 @@ BPR_PARAMS = dict(factors=64, lr=0.01, reg=0.01, epochs=100)
 FM_PARAMS = dict(factor_size=32, step=1e-3, iterations=5, negatives=4)
 
 
+def _written(model):
+    return type(model)(cut_lineage(model.users), cut_lineage(model.items))
+
+
+@_once
 def _als(spark, sf_dir):
     from ranktide.models.factors import fit_als
 
     cf = coded_frames(spark, sf_dir)
-    return cf, fit_als(cf.train, **ALS_PARAMS)
+    return cf, _written(fit_als(cf.train, **ALS_PARAMS))
 
 
+@_once
 def _svd(spark, sf_dir):
     from ranktide.models.factors import fit_svd
 
     cf = coded_frames(spark, sf_dir)
-    return cf, fit_svd(cf.train, **SVD_PARAMS)
+    return cf, _written(fit_svd(cf.train, **SVD_PARAMS))
 
 
+@_once
 def _bpr(spark, sf_dir):
     from ranktide.models.factors import fit_bpr
 
     cf = coded_frames(spark, sf_dir)
-    return cf, fit_bpr(cf.train, **BPR_PARAMS)
+    return cf, _written(fit_bpr(cf.train, **BPR_PARAMS))
 
 
+@_once
 def _fm(spark, sf_dir):
     from ranktide.models.fm import fit_fm
 
     cf = coded_frames(spark, sf_dir)
-    return cf, fit_fm(cf.train, cf.n_users, cf.n_items, **FM_PARAMS)
+    return cf, _written(fit_fm(cf.train, cf.n_users, cf.n_items, **FM_PARAMS))
 
 
 @register("als_recs")

@@ -15,6 +15,18 @@ from pyspark import SparkContext
 assert SparkContext._active_spark_context is None
 """
 
+WITHOUT = """
+import sys; sys.path.insert(0, {repo!r})
+class Gone:
+    def find_spec(self, name, path=None, target=None):
+        if name in ("corpus_pipeline", "ranktide.llm"):
+            raise ModuleNotFoundError("gone", name=name)
+sys.meta_path.insert(0, Gone())
+import __spark_entry__ as e
+names = e.queries()
+assert names and set(e.oracle_sql()) <= set(names) and not [n for n in names if n.startswith("op") and n[2].isdigit()]
+"""
+
 RUNS = """
 import sys; sys.path.insert(0, {repo!r})
 from pyspark.sql import SparkSession
@@ -37,5 +49,9 @@ def test_registry_imports_without_session_or_jars(tmp_path):
     _run(IMPORTS, tmp_path)
 
 
+def test_other_queries_remain_without_the_optional_folder(tmp_path):
+    _run(WITHOUT, tmp_path)
+
+
 def test_python_workers_from_another_folder(tmp_path):
     _run(RUNS, tmp_path)
