@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ranktide.llm.common import batches, each_row
+from ranktide.llm.common import batches, bounded_batches, each_row
 
 CHUNK_CHARS = 16_384
 BREAK = regex.compile(r"(?<=\S)\s")
@@ -115,6 +115,7 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str = public_tokenizers.PATTE
     ``ranks`` is the content of a tiktoken rank file (under 1 MB; it travels with the job). The ids are those of
     ``encode_ordinary`` over the whole text; ``decoded_sha256`` is of the bytes that decoding them gives. Null texts
     count as empty (no ids), repeated rows are encoded each, extra columns are ignored, no rows give no rows."""
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     spec = SCHEMA + (", ids array<int>" if with_ids else "")
     arrow = pa.schema(_ARROW + [("ids", pa.list_(pa.int32()))] * with_ids)

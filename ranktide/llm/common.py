@@ -16,6 +16,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def bounded_batches(spark: SparkSession, most: str = "4m") -> None:
+    """Arrow batches of whole texts of at most this size from now on (Spark's own bound is 64 MB), so that a worker
+    holds little beside what it computes."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", most)
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the folder all executors share (``spark.checkpoint.dir``)."""
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

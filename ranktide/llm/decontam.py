@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ranktide.llm.common import bounded_batches
 from ranktide.llm.words import LETTERS, mix, windows, word_hashes
 
 SHINGLE = 5
@@ -114,6 +115,7 @@ def find(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, block_
     Words are lower-cased runs of letters and digits. Items under five words and null or empty texts match nothing.
     Rows that share a doc_id or an item_id are compared each, and equal result rows stay; extra columns are ignored;
     no documents or no items give no rows."""
+    bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long"), "text")
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("containment", pa.float64()),

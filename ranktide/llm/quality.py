@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ranktide.llm.common import materialise
+from ranktide.llm.common import bounded_batches, materialise
 
 #: words as the rules count them
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -165,6 +165,7 @@ def judge(docs: DataFrame, rules: Rules = Rules(), keep: tuple[str, ...] = ()) -
     ``kept``: neither that nor a distance over its limit. A distance is null where the text is too short for it. A
     null text has no words and fails; a null or rare language is held against every reference; repeated rows are judged each;
     columns not in ``keep`` are ignored; no rows give no rows."""
+    bounded_batches(docs.sparkSession)
     names = [c.split()[0] for c in COLUMNS.split(", ")]
     assert not set(keep) & {"doc_id", *names}
     found = docs.sparkSession.sparkContext.broadcast(references(docs.select("lang", "text"), rules))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ranktide.llm.common import bit_filter, filter_bit, in_filter, materialise
+from ranktide.llm.common import bit_filter, bounded_batches, filter_bit, in_filter, materialise
 from ranktide.llm.words import OTHER_MULTIPLIER, mix, windows, word_hashes
 
 WIDTH = 50
@@ -131,6 +131,7 @@ def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = (), width: int = WID
     has a smaller one; rows that share a doc_id never remove from each other. Columns not named in ``keep`` are
     ignored. Texts under ``width`` words stay whole; no rows give no rows."""
     assert not set(keep) & {"doc_id", "text", "n_words", "n_removed"}
+    bounded_batches(docs.sparkSession)
     tagged = docs.select(F.col("doc_id").cast("long"), "text", *keep).withColumn(
         "tag", F.expr("xxhash64(text) & 2147483647L"))
     narrow = tagged.select("doc_id", "tag", "text")
