@@ -75,9 +75,12 @@ def test_hot_group_and_drifting_chain(spark):
     rows = []
     for i in range(150):  # near copies of one text, most not alike enough to one another's leader
         words = list(base)
-        for p in rng.sample(range(150), rng.choice([0, 1, 2, 3])):
+        for p in rng.sample(range(150), rng.choice([0, 1, 2, 3, 4, 5, 6, 9])):
             words[p] = f"x{rng.randrange(10**6)}"
         rows.append((i, " ".join(words)))
+        if i % 3 == 0:  # a twin of its own, which may be the only one alike
+            words[rng.randrange(150)] = "twin"
+            rows.append((5000 + i, " ".join(words)))
     rows += [(1000 + i, rows[7][1]) for i in range(100)]
     words = [f"c{i}" for i in range(100)]
     for i in range(40):  # each like the one before
@@ -110,6 +113,33 @@ def test_signatures_do_not_depend_on_the_batch():
         assert (neardup.signatures([one], 130)[0] == row).all()
 
 
+def test_prefixes_of_differences_meet_for_every_link():
+    rng = random.Random(6)
+    base = [f"b{i}" for i in range(60)]
+
+    def changed(words):
+        words = list(words)
+        for _ in range(rng.randrange(6)):
+            p = rng.randrange(len(words))
+            words[p: p + rng.randrange(2)] = [f"x{rng.randrange(30)}"] * rng.randrange(3)
+        return words
+
+    texts = [changed(base) for _ in range(60)]
+    texts += [changed(t) for t in texts]
+    sets = [neardup.expanded(neardup.hashes_of(" ".join(t))) for t in [base, *texts]]
+    pivot, sims, met = sets[0], [neardup.similarity(sets[0], s) for s in sets], 0
+    prefixes = []
+    for s in sets:
+        apart, outer, inner = neardup.differences(pivot, s, 0.8)
+        prefixes.append((apart[:outer], apart[:inner]))
+    for i in range(1, len(sets)):
+        for j in range(1, len(sets)):
+            if i != j and 0.6 <= sims[i] < 0.8 and neardup.similarity(sets[i], sets[j]) >= 0.8:
+                assert np.intersect1d(prefixes[i][0], prefixes[j][1]).size
+                met += 1
+    assert met >= 10
+
+
 def test_empty_table(spark):
     assert neardup.classes(docs(spark, [])).collect() == []
     assert neardup.classes(docs(spark, [(4, None), (4, None)])).collect() == [(4, 4), (4, 4)]
@@ -130,6 +160,7 @@ def test_components(spark):
         a, b = find(a), find(b)
         up[max(a, b)] = min(a, b)
     linked = {x for a, b in edges if a != b for x in (a, b)}
-    got = components(spark.createDataFrame(edges, "a long, b long")).collect()
-    assert {(r.node, r.component) for r in got} == {(x, find(x)) for x in linked} and len(got) == len(linked)
-    assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+    for one_task in (0, 10**6):  # in rounds, in one task
+        got = components(spark.createDataFrame(edges, "a long, b long"), one_task=one_task).collect()
+        assert {(r.node, r.component) for r in got} == {(x, find(x)) for x in linked} and len(got) == len(linked)
+        assert components(spark.createDataFrame([], "a long, b long"), one_task=one_task).collect() == []
