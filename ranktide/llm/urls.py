@@ -18,8 +18,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ranktide.llm.common import bounded_batches, materialise
+
 DICTIONARY = 30_000
 LONGEST = 24
+RAREST = 1_000_000
 SLOTS = 1 << 16
 _FLUSH = 200_000
 _LETTERS = re.compile(r"[a-z]+")
@@ -62,7 +65,9 @@ def rule_of(host: Column, path: Column, rules: list[Rule]) -> Column:
 
 
 def dictionary(texts: DataFrame, size: int = DICTIONARY, text_col: str = "text") -> dict[str, int]:
-    """The most frequent words (runs of a to z, of 2 to 24 letters) of all texts, with their counts; ties: the smaller."""
+    """The most frequent words (runs of a to z, of 2 to 24 letters) of all texts, with their counts; ties: the smaller.
+    Words under one in ``RAREST`` are left out, so at most so many come into question, whatever the corpus."""
+    bounded_batches(texts.sparkSession)
     schema = pa.schema([("word", pa.string()), ("n", pa.int64())])
 
     def work(it):
@@ -83,7 +88,9 @@ def dictionary(texts: DataFrame, size: int = DICTIONARY, text_col: str = "text")
             yield rows()
 
     counts = texts.select(F.col(text_col).alias("text")).mapInArrow(work, "word string, n long")
-    top = counts.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(size).collect()
+    counts = materialise(counts.groupBy("word").agg(F.sum("n").alias("n")), "words")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    top = counts.where(F.col("n") * RAREST >= total).orderBy(F.desc("n"), "word").limit(size).collect()
     return {r.word: r.n for r in top}
 
 
