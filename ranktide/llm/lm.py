@@ -3,7 +3,7 @@
 Both are word bigram models over one vocabulary, the ``vocabulary`` most frequent lower-cased words of all documents
 and one entry for all others, with the same smoothing; a word's probability after another is the relative frequency
 of the pair, pulled towards the word's own by ``pull`` pseudo-counts, and the word's own has one count added. The
-target model counts the documents marked as target, the background model counts all documents. A document's score is
+target model counts the target documents, the background model counts all documents. A document's score is
 its mean loss per token under the target model less that under the background model: the lower, the more it is like
 the target.
 
@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ranktide.llm.common import bit_filter, bounded_batches, filter_bit, in_filter
+
 VOCABULARY = 1024
 PULL = 10.0
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -62,35 +64,44 @@ def tokens(text: str | None, words: dict[str, int]) -> tuple[np.ndarray, np.ndar
     return ids, np.concatenate(([other + 1], ids[:-1])) if len(ids) else ids
 
 
-def pair_counts(docs: DataFrame, words: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-    """How often each token follows each, in the documents marked ``target`` and in all."""
+def pair_counts(docs: DataFrame, words: dict[str, int]) -> np.ndarray:
+    """How often each token follows each."""
     width = len(words) + 1
-    schema = pa.schema([("domain", pa.int32()), ("cell", pa.int32()), ("n", pa.int64())])
+    schema = pa.schema([("cell", pa.int32()), ("n", pa.int64())])
     shared = docs.sparkSession.sparkContext.broadcast(words)
 
     def work(it):
         table = shared.value
-        counts = np.zeros((2, (width + 1) * width), np.int64)
+        counts = np.zeros((width + 1) * width, np.int64)
         for batch in it:
-            for text, target in zip(batch.column("text").to_pylist(), batch.column("target").to_pylist()):
+            for text in batch.column("text").to_pylist():
                 ids, before = tokens(text, table)
                 cells, n = np.unique(before * width + ids, return_counts=True)
-                counts[1, cells] += n
-                if target:
-                    counts[0, cells] += n
-        for domain in range(2):
-            cells = np.flatnonzero(counts[domain])
-            for at in range(0, len(cells), 1 << 16):
-                part = cells[at: at + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.full(len(part), domain), pa.int32()), pa.array(part, pa.int32()),
-                    pa.array(counts[domain, part], pa.int64())], schema=schema)
-
-    found = docs.select("text", "target").mapInArrow(work, "domain int, cell int, n long")
-    rows = found.groupBy("domain", "cell").agg(F.sum("n").alias("n")).toArrow()  # at most the table's cells, twice
-    out = np.zeros((2, width + 1, width), np.int64)
-    out.reshape(2, -1)[rows.column("domain").to_numpy(), rows.column("cell").to_numpy()] = rows.column("n").to_numpy()
-    return out[0], out[1]
+                counts[cells] += n
+        cells = np.flatnonzero(counts)
+        for at in range(0, len(cells), 1 << 16):
+            part = cells[at: at + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(counts[part], pa.int64())], schema=schema)
+
+    found = docs.select("text").mapInArrow(work, "cell int, n long")
+    rows = found.groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # at most the table's cells
+    out = np.zeros((width + 1, width), np.int64)
+    out.reshape(-1)[rows.column("cell").to_numpy()] = rows.column("n").to_numpy()
+    return out
+
+
+def targets(docs: DataFrame, target: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id ``target`` holds. A bit filter passes them where they lie, so only they (and a
+    few others) are shuffled with the ids; by the same join at every size."""
+    ids = target.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id IS NOT NULL").distinct()
+    shared = docs.sparkSession.sparkContext.broadcast(bit_filter(ids))
+
+    def work(it):
+        for batch in it:
+            yield batch.filter(pa.array(in_filter(shared.value, batch.column("at").to_numpy(zero_copy_only=False))))
+
+    passed = docs.select("doc_id", "text", filter_bit().alias("at")).mapInArrow(work, "doc_id long, text string, at long")
+    return passed.join(ids.hint("merge"), "doc_id", "left_semi")
 
 
 def losses(counts: np.ndarray, pull: float = PULL) -> np.ndarray:
@@ -107,11 +118,10 @@ def score(docs: DataFrame, target: DataFrame, size: int = VOCABULARY, pull: floa
     Losses are means per token. Texts without words (null, empty) have none: nulls. Without target documents the
     target model knows the vocabulary only. Repeated rows count and are scored each; repeated or null target ids add
     nothing; extra columns are ignored; no rows give no rows."""
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     words = vocabulary(rows, size)
-    marked = rows.join(target.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(True).alias("target")).distinct(),
-                       "doc_id", "left")
-    ours, all_ = pair_counts(marked, words)
+    ours, all_ = pair_counts(targets(rows, target), words), pair_counts(rows, words)
     shared = docs.sparkSession.sparkContext.broadcast((words, losses(ours, pull), losses(all_, pull)))
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("target_loss", pa.float64()),
                         ("background_loss", pa.float64())])
