@@ -63,3 +63,16 @@ def test_target_like_texts_score_lower(spark):
 
 def test_empty_table(spark):
     assert lm.score(docs(spark, []), spark.createDataFrame([], "doc_id long")).collect() == []
+
+
+def test_rare_words_are_told_apart(spark):
+    """3,000 distinct words: texts that differ in rare words only have different losses, as by brute force."""
+    rng = random.Random(3)
+    common = [f"c{i}" for i in range(1500)]
+    rows = [(i, " ".join(rng.choices(common, k=200) + [f"r{i}x{k}" for k in range(10)])) for i in range(150)]
+    rows += [(200, "c1 c2 r1x1 r1x2 c3"), (201, "c1 c2 r7x8 r2x5 c3")]
+    target = spark.createDataFrame([(t,) for t in range(0, 100, 2)], "doc_id long")
+    got = {r.doc_id: r for r in lm.score(docs(spark, rows).repartition(5), target).collect()}
+    for i, n, ours, all_ in brute(rows, set(range(0, 100, 2)), 10**6):
+        assert (got[i].n_tokens, got[i].target_loss, got[i].background_loss) == (n, pytest.approx(ours), pytest.approx(all_))
+    assert got[200].background_loss != pytest.approx(got[201].background_loss)
