@@ -5,12 +5,13 @@ words (all others are one bin). A language's reference is the sum over all its d
 Jensen-Shannon distance (base 2, so 0 to 1) of a histogram to the reference passes a limit; texts under a minimum
 length are not judged by that histogram, since few counts are far from anything.
 
-References exist for languages with at least 1/``share`` of all words, so at most ``share`` of them travel to the
-tasks; documents of any other language (or none) are compared with each, and with the sum of all, and the nearest
-counts."""
+Every language has a reference. References are a table, of which blocks of about ``block_langs`` languages travel to the
+tasks; a document meets the block of its language. Documents of no language are compared with each, and with the sum of
+all, and the nearest counts."""
 
 from __future__ import annotations
 
+import functools
 import re
 from collections import Counter
 from dataclasses import dataclass
@@ -37,7 +38,7 @@ _FLUSH = 200_000
 @dataclass(frozen=True)
 class Rules:
     common: int = 100
-    share: int = 256
+    block_langs: int = 1024
     min_class_chars: int = 200
     min_words: int = 200
     max_class_distance: float = 0.3
@@ -103,9 +104,9 @@ def word_distance(words: Counter, bins: dict[str, int], reference: np.ndarray) -
     return distance(own, reference)
 
 
-def references(docs: DataFrame, rules: Rules = Rules()) -> dict[str, tuple[list[int], dict[str, int], int]]:
-    """For each language, "" being all together: counts of the character classes, counts of its common words, and all
-    words. Over every document; at most ``share + 1`` languages with ``common`` words each reach the driver."""
+def reference_table(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """(lang, key, n) for each language, "" being all together: counts of the character classes and of all words, whose
+    keys begin with a space, and of its common words. Over every document; ``common`` + 8 rows a language."""
     schema = pa.schema([("lang", pa.string()), ("key", pa.string()), ("n", pa.int64())])
 
     def work(it):
@@ -137,22 +138,30 @@ def references(docs: DataFrame, rules: Rules = Rules()) -> dict[str, tuple[list[
     # the counts of all languages together are a language of their own, named ""
     counts = materialise(counts, "language-counts")
     every = counts.groupBy("key").agg(F.sum("n").alias("n")).select(F.lit("").alias("lang"), "key", "n")
-    totals = counts.where("key = ' words' AND lang <> ''")
-    total = totals.agg(F.sum("n")).first()[0] or 0
-    kept = totals.where(F.col("n") * rules.share >= total).select("lang")
-    both = counts.join(F.broadcast(kept), "lang").unionByName(every)
-    shape = both.where("key LIKE ' %'").collect()
+    both = counts.where("lang <> ''").unionByName(every)
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "key")
     top = (both.where("key NOT LIKE ' %' AND key <> ''").withColumn("_rank", F.row_number().over(order))
-           .where(F.col("_rank") <= rules.common).collect())
+           .where(F.col("_rank") <= rules.common).drop("_rank"))
+    return materialise(both.where("key LIKE ' %'").unionByName(top), "references")
+
+
+def collected(table: DataFrame) -> dict[str, tuple[list[int], dict[str, int], int]]:
+    """For each language of ``table``: counts of the character classes, counts of its common words, and all words."""
+    found: dict[str, dict[str, int]] = {}
+    for lang, key, n in zip(*(c.to_pylist() for c in table.select("lang", "key", "n").toArrow().columns)):
+        found.setdefault(lang, {})[key] = n
     out = {}
-    for lang in {r.lang for r in shape}:
-        own = {r.key: r.n for r in shape if r.lang == lang}
-        out[lang] = ([own.get(f" {i}", 0) for i in range(CLASSES)], {r.key: r.n for r in top if r.lang == lang},
-                     own[" words"])
+    for lang, own in found.items():
+        words = sorted((k for k in own if not k.startswith(" ")), key=lambda k: (-own[k], k))
+        out[lang] = [own.get(f" {i}", 0) for i in range(CLASSES)], {k: own[k] for k in words}, own[" words"]
     return out
 
 
+def references(docs: DataFrame, rules: Rules = Rules()) -> dict[str, tuple[list[int], dict[str, int], int]]:
+    """The references of all languages, for tables of few of them."""
+    return collected(reference_table(docs, rules))
+
+
 COLUMNS = ("n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
            "base_failed boolean, kept boolean, class_distance double, word_distance double")
 
@@ -163,43 +172,80 @@ def judge(docs: DataFrame, rules: Rules = Rules(), keep: tuple[str, ...] = ()) -
 
     ``base_failed``: under ``base_min_words`` words, or over ``base_max_repeat_percent`` of them in repeated triples.
     ``kept``: neither that nor a distance over its limit. A distance is null where the text is too short for it. A
-    null text has no words and fails; a null or rare language is held against every reference; repeated rows are judged each;
+    null text has no words and fails; a null language is held against every reference; repeated rows are judged each;
     columns not in ``keep`` are ignored; no rows give no rows."""
     bounded_batches(docs.sparkSession)
     names = [c.split()[0] for c in COLUMNS.split(", ")]
     assert not set(keep) & {"doc_id", *names}
-    found = docs.sparkSession.sparkContext.broadcast(references(docs.select("lang", "text"), rules))
     kept_types = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    table = reference_table(docs.select("lang", "text"), rules)
+    n_blocks = max(1, -(-table.where("key = ' words'").count() // rules.block_langs))
+    block = F.pmod(F.xxhash64("lang"), F.lit(n_blocks))
+    shared = [docs.sparkSession.sparkContext.broadcast(collected(table.where(block == k))) for k in range(n_blocks)]
 
-    def work(it):
+    def ready_for(found):
         ready = {}
-        for lang, (classes, common, words) in found.value.items():
+        for lang, (classes, common, words) in found.items():
             bins = {w: i for i, w in enumerate(common)}
             ready[lang] = np.array(classes), bins, np.array([*common.values(), words - sum(common.values())])
-
-        def one(text, lang):
-            words = WORD.findall(text)
-            n = len(words)
-            chars, symbols, lines, repeated = base_counts(text, words)
-            failed = n < rules.base_min_words or 100 * repeated > rules.base_max_repeat_percent * n
-            by_class = by_word = None
-            against = [ready[lang]] if lang and lang in ready else ready.values()
-            if len(text) >= rules.min_class_chars:
-                own = class_counts(text)
-                by_class = min(distance(own, classes) for classes, _, _ in against)
-            if n >= rules.min_words:
-                by_word = min(word_distance(Counter(words), bins, reference) for _, bins, reference in against)
-            far = (by_class or 0) > rules.max_class_distance or (by_word or 0) > rules.max_word_distance
-            return n, chars, symbols, lines, repeated, failed, not failed and not far, by_class, by_word
-
-        types = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()] * 2
-        for batch in it:
-            if batch.num_rows:
-                rows = [one(t or "", lang) for t, lang in zip(batch.column("text").to_pylist(), batch.column("_lang").to_pylist())]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(zip(*rows), types)),
-                     *(batch.column(f"_keep{i}") for i in range(len(keep)))], names=["doc_id", *names, *keep])
-
+        return ready
+
+    def nearest(text, words, against, so_far=()):
+        """The least distances to ``against`` and of those known before; null for a text too short."""
+        by_class, by_word = ([x] if x is not None else [] for x in so_far or (None, None))
+        if len(text) >= rules.min_class_chars:
+            own = class_counts(text)
+            by_class += [distance(own, classes) for classes, _, _ in against]
+        if len(words) >= rules.min_words:
+            counted = Counter(words)
+            by_word += [word_distance(counted, bins, reference) for _, bins, reference in against]
+        return min(by_class, default=None), min(by_word, default=None)
+
+    def nearer(found):
+        """The distances so far with those to one more block, for texts of no language."""
+        def work(it):
+            ready = ready_for(found.value)
+            for batch in it:
+                rows = [nearest(t or "", WORD.findall(t or ""), ready.values(), so_far)
+                        for t, *so_far in zip(*(batch.column(c).to_pylist() for c in ("text", "_class", "_word")))]
+                for i, name in enumerate(("_class", "_word")):
+                    batch = batch.set_column(batch.schema.get_field_index(name), name, pa.array([r[i] for r in rows], pa.float64()))
+                yield batch
+        return work
+
+    def judged(found):
+        def work(it):
+            ready = ready_for(found.value)
+
+            def one(text, lang, *so_far):
+                words = WORD.findall(text)
+                n = len(words)
+                chars, symbols, lines, repeated = base_counts(text, words)
+                failed = n < rules.base_min_words or 100 * repeated > rules.base_max_repeat_percent * n
+                # a language without a reference has no text that is long enough to be judged
+                against = ready.values() if not lang else [ready[lang]] if lang in ready else []
+                by_class, by_word = nearest(text, words, against, so_far)
+                far = (by_class or 0) > rules.max_class_distance or (by_word or 0) > rules.max_word_distance
+                return n, chars, symbols, lines, repeated, failed, not failed and not far, by_class, by_word
+
+            types = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()] * 2
+            for batch in it:
+                if batch.num_rows:
+                    rows = [one(t or "", *rest) for t, *rest in zip(*(batch.column(c).to_pylist() for c in ("text", "_lang", "_class", "_word")))]
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(zip(*rows), types)),
+                         *(batch.column(f"_keep{i}") for i in range(len(keep)))], names=["doc_id", *names, *keep])
+        return work
+
+    none = F.lit(None).cast("double")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce("lang", F.lit("")).alias("_lang"),
-                       *[F.col(c).alias(f"_keep{i}") for i, c in enumerate(keep)])
-    return rows.mapInArrow(work, f"doc_id long, {COLUMNS}{kept_types}")
+                       none.alias("_class"), none.alias("_word"), *[F.col(c).alias(f"_keep{i}") for i, c in enumerate(keep)])
+    out = f"doc_id long, {COLUMNS}{kept_types}"
+    if n_blocks == 1:
+        return rows.mapInArrow(judged(shared[0]), out)
+    at = F.pmod(F.xxhash64("_lang"), F.lit(n_blocks))
+    parts = [rows.where((F.col("_lang") != "") & (at == k)).mapInArrow(judged(found), out) for k, found in enumerate(shared)]
+    unnamed = rows.where("_lang = ''")
+    for found in shared[:-1]:
+        unnamed = unnamed.mapInArrow(nearer(found), rows.schema)
+    return functools.reduce(DataFrame.unionByName, [*parts, unnamed.mapInArrow(judged(shared[-1]), out)])

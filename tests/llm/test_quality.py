@@ -76,3 +76,18 @@ def test_distance():
 
 def test_empty_table(spark):
     assert quality.judge(docs(spark, [])).collect() == []
+
+
+RUSSIAN = "Кот из дома сидит на столе и не хочет пить молоко, сказала дама в большой шляпе. "
+
+
+@pytest.mark.parametrize("block_langs", [1024, 2])
+def test_small_languages_have_their_own_reference(spark, block_langs):
+    """Languages of under 1/256 of all words, in one block of references and in several."""
+    rows = [(1, plain(ENGLISH, 70_000), "en"), (2, plain(ENGLISH, 300), "en"), (5, plain(FRENCH, 220), "fr"),
+            (6, plain(ENGLISH, 230), None), (7, plain(FRENCH, 240), None), (8, "1 2 3 4 5 | # $ < > " * 60, None)]
+    rows += [(10 + i, plain(RUSSIAN, 60 + i), "ru") for i in range(3)] + [(20, "Короткий", "xx"), (21, None, "yy")]
+    df = spark.createDataFrame([(i, t, l, "s", 1) for i, t, l in rows], DOCS)
+    got = {r.doc_id: r for r in quality.judge(df, quality.Rules(block_langs=block_langs)).collect()}
+    assert len(got) == len(rows) and {i for i, r in got.items() if r.kept} == {2, 5, 6, 7, 10, 11, 12}
+    assert got[10].class_distance < 0.1 and got[21].class_distance is None
