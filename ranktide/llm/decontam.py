@@ -15,7 +15,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ranktide.llm.common import bounded_batches
@@ -115,11 +115,16 @@ def find(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, block_
     Words are lower-cased runs of letters and digits. Items under five words and null or empty texts match nothing.
     Rows that share a doc_id or an item_id are compared each, and equal result rows stay; extra columns are ignored;
     no documents or no items give no rows."""
+    return _hits(docs, items, threshold, block_bytes, F.lit(None)).drop("text_key")
+
+
+def _hits(docs: DataFrame, items: DataFrame, threshold: float, block_bytes: int, key: Column) -> DataFrame:
+    """The rows of :func:`find` and ``key`` (text_key) of the document's row."""
     bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long"), "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", key.cast("string").alias("text_key"))
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("containment", pa.float64()),
-                        ("n_shingles", pa.int32())])
+                        ("n_shingles", pa.int32()), ("text_key", pa.string())])
     parts = []
     for block in _blocks(items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text IS NOT NULL"),
                          block_bytes):
@@ -132,14 +137,14 @@ def find(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, block_
                     item, own = found.items[i]
                     share = np.isin(own, texts[t]).mean()
                     if share >= threshold:
-                        yield ids[t], item, float(share), len(own)
+                        yield ids[t][0], item, float(share), len(own), ids[t][1]
 
             for batch in it:
                 ids, texts, size, out = [], [], 0, []
-                for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+                for doc, text, row in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "text_key"))):
                     own = item_shingles(text)
                     if len(own):
-                        ids.append(doc)
+                        ids.append((doc, row))
                         texts.append(own)
                         size += len(own)
                     if size >= _BATCH:
@@ -149,11 +154,13 @@ def find(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, block_
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
-        parts.append(rows.mapInArrow(work, OUT))
+        parts.append(rows.mapInArrow(work, f"{OUT}, text_key string"))
     return functools.reduce(DataFrame.unionByName, parts)
 
 
 def clean(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents that contain no item; all columns stay."""
-    hit = find(docs, items, threshold).select("doc_id").distinct()
-    return docs.join(hit, docs.doc_id.eqNullSafe(hit.doc_id), "left_anti")
+    """The documents that contain no item; all columns stay. A row is told by its doc_id and its text, so others of the
+    same doc_id, or of none, stay."""
+    key = F.sha2("text", 256)
+    hit = _hits(docs, items, threshold, BLOCK_BYTES, key).select(F.col("doc_id").alias("_hit"), "text_key").distinct()
+    return docs.join(hit, docs.doc_id.eqNullSafe(F.col("_hit")) & (key == F.col("text_key")), "left_anti")

@@ -23,8 +23,9 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType, BinaryType, StructField, StructType
 
 from ranktide.llm.common import bit_filter, bounded_batches, filter_bit, in_filter, materialise, pack
 from ranktide.llm.graph import components
@@ -273,6 +274,16 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, n_bands: int = BANDS,
     without words equal one another; a null text is in a class of its own. Rows that share a doc_id are compared each,
     as texts. A null doc_id takes part, and names a class only if no other can (class_id null). Extra columns are
     ignored, no rows give no rows."""
+    signed, reps = _components(docs, threshold, n_bands, n_rows)
+    # null texts have no node; every other row takes the smallest id of its component
+    smallest = reps.groupBy("component").agg(F.min("rep").alias("class_id"))
+    named = reps.join(smallest, "component").select("node", "class_id")
+    return (signed.select("doc_id", "node").join(named, "node", "left")
+            .select("doc_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id")))
+
+
+def _components(docs: DataFrame, threshold: float, n_bands: int, n_rows: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, node) of each row and (node, rep, component) of each node; rep is the smallest doc_id of its rows."""
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = materialise(_signed(rows, n_bands, n_rows), "signatures")
@@ -294,14 +305,10 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, n_bands: int = BANDS,
         if not more.isEmpty():
             found = materialise(components(links.unionByName(more)), "components")
 
-    # null texts have no node; every other row takes the smallest id of its component
     reps = nodes.select("node", "rep", F.col("node").alias("component")) if found is None else (
         nodes.select("node", "rep").join(found, "node", "left")
         .select("node", "rep", F.coalesce("component", "node").alias("component")))
-    smallest = reps.groupBy("component").agg(F.min("rep").alias("class_id"))
-    named = reps.join(smallest, "component").select("node", "class_id")
-    return (signed.select("doc_id", "node").join(named, "node", "left")
-            .select("doc_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id")))
+    return signed, reps
 
 
 def _element_counts(near: DataFrame) -> np.ndarray:
@@ -378,7 +385,27 @@ def _open_pairs(tried: DataFrame, found: DataFrame) -> DataFrame:
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.lit(False).alias("pivot")).distinct()
 
 
+def _with_node(docs: DataFrame) -> DataFrame:
+    """All columns and the row's node (null: null text)."""
+    def work(it):
+        for batch in it:
+            nodes = [None if t is None else hashlib.blake2b(hashes_of(t).tobytes(), digest_size=16).digest()
+                     for t in batch.column("text").to_pylist()]
+            yield batch.append_column("_node", pa.array(nodes, pa.binary()))
+
+    return docs.mapInArrow(work, StructType([*docs.schema.fields, StructField("_node", BinaryType())]))
+
+
 def representatives(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The document of the smallest id of each class, all columns; one row of those that share that id."""
-    kept = classes(docs, threshold).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id").distinct()
-    return docs.join(kept, docs.doc_id.eqNullSafe(kept.doc_id), "left_semi").dropDuplicates(["doc_id"])
+    """One row of each class, all columns, and every row of a null text. It is the one of the smallest doc_id (a null
+    one only if there is no other), then of the smallest node, then the first by text and the other columns; other rows
+    of its doc_id, or of none, are in classes of their own."""
+    _, reps = _components(docs, threshold, BANDS, ROWS)
+    lead = reps.groupBy("component").agg(F.min(F.struct(F.col("rep").isNull().alias("no_id"), "rep", "node")).alias("lead"))
+    lead = lead.select(F.col("lead.rep").alias("_rep"), F.col("lead.node").alias("_lead"))
+    rows = _with_node(docs)
+    found = rows.join(lead, (rows["_node"] == lead["_lead"]) & rows["doc_id"].eqNullSafe(lead["_rep"]), "left_semi")
+    order = ["text", *sorted(f.name for f in docs.schema.fields if isinstance(f.dataType, AtomicType) and f.name not in ("doc_id", "text"))]
+    place = F.row_number().over(Window.partitionBy("doc_id", "_node").orderBy(*order))
+    first = found.withColumn("_place", place).where("_place = 1").select(*docs.columns)
+    return first.unionByName(docs.where("text IS NULL"))

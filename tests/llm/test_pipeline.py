@@ -96,3 +96,20 @@ def test_stages_on_odd_rows(spark):
     for _, stage in corpus_pipeline.STAGES:
         stage(spark, docs(spark, rows), SF).collect()
         assert stage(spark, docs(spark, []), SF).collect() == []
+
+
+def test_rows_without_or_with_repeated_ids_are_told_apart(spark):
+    """Unlike clean rows under null ids or one id stay in every stage that removes rows; copies of them go."""
+    import random
+
+    from ranktide.llm import decontam, neardup
+
+    rng = random.Random(5)
+    say = lambda: " ".join(f"w{rng.randrange(5000)}" for _ in range(80))
+    free, same = [say() for _ in range(30)], [say() for _ in range(5)]
+    rows = [(None, t) for t in free] + [(7, t) for t in same] + [(1, free[0]), (None, free[1]), (2, same[0] + " x"), (7, same[1])]
+    got = sorted((r.doc_id, r.text) for r in neardup.representatives(docs(spark, rows).repartition(4)).fillna(-1, ["doc_id"]).collect())
+    assert got == sorted([(-1, t) for t in free[1:]] + [(7, t) for t in same[1:]] + [(1, free[0]), (2, same[0] + " x")])
+    items = spark.createDataFrame([(1, free[3][:120]), (2, same[2][:120])], "item_id long, text string")
+    left = sorted(r.text for r in decontam.clean(docs(spark, rows), items).collect())
+    assert left == sorted(t for _, t in rows if t not in (free[3], same[2]))
