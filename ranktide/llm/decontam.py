@@ -2,7 +2,9 @@
 
 Items are partitioned by size: a partition holds items of more than ``block / 2`` and at most ``block`` shingles. A
 document is looked at in segments of two neighbouring blocks, so an item that occurs in it lies whole in one segment
-and its Jaccard similarity with that segment is at least a fifth at 0.8 containment, however long the document. Each
+and its Jaccard similarity with that segment is about a fifth or more at 0.8 containment, however long the document, if
+over half a block of its shingles are distinct. Items of fewer (those of up to eight words, and repetitive ones) become
+candidates by exact lookup of their shingles instead. Each
 segment's signature (the minimum of its blocks' minima; larger blocks are made of smaller ones) is compared with the
 items' value by value; an equal value makes a candidate, and exact containment of the item's shingles in the document
 decides. Documents stay where they are: there is no shuffle. The items travel to the tasks in blocks of at most
@@ -43,13 +45,20 @@ class Index:
 
     def __init__(self, items: list[tuple[int | None, str | None]], hashes: int = HASHES):
         self.a, self.b = _functions(hashes)
-        self.items, self.partitions = [], {}
+        self.items, self.partitions, few = [], {}, []
         for item, text in items:
             all_ = item_shingles(text)
             if len(all_):
                 block = 1 << max(3, math.ceil(math.log2(len(all_))))
-                self.partitions.setdefault(block, []).append(len(self.items))
-                self.items.append((item, np.unique(all_)))
+                own = np.unique(all_)
+                if 2 * len(own) > block:
+                    self.partitions.setdefault(block, []).append(len(self.items))
+                else:
+                    few.append((own, len(self.items)))
+                self.items.append((item, own))
+        shingle = np.concatenate([own for own, _ in few]) if few else np.zeros(0, np.uint64)
+        order = np.argsort(shingle, kind="stable")
+        self.looked_up = shingle[order], np.repeat([i for _, i in few], [len(own) for own, _ in few]).astype(np.int64)[order]
         self.values = {}
         for block, members in self.partitions.items():
             own = np.array([self.signature(self.items[i][1]) for i in members])  # items x hashes
@@ -70,8 +79,14 @@ class Index:
         return np.array([((shingle * a + b) >> np.uint64(32)).min() for a, b in zip(self.a, self.b)], np.uint32)
 
     def candidates(self, texts: list[np.ndarray]) -> set[tuple[int, int]]:
-        """(text, item) pairs of which a segment and the item agree in a value."""
+        """(text, item) pairs of which a segment and the item agree in a value, or that share a shingle that is looked up."""
         out: set[tuple[int, int]] = set()
+        shingle, owners = self.looked_up
+        for t, text in enumerate(texts if len(shingle) else ()):
+            own = np.unique(text)
+            low, high = np.searchsorted(shingle, own, "left"), np.searchsorted(shingle, own, "right")
+            for lo, hi in zip(low[high > low].tolist(), high[high > low].tolist()):
+                out.update((t, i) for i in owners[lo:hi].tolist())
         if not self.partitions or not texts:
             return out
         base = min(self.partitions)

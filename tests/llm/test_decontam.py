@@ -57,3 +57,14 @@ def test_empty_tables(spark):
     bench = spark.createDataFrame([(1, "a b c d e f g")], "item_id long, text string")
     assert decontam.find(docs(spark, []), bench).collect() == []
     assert decontam.find(docs(spark, [(1, "a b c d e f g")]), bench.limit(0)).collect() == []
+
+
+def test_short_and_repetitive_items_are_always_candidates():
+    """Verbatim items of five to eight words, and of few distinct shingles, in texts of any length."""
+    rng = random.Random(11)
+    say = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    items = [(i, " ".join(say(5 + i % 4))) for i in range(1500)] + [(i, " ".join(say(6) * 30)) for i in range(1500, 1600)]
+    texts = [decontam.item_shingles(" ".join(say(rng.randrange(200)) + [t] + say(rng.randrange(200)))) for _, t in items]
+    index = decontam.Index(items)
+    found = {(a + t, i) for a in range(0, len(texts), 100) for t, i in index.candidates(texts[a: a + 100])}
+    assert {(i, i) for i in range(len(items))} <= found
