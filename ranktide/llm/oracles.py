@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ranktide.llm import chat, lm, neardup, quality, sharding, substring
+from ranktide.llm import chat, lm, merkle, neardup, quality, sharding, substring
 from ranktide.llm.decontam import SHINGLE, THRESHOLD
 
 WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
@@ -205,3 +205,34 @@ u AS (SELECT r, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM d),
 k AS (SELECT r, string_agg(w, ' ' ORDER BY i) AS t, count(*) AS n FROM u ANTI JOIN gone USING (r, i) GROUP BY r)
 SELECT doc_id, len(ws) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
 FROM d LEFT JOIN k USING (r)"""
+
+
+def op11() -> str:
+    def field(column: str) -> str:
+        return f"coalesce(octet_length(encode({column}::VARCHAR))::VARCHAR || ':' || {column}::VARCHAR, '-')"
+
+    def leaf(n_chars: str) -> str:
+        return f"sha256({' || '.join(field(n_chars if c == 'n_chars' else c) for c in merkle.COLUMNS)})"
+
+    up = "list_transform(range(0, len(l), 2), lambda i: sha256(l[i + 1] || coalesce(l[i + 2], '')))"
+    return f"""
+WITH RECURSIVE crc AS (SELECT list_transform(range(16), lambda i: list_reduce(range(4), lambda c, k:
+       CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS t),
+v AS (SELECT *, {leaf('n_chars')} AS leaf, xor(list_reduce(list_transform(string_split(regexp_replace(hex(encode(doc_id::VARCHAR)),
+        '(.)(.)', '\\2\\1', 'g'), ''), lambda c: instr('0123456789ABCDEF', c) - 1),
+        lambda c, b: xor(c >> 4, crc.t[(xor(c, b) & 15) + 1]), 4294967295), 4294967295) AS c FROM documents, crc),
+d AS (SELECT doc_id, lang, leaf, CASE WHEN c % {merkle.TAMPER} = 0 THEN {leaf('(n_chars + 1)')} ELSE leaf END AS found,
+        row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM v),
+t AS (SELECT lang, 0 AS k, list(leaf ORDER BY pos) AS l FROM d GROUP BY lang
+      UNION ALL SELECT lang, k + 1, {up} FROM t WHERE len(l) > 1),
+s AS (SELECT lang, l[1] AS subroot, k AS height, row_number() OVER (ORDER BY encode(lang) NULLS FIRST) - 1 AS nth FROM t WHERE len(l) = 1),
+o AS (SELECT 0 AS k, list(subroot ORDER BY nth) AS l FROM s UNION ALL SELECT k + 1, {up} FROM o WHERE len(l) > 1),
+p AS (SELECT row_number() OVER () AS r, d.*, subroot, height, nth FROM d JOIN s ON d.lang IS NOT DISTINCT FROM s.lang),
+w AS (SELECT r, k, (pos >> k) % 2 AS odd, t.l[xor(pos >> k, 1) + 1] AS other FROM p JOIN t ON t.lang IS NOT DISTINCT FROM p.lang AND len(t.l) > 1
+      UNION ALL SELECT r, height + k, (nth >> k) % 2, o.l[xor(nth >> k, 1) + 1] FROM p JOIN o ON len(o.l) > 1),
+f AS (SELECT r, 0 AS k, found AS node FROM p
+      UNION ALL SELECT r, f.k + 1, sha256(CASE WHEN odd = 1 THEN other || node ELSE node || coalesce(other, '') END) FROM f JOIN w USING (r, k)),
+g AS (SELECT r, arg_max(node, k) AS folded_root FROM f GROUP BY r),
+q AS (SELECT r, sha256(string_agg(coalesce(other, ''), '' ORDER BY k)) AS proof_sha256 FROM w GROUP BY r)
+SELECT doc_id, leaf, subroot, root, coalesce(proof_sha256, sha256('')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM p JOIN g USING (r) LEFT JOIN q USING (r), (SELECT l[1] AS root FROM o WHERE len(l) = 1)"""

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ranktide.llm import bpe, chat, decontam, lm, neardup, oracles, quality, sharding, substring, urls, warc
+from ranktide.llm import bpe, chat, decontam, lm, merkle, neardup, oracles, quality, sharding, substring, urls, warc
 from ranktide.llm.common import read, shared_path
 
 SHARDS = 40
@@ -89,8 +89,14 @@ def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Root, proofs and verification of every document."""
+    return merkle.manifest(read(spark, sf_dir, "documents").select(*merkle.COLUMNS))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality, op2_neardup, op3_decontamination, op4_lm, op5_urls, op6_warc, op7_sharding, op8_chat, op9_bpe, op10_substring)
+    f.__name__: f for f in (op1_quality, op2_neardup, op3_decontamination, op4_lm, op5_urls, op6_warc, op7_sharding, op8_chat, op9_bpe, op10_substring,
+                              op11_merkle)
 }
 
 
@@ -98,4 +104,4 @@ def oracle_sql() -> dict[str, str]:
     """SQL for all but the URL model (op5) and the merges of byte pairs (op9), which have tests by brute force."""
     return {"op1_quality": oracles.op1(), "op2_neardup": oracles.op2(), "op3_decontamination": oracles.op3(),
             "op4_lm": oracles.op4(), "op6_warc": oracles.op6(), "op7_sharding": oracles.op7(SHARDS),
-            "op8_chat": oracles.op8(EXTRA_CONVERSATION), "op10_substring": oracles.op10()}
+            "op8_chat": oracles.op8(EXTRA_CONVERSATION), "op10_substring": oracles.op10(), "op11_merkle": oracles.op11()}
