@@ -8,11 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ranktide.llm import bpe, chat, decontam, lm, merkle, neardup, oracles, quality, sharding, substring, urls, warc
+from ranktide.llm import align, bpe, chat, decontam, lm, merkle, neardup, oracles, quality, sharding, substring, urls, warc
 from ranktide.llm.common import read, shared_path
 
 SHARDS = 40
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
+SIDE_A, SIDE_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 RULES = [urls.Rule("allow", "com/"), urls.Rule("block", "example.com/en/"), urls.Rule("allow", "www.example.com/en/"),
          urls.Rule("block", "net/es/"), urls.Rule("block", "net/fr/")]
 EXTRA_CONVERSATION = "\\### Assistant: </turn> ok"
@@ -94,9 +95,15 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(read(spark, sf_dir, "documents").select(*merkle.COLUMNS))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of two tokenizers in every document, aligned, with corpus-wide pair counts."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return align.align(docs, *(bpe.rank_file(public_tokenizers.path(n)) for n in (SIDE_A, SIDE_B)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_quality, op2_neardup, op3_decontamination, op4_lm, op5_urls, op6_warc, op7_sharding, op8_chat, op9_bpe, op10_substring,
-                              op11_merkle)
+                              op11_merkle, op12_alignment)
 }
 
 
