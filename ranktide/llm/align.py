@@ -82,7 +82,8 @@ class Codecs:
                         else self.b.id_to_piece(i).replace(_SPACE, " ").encode() for i in range(n)]
         self.a_length = np.array(list(map(len, self.a_bytes)), np.int64)
         self.b_length = np.array(list(map(len, self.b_bytes)), np.int64)
-        self.a_name, self.b_name = ([str(i) for i in range(len(t))] for t in (self.a_bytes, self.b_bytes))
+        #: how the groups' listing shows a token, and the last token of its group
+        self.names = [f"{i}{end}" for t, last in ((self.a_bytes, "|"), (self.b_bytes, ";")) for i in range(len(t)) for end in (",", last)]
 
     def tokens(self, text: str | None) -> tuple[list[int], list[int]] | None:
         """The ids of both sides; none where the text is null or empty or either side's bytes are not those of the
@@ -103,18 +104,18 @@ class Codecs:
         """A pair for each link, the number of groups, and their digest."""
         ids_a, ids_b = np.array(a, np.int64), np.array(b, np.int64)
         ends_a, ends_b = np.cumsum(self.a_length[ids_a]), np.cumsum(self.b_length[ids_b])
-        ends = np.union1d(ends_a, ends_b)
+        ends = np.sort(np.concatenate((ends_a, ends_b)), kind="stable")
+        first = np.concatenate(([True], ends[1:] != ends[:-1]))
+        common, ends = ends[~first], ends[first]
+        # each token's group, whether it is the group's last, and its place in the listing
+        group_a, group_b = np.searchsorted(common, ends_a), np.searchsorted(common, ends_b)
+        before_a, before_b = (np.concatenate(([0], np.searchsorted(e, common) + 1)) for e in (ends_a, ends_b))
+        listing = np.empty(len(a) + len(b), np.int64)
+        listing[np.arange(len(a)) + before_b[group_a]] = ids_a * 2 + (common[group_a] == ends_a)
+        listing[np.arange(len(b)) + before_a[group_b + 1]] = (ids_b + len(self.a_bytes)) * 2 + (common[group_b] == ends_b)
+        listed = "".join(map(self.names.__getitem__, listing.tolist()))[:-1]
         at_a, at_b = np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends)
-        common = np.intersect1d(ends_a, ends_b, assume_unique=True)
-        cuts_a, cuts_b = ((np.searchsorted(e, common) + 1).tolist() for e in (ends_a, ends_b))
-        names_a, names_b = list(map(self.a_name.__getitem__, a)), list(map(self.b_name.__getitem__, b))
-        listed, i, j = hashlib.sha256(), 0, 0
-        parts = []
-        for x, y in zip(cuts_a, cuts_b):
-            parts.append(",".join(names_a[i:x]) + "|" + ",".join(names_b[j:y]))
-            i, j = x, y
-        listed.update(";".join(parts).encode())
-        return ids_a[at_a] << B_BITS | ids_b[at_b], len(common), listed.hexdigest()
+        return ids_a[at_a] << B_BITS | ids_b[at_b], len(common), hashlib.sha256(listed.encode()).hexdigest()
 
 
 # --- runs: rising pairs as differences, zstd frames
