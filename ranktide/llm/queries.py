@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ranktide.llm import align, bpe, chat, decontam, lm, merkle, neardup, oracles, quality, sharding, substring, urls, warc
+from ranktide.llm import align, bpe, chat, decontam, langid, lm, merkle, neardup, oracles, quality, sharding, substring, urls, warc
 from ranktide.llm.common import read, shared_path
 
 SHARDS = 40
@@ -101,14 +101,22 @@ def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.align(docs, *(bpe.rank_file(public_tokenizers.path(n)) for n in (SIDE_A, SIDE_B)))
 
 
+def op13_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from three quarters of them."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    out = langid.identify(docs, bpe.rank_file(public_tokenizers.path(TOKENIZER)))
+    return out.withColumn("score", F.round("score", 6))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_quality, op2_neardup, op3_decontamination, op4_lm, op5_urls, op6_warc, op7_sharding, op8_chat, op9_bpe, op10_substring,
-                              op11_merkle, op12_alignment)
+                              op11_merkle, op12_alignment, op13_langid)
 }
 
 
 def oracle_sql() -> dict[str, str]:
-    """SQL for all but the URL model (op5) and the merges of byte pairs (op9), which have tests by brute force."""
+    """SQL for all but the URL model (op5), tokenizers (op9, op12) and the language model (op13), which have tests by
+    brute force."""
     return {"op1_quality": oracles.op1(), "op2_neardup": oracles.op2(), "op3_decontamination": oracles.op3(),
             "op4_lm": oracles.op4(), "op6_warc": oracles.op6(), "op7_sharding": oracles.op7(SHARDS),
             "op8_chat": oracles.op8(EXTRA_CONVERSATION), "op10_substring": oracles.op10(), "op11_merkle": oracles.op11()}
