@@ -37,6 +37,8 @@ NO_LANGUAGE = "und"
 _CELLS = 1 << 18
 _SLICE = 1 << 20
 _HELD = 1 << 18
+_FILTER = 1 << 20
+_CACHE_BYTES = 1 << 26
 
 #: bytes of a unit: ASCII letters, the apostrophe, and all bytes of other characters
 LETTERS = np.array([b >= 0x80 or chr(b).isalpha() or b == 0x27 for b in range(256)])
@@ -57,6 +59,8 @@ class Lattice:
         names = self._hashes([pieces[i] for i in own])
         order = np.argsort(names)
         self.names, self.ids = names[order], np.array(own)[order]
+        self.maybe = np.zeros(_FILTER, bool)  # most strings are no piece: told without a search
+        self.maybe[self.names % np.uint64(_FILTER)] = True
         self.longest = max(len(pieces[i]) for i in own)
 
     @staticmethod
@@ -87,10 +91,10 @@ class Lattice:
             units, starts, ids = [], [], []
             for start in range(max(0, end - self.longest), end):
                 h = mix((sums[end, alive] - sums[start, alive]) * inverse[start] + np.uint64(end - start))
-                at = np.searchsorted(self.names, h)
-                at[at == len(self.names)] = 0
-                hit = self.names[at] == h
-                units.append(alive[hit])
+                near = np.flatnonzero(self.maybe[h % np.uint64(_FILTER)])
+                at = np.minimum(np.searchsorted(self.names, h[near]), len(self.names) - 1)
+                hit = self.names[at] == h[near]
+                units.append(alive[near[hit]])
                 starts.append(np.full(int(hit.sum()), start))
                 ids.append(self.ids[at[hit]])
             units, starts, ids = map(np.concatenate, (units, starts, ids))
@@ -175,11 +179,11 @@ def _parts(text: str) -> Iterator[str]:
         at = end
 
 
-def units_of(texts: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """Distinct units of some texts, and for each occurrence its unit and its text."""
+def units_of(texts: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct units of some texts, for each occurrence its unit and its text, and the units' hashes (rising)."""
     data = np.frombuffer("\n".join(t.lower() for t in texts).encode("utf-8", "surrogatepass"), np.uint8)
     if not len(data):
-        return [], np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return [], np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     starts, ends = word_spans(data, LETTERS)
     text = np.searchsorted(np.cumsum([len(t.lower().encode("utf-8", "surrogatepass")) + 1 for t in texts]), starts, side="right")
     several = -(-(ends - starts) // UNIT)
@@ -188,9 +192,9 @@ def units_of(texts: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     starts = starts + nth * UNIT
     ends = np.minimum(ends, starts + UNIT)
     names = runs(data, starts, ends) ^ mix((nth > 0).astype(np.uint64))
-    _, first, at = np.unique(names, return_index=True, return_inverse=True)
+    names, first, at = np.unique(names, return_index=True, return_inverse=True)
     raw = data.tobytes()
-    return [(b"" if nth[i] else b" ") + raw[starts[i]: ends[i]] for i in first], at, text
+    return [(b"" if nth[i] else b" ") + raw[starts[i]: ends[i]] for i in first], at, text, names
 
 
 def _each(batch: pa.RecordBatch) -> Iterator[tuple[list[str], list[int]]]:
@@ -224,7 +228,7 @@ def unit_counts(docs: DataFrame) -> DataFrame:
         for batch in it:
             lang = batch.column("lang").to_pylist()
             for texts, rows in _each(batch):
-                units, at, text = units_of(texts)
+                units, at, text, _ = units_of(texts)
                 names = sorted({lang[r] for r in rows})
                 place = {x: i for i, x in enumerate(names)}
                 of = np.array([place[lang[r]] for r in rows], np.int64)[text]
@@ -304,6 +308,33 @@ def train(docs: DataFrame, pieces: list[bytes], iterations: int = ITERATIONS) ->
     return model
 
 
+class Known:
+    """Log probabilities of the units that a task has met, up to a fixed number of bytes, then anew."""
+
+    def __init__(self, lattice: Lattice, blocks):
+        self.lattice, self.blocks = lattice, blocks
+        self.hashes, self.found = np.zeros(0, np.uint64), None
+
+    def logs(self, units: list[bytes], hashes: np.ndarray) -> np.ndarray:
+        """A row for each unit; ``hashes`` rise."""
+        at = np.searchsorted(self.hashes, hashes)
+        new = np.ones(len(hashes), bool)
+        inside = at < len(self.hashes)
+        new[inside] = self.hashes[at[inside]] != hashes[inside]
+        own = [units[i] for i in np.flatnonzero(new)]
+        fresh = np.hstack([log_sums(self.lattice, own, b.value.astype(np.float64)) for b in self.blocks]) if own else np.zeros((0, 1))
+        out = np.empty((len(units), self.found.shape[1] if self.found is not None else fresh.shape[1]))
+        out[new] = fresh if own else out[new]
+        if not new.all():
+            out[~new] = self.found[at[~new]]
+        if self.found is None or self.found.nbytes > _CACHE_BYTES:
+            self.hashes, self.found = hashes, out
+        elif own:
+            self.hashes = np.insert(self.hashes, at[new], hashes[new])
+            self.found = np.insert(self.found, at[new], fresh, axis=0)
+        return out
+
+
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, lang_pred, score) for each row of ``docs`` (doc_id, text): the likeliest of the model's languages, all
     equally likely beforehand (ties: the first by name), and its probability. ``und`` with score 0 for a null text, one
@@ -314,18 +345,16 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
 
     def work(it):
-        lattice = Lattice(pieces) if names else None
+        known = Known(Lattice(pieces), blocks) if names else None
         for batch in it:
             total = np.zeros((batch.num_rows, len(names)))
             for texts, rows in _each(batch) if names else ():
-                units, at, text = units_of(texts)
+                units, at, text, hashes = units_of(texts)
                 if not units:
                     continue
-                row = np.array(rows)[text]
-                for b, block in enumerate(blocks):
-                    logs = log_sums(lattice, units, block.value.astype(np.float64))
-                    for k in range(logs.shape[1]):
-                        total[:, b * BLOCK + k] += np.bincount(row, logs[at, k], batch.num_rows)
+                row, logs = np.array(rows)[text], known.logs(units, hashes)
+                for k in range(len(names)):
+                    total[:, k] += np.bincount(row, logs[at, k], batch.num_rows)
             out = []
             for doc, text, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), total):
                 if names and text and any(map(str.isalpha, text)):

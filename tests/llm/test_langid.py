@@ -45,7 +45,7 @@ def test_sums_and_expected_counts_equal_enumeration():
 
 def test_units_cover_whole_texts(monkeypatch):
     long = "x" * 60 + " déjà-vu don't"
-    units, at, text = langid.units_of(["Ab ab, 12 AB", "", long, "日本"])
+    units, at, text, _ = langid.units_of(["Ab ab, 12 AB", "", long, "日本"])
     got = [(int(t), units[i]) for i, t in zip(at, text)]
     assert got == [(0, b" ab")] * 3 + [(2, b" " + b"x" * 24), (2, b"x" * 24), (2, b"x" * 12), (2, " déjà".encode()), (2, b" vu"), (2, b" don't"),
                                        (3, " 日本".encode())]
@@ -58,7 +58,7 @@ def plain_scores(texts, model):
     number = {p: i for i, p in enumerate(PIECES)}
     logs, out = {}, []
     for t in texts:
-        units, at, _ = langid.units_of([t])
+        units, at, *_ = langid.units_of([t])
         total = 0
         for i in at:
             u = units[i]
@@ -100,6 +100,7 @@ def test_prediction_equals_plain_loop(spark):
 
 def test_odd_rows_and_many_languages(spark, monkeypatch):
     monkeypatch.setattr(langid, "BLOCK", 2)  # several blocks of languages
+    monkeypatch.setattr(langid, "_CACHE_BYTES", 100)  # units are forgotten again and again
     words = defaultdict(list, de="der die und nicht ein", en="the of and not one", es="el la y no uno", fr="le la et pas un", ja="これ は 日本語 です")
     rows = [(k * 10 + i, " ".join([w] * 9), lang, "s", 1) for k, (lang, w) in enumerate(words.items()) for i in range(10)]
     odd = [(900, None, "en", None, None), (901, "", "en", "s", 0), (902, "12 34 !?", "en", "s", 3), (None, "the of and", None, "s", 1),
