@@ -1,6 +1,8 @@
 """Registered queries against their SQL, and the two that SQL cannot express against brute force, on the small tables."""
 
 import hashlib
+import re
+from collections import Counter
 
 import duckdb
 import public_tokenizers
@@ -10,7 +12,7 @@ import __spark_entry__ as entry
 from ranktide.llm import bpe, queries, urls
 from ranktide.sources.fixtures import TABLES
 from tests.conftest import SF
-from tests.llm.test_urls import expected
+from tests.llm.test_urls import expected, plain_tokens, plain_weights
 from tools.oracle_check import digest
 
 
@@ -54,11 +56,37 @@ def test_urls_query(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url").collect()
     verdicts = {r.name: r.verdict for r in queries.RULES}
     assert len(got) == len(pages)
+    # the whole query once more, by dictionaries: words, labels, splits, weights, verdicts
+    words = Counter(w for d in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()
+                    for w in re.findall("[a-z]+", (d.text or "").lower()) if 1 < len(w) <= urls.LONGEST)
+    own = urls.Segmenter(dict(words))
+    bad = {}
+    for r in spark.read.parquet(f"{SF}/labels.parquet").collect():
+        if r.quality is not None or r.toxic is not None:
+            bad[r.doc_id] = bad.get(r.doc_id, False) or r.quality == 0 or r.toxic == 1
+    labelled = []
+    for p in pages:
+        host, path, _ = expected(p.url)
+        m = re.search("/([0-9]+)[^/]*/?$", path)
+        if m and int(m[1]) in bad:
+            labelled.append((host, path, bad[int(m[1])]))
+    weights, unseen = plain_weights(labelled, own, urls.LEXICON)
     for p in pages:
         host, path, rule = expected(p.url)
         r = got[p.page_id]
-        assert (r.host, r.path, r.rule) == (host, path, rule)
-        assert r.verdict == (verdicts[rule] if rule else "block" if r.odds > 0 else "allow")
+        odds = sum(weights.get(t, unseen) for t in plain_tokens(own, host, path)) - urls.MARGIN
+        assert (r.host, r.path, r.rule, r.words) == (host, path, rule, " ".join(plain_tokens(own, host, path)))
+        assert r.odds == pytest.approx(odds, abs=2e-6)
+        assert r.verdict == (verdicts[rule] if rule else "block" if odds > 0 else "allow")
+
+
+def test_urls_query_decides(spark):
+    """Among pages without a rule, hosts of bad words go and nearly all others stay."""
+    rows = [r for r in queries.op5_urls(spark, SF.replace("0.001", "0.01")).collect() if r.rule is None]
+    bad = [r for r in rows if re.search("casino|spam|free-bets|cheap-pills|adult", r.host)]
+    others = [r for r in rows if r not in bad]
+    assert bad and all(r.verdict == "block" for r in bad)
+    assert sum(r.verdict == "block" for r in others) <= 0.05 * len(others)
 
 
 def test_bad_hosts_are_told_from_others(spark):

@@ -3,7 +3,6 @@ import math
 import re
 from collections import Counter
 
-import numpy as np
 import pytest
 
 from ranktide.llm import urls
@@ -44,10 +43,19 @@ URLS = ["http://a.com/x", "https://WWW.Example.com/en/1?q=://b.net/es/", "http:/
         "http://" + "thenews" * 4000 + ".org/" + "paper/" * 4000]
 
 
+def counted(spark, words=DICTIONARY):
+    return spark.createDataFrame(list(words.items()), "word string, n long")
+
+
+def model_of(spark, weights=(), unseen=0.0):
+    return urls.Model(spark.createDataFrame(list(weights), "token string, weight double"), unseen)
+
+
 def test_rules_hosts_and_paths(spark):
     rows = [(i, u, "x", "y") for i, u in enumerate(URLS)] + [(3, URLS[3], "x", "y"), (None, URLS[0], "x", "y")]
     pages = spark.createDataFrame(rows, "page_id long, url string, host string, rule string")
-    got = urls.judge(pages, RULES, DICTIONARY, (-1.0, np.zeros(urls.SLOTS))).collect()
+    pages = pages.selectExpr("*", "'z' AS row", "'z' AS token", "'z' AS words", "'z' AS name")
+    got = urls.judge(pages, RULES, counted(spark), model_of(spark)).collect()
     assert len(got) == len(rows)
     by = {r.name: r.verdict for r in RULES}
     for r in got:
@@ -55,24 +63,47 @@ def test_rules_hosts_and_paths(spark):
         assert (r.host, r.path, r.rule, r.verdict) == (host, path, rule, by.get(rule, "allow"))
 
 
+def plain_tokens(own, host, path):
+    return ([f"h:{w}" for part in re.findall("[a-z]+", host.rpartition(".")[0]) for w in own.split(part)]
+            + [f"p:{w}" for part in re.findall("[a-z]+", path.lower()) for w in own.split(part)])
+
+
+def plain_weights(rows, own, words):
+    """rows are (host, path, block)."""
+    counts = [Counter(t for h, p, k in rows if k is b for t in plain_tokens(own, h, p)) for b in (False, True)]
+    size = [c.total() for c in counts]
+    every = counts[0] + counts[1]
+    factor = [{t: (counts[b][t] + urls.PULL) / (n * size[b] / sum(size) + urls.PULL) for t, n in every.items()} for b in (0, 1)]
+    whole = [sum(n / sum(size) * f[t] for t, n in every.items()) for f in factor]
+    unseen = math.log(whole[0] / whole[1]) if every else 0.0
+    weights = {t: math.log(factor[1][t] / factor[0][t]) + unseen for t in every}
+    floors = {k + w: v for w, v in words.items() for k in ("h:", "p:")}
+    return weights | {t: max(weights.get(t, unseen), v) for t, v in floors.items()}, unseen
+
+
 def test_training_counts_every_row(spark):
-    rows = [("www.cheappills.org", "/the/news", True)] * 30 + [("thenews.org", "/paper", False)] * 50 + [("", "", False)]
-    prior, weight = urls.train(spark.createDataFrame(rows, "host string, path string, block boolean"), DICTIONARY, 0.1)
+    rows = [("www.cheappills.org", "/the/news", True)] * 30 + [("thenews.org", "/paper", False)] * 50 + [("", "", False), ("a.b", "/News", None)]
+    model = urls.train(spark.createDataFrame(rows, "host string, path string, block boolean"), counted(spark))
     own = urls.Segmenter(DICTIONARY)
-    counts = {b: Counter(t for h, p, k in rows if k == b for t in own.tokens(h, p)) for b in (True, False)}
-    size = len(counts[True] | counts[False])
-    assert prior == pytest.approx(math.log(31 / 52))
-    for t in counts[True] | counts[False]:
-        p = [(counts[b][t] + 1) / (counts[b].total() + size) for b in (False, True)]
-        block = 0.9 * p[1] + (0.1 / (2 * len(urls.LEXICON)) if t[2:] in urls.LEXICON else 0)
-        assert weight[urls.slot(t)] == pytest.approx(math.log(block / p[0]))
-    model = urls.Model(prior, weight)
-    assert model.odds(own.tokens("m.cheappills.net", "/x")) > 0 > model.odds(own.tokens("thenews.net", "/paper"))
+    want, unseen = plain_weights(rows, own, urls.LEXICON)
+    assert {r.token: r.weight for r in model.weights.collect()} == pytest.approx(want) and model.unseen == pytest.approx(unseen)
+
+
+def test_labels_alone_block_hosts(spark):
+    """Without the fixed words: hosts of words that bad pages have, unseen combinations included, are told from others."""
+    rows = [("www.cheappills.org", "/en/1", True)] * 20 + [("therapistnews.org", "/en/2", False)] * 60 + [("www.pillpaper.org", "/en/3", True)] * 20
+    model = urls.train(spark.createDataFrame(rows, "host string, path string, block boolean"), counted(spark), words={})
+    asked = spark.createDataFrame([(1, "http://pillscheap.net/en/9"), (2, "http://newstherapist.net/en/9"), (3, "http://zzz.net/en/9")], "page_id long, url string")
+    got = {r.page_id: r.verdict for r in urls.judge(asked, [], counted(spark), model).collect()}
+    assert got == {1: "block", 2: "allow", 3: "allow"}
 
 
 def test_dictionary_and_empty_tables(spark):
-    texts = spark.createDataFrame([("The cat, the CAT x",), (None,), ("dog dog",), ("",)], "text string")
-    assert urls.dictionary(texts, 3) == {"cat": 2, "dog": 2, "the": 2} and urls.dictionary(texts.limit(0)) == {}
-    none = spark.createDataFrame([], "host string, path string, block boolean")
-    prior, weight = urls.train(none, {})
-    assert prior == 0 and urls.judge(spark.createDataFrame([], "page_id long, url string"), RULES, {}, (prior, weight)).collect() == []
+    texts = spark.createDataFrame([("The cat, the CAT x",), (None,), ("dog dog cat",), ("",)], "text string")
+    assert {r.word: r.n for r in urls.dictionary(texts).collect()} == {"cat": 3, "dog": 2, "the": 2}
+    counts = urls.dictionary(texts.limit(0))
+    assert counts.count() == 0
+    model = urls.train(spark.createDataFrame([], "host string, path string, block boolean"), counts)
+    assert model.unseen == 0 and urls.judge(spark.createDataFrame([], "page_id long, url string"), RULES, counts, model).collect() == []
+    got = urls.judge(spark.createDataFrame([(1, "http://a.casino.org/")], "page_id long, url string"), RULES, counts, model).first()
+    assert (got.verdict, got.words) == ("block", "h:a h:casino")
