@@ -14,8 +14,9 @@ buckets, of nodes that share one more band (texts of similarity 0.8 share eight
 two in 4 of 10,000 cases). The weighted Jaccard distance is a metric, so what is left to find are links of a node
 that is near its pivot but not linked with it. Two such texts differ in what each differs from the pivot, so a link
 needs a minimum overlap of these differences, and a prefix filter over them (the rarest first) names the few
-pairs that can have it. So no link between candidates is lost, and a bucket of k near copies costs about k
-verifications, not their square."""
+pairs that can have it. Such pairs are asked in levels: a thousandth of the nodes against all others, then a fourth part
+of the rest at a time, each time only where the two are in different components by then. So no link between candidates
+that decides about a component is lost, and a bucket of k near copies costs about k verifications, not their square."""
 
 from __future__ import annotations
 
@@ -37,6 +38,7 @@ THRESHOLD = 0.8
 _BATCH = 1 << 17
 _DRAWS = 1 << 18
 SMALL = 8
+LEVELS = 5
 _SEGMENT_BITS = 8
 _COUNT_BITS = 24
 _EPSILON = 1e-9
@@ -184,25 +186,23 @@ def _texts(rows: DataFrame, needed: DataFrame) -> DataFrame:
     return passed.join(needed.select("node"), "node", "left_semi").groupBy("node").agg(F.min("text").alias("text"))
 
 
-def differences(pivot: np.ndarray, text: np.ndarray, threshold: float) -> tuple[np.ndarray, int, int]:
-    """What ``text`` differs in from ``pivot`` (expanded multisets), and how many of these elements, in any order that
-    all texts keep, a link with a text of at least such a distance must share one of: for this text as the one that is
-    not linked with the pivot, and as the other one.
+def prefix(differs: int, size: int, linked: bool, threshold: float) -> int:
+    """How many of a text's ``differs`` differences from a pivot, in any order that all texts keep, :func:`_open_pairs`
+    has to know; ``size`` counts the text's elements.
 
     Two texts x and y are linked if they differ in at most k * (|x| + |y|) elements, k = (1 - t) / (1 + t). With
-    differences X and Y from the pivot a that is |X| + |Y| - 2 * |X and Y| elements. x is not linked with a, so
-    |X| > k * (|x| + |a|), and hence the overlap is over (|Y| + k * (|a| - |y|)) / 2 for any x; as |Y| is at least the
-    overlap, it is at least (|X| - k * (|x| + |a|)) / (1 + k) for any y."""
-    both = np.setxor1d(pivot, text, assume_unique=True)
+    differences X and Y from the pivot a that is |X| + |Y| - 2 * |X and Y| elements, so the overlap of X and Y must be
+    o = (s(x) + s(y)) / 2 at least, with s(x) = |X| - k * |x|, and the first |X| - o + 1 of X meet the first |Y| - o + 1
+    of Y. For the one of smaller s, o is at least its own s, and k * |y| + 1 elements do. For the other one, o is at
+    least s(x) - k * |y|, as the overlap is at most |Y|, and |y| is at most |x| / t. A text linked with a is the smaller
+    one beside any that is not: s is at most k * |a| for it, and over that for the other."""
     k = (1 - threshold) / (1 + threshold)
-    outer = max(1, int(np.ceil((len(both) - k * (len(text) + len(pivot))) / (1 + k) - _EPSILON)))
-    inner = int(np.floor((len(both) + k * (len(pivot) - len(text))) / 2 + _EPSILON)) + 1
-    return both, max(0, len(both) - outer + 1), max(0, len(both) - inner + 1)
+    return min(differs, int(np.floor(k * size * (1 if linked else 1 + 1 / threshold) + _EPSILON)) + 1)
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, pivot, sim, apart, outer, inner) for the pairs (a, b, pivot boolean): exact overlap of their multisets and,
-    where a is b's pivot and near enough, b's differences and the lengths of their prefixes."""
+    """(a, b, pivot, sim, size, apart) for the pairs (a, b, pivot boolean): exact overlap of their multisets, the number
+    of b's elements and, where a is b's pivot and near enough, what b differs in from it."""
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
     longs = pa.list_(pa.int64())
@@ -211,28 +211,24 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
     def work(it):
         known = (None, None)  # a run of pairs has one pivot
         for batch in it:
-            sims, apart, outer, inner = [], [], [], []
+            sims, apart, size = [], [], []
             for a, pivot, ta, tb in zip(*(batch.column(c).to_pylist() for c in ("a", "pivot", "ta", "tb"))):
                 if known[0] != a:
                     known = a, expanded(hashes_of(ta))
                 own = expanded(hashes_of(tb))
                 sims.append(similarity(known[1], own))
-                elements, x, y = None, 0, 0
+                size.append(len(own))
+                elements = None
                 if pivot and 1 - sims[-1] <= 3 * reach + _EPSILON:
-                    elements, x, y = differences(known[1], own, threshold)
+                    elements = np.setxor1d(known[1], own, assume_unique=True)
                     elements = mix(elements ^ np.frombuffer(a[:8], np.uint64)).view(np.int64)  # told by their pivot, too
-                    if sims[-1] >= threshold - _EPSILON or 1 - sims[-1] > 2 * reach + _EPSILON:
-                        x = 0
                 apart.append(elements)
-                outer.append(x)
-                inner.append(y)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("a"), batch.column("b"), batch.column("pivot"), pa.array(sims, pa.float64()),
-                 pa.array(apart, longs), pa.array(outer, pa.int32()), pa.array(inner, pa.int32())],
-                names=["a", "b", "pivot", "sim", "apart", "outer", "inner"])
+                 pa.array(size, pa.int64()), pa.array(apart, longs)], names=["a", "b", "pivot", "sim", "size", "apart"])
 
     joined = pairs.join(right, "b").join(left, "a").select("a", "b", "pivot", "ta", "tb")
-    return joined.mapInArrow(work, "a binary, b binary, pivot boolean, sim double, apart array<long>, outer int, inner int")
+    return joined.mapInArrow(work, "a binary, b binary, pivot boolean, sim double, size long, apart array<long>")
 
 
 def _fit(n, m, least: float):
@@ -301,9 +297,15 @@ def _components(docs: DataFrame, threshold: float, n_bands: int, n_rows: int) ->
         linked = F.col("sim") >= threshold - _EPSILON
         links = tried.where(linked).select("a", "b")
         found = materialise(components(links), "components")
-        more = materialise(_verified(_open_pairs(tried, found), texts, threshold), "verified").where(linked).select("a", "b")
-        if not more.isEmpty():
-            found = materialise(components(links.unionByName(more)), "components")
+        prefixes = materialise(_prefixes(tried, threshold), "prefixes")
+        for level in range(LEVELS, -1, -1):
+            prefixes = _apart(prefixes, found, level)
+            if prefixes.isEmpty():
+                break
+            more = materialise(_verified(_open_pairs(prefixes, level), texts, threshold), "verified").where(linked).select("a", "b")
+            if not more.isEmpty():
+                links = links.unionByName(more)
+                found = materialise(components(links), "components")
 
     reps = nodes.select("node", "rep", F.col("node").alias("component")) if found is None else (
         nodes.select("node", "rep").join(found, "node", "left")
@@ -350,39 +352,68 @@ def _element_counts(near: DataFrame) -> np.ndarray:
     return out
 
 
-def _open_pairs(tried: DataFrame, found: DataFrame) -> DataFrame:
-    """(a, b, pivot) pairs of different components that share an element of the prefixes of their differences from one
-    pivot, one of them near that pivot and not linked with it. Prefixes begin with the rarest elements; those that no
-    two texts hold never become rows."""
-    near = tried.where("pivot AND size(apart) > 0").select("a", "b", "apart", "outer", "inner")
+def _prefixes(tried: DataFrame, threshold: float) -> DataFrame:
+    """(p, node, asks boolean, level, differs, s, e, at): the prefixes of the nodes' differences from a pivot p, each
+    element with its place. They begin with the rarest elements; elements that no two texts hold never become rows.
+    Nodes that are not linked with p but near it ask. ``level`` counts how often a fourth of the nodes was drawn, and of
+    these a fourth, and so on: 0 for three of four nodes."""
+    near = tried.where("pivot AND size(apart) > 0").select("a", "b", "sim", "size", "apart")
     shared = tried.sparkSession.sparkContext.broadcast(_element_counts(near))
-    longs = pa.list_(pa.int64())
-    schema = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("outer", longs), ("inner", longs)])
+    k, far = (1 - threshold) / (1 + threshold), max(0.0, 1 - 2 * (1 - threshold))
+    schema = pa.schema([("p", pa.binary()), ("node", pa.binary()), ("asks", pa.bool_()), ("differs", pa.int64()), ("s", pa.float64()),
+                        ("e", pa.list_(pa.int64())), ("at", pa.list_(pa.int64()))])
 
     def met(it):
         counts = shared.value
         for batch in it:
             rows = []
-            for a, b, elements, outer, inner in zip(*(c.to_pylist() for c in batch.columns)):
-                elements = np.array(elements, np.int64)
+            for p, node, sim, size, elements in zip(*(c.to_pylist() for c in batch.columns)):
+                elements, linked = np.array(elements, np.int64), sim >= threshold - _EPSILON
                 n = counts[elements & ((1 << _COUNT_BITS) - 1)]
-                order = np.lexsort((elements, n))
-                elements, twice = elements[order], n[order] > 1
-                outer, inner = elements[:outer][twice[:outer]], elements[:inner][twice[:inner]]
-                if len(outer) or len(inner):
-                    rows.append((a, b, outer, inner))
+                order = np.lexsort((elements, n))[: prefix(len(elements), size, linked, threshold)]
+                at = np.flatnonzero(n[order] > 1)
+                if len(at):
+                    rows.append((p, node, not linked and sim >= far - _EPSILON, len(elements), len(elements) - k * size,
+                                 elements[order][at], at + 1))
             if rows:
                 yield pack(rows, schema)
 
-    kept = near.mapInArrow(met, "a binary, b binary, outer array<long>, inner array<long>")
-
-    def named(prefix: str, name: str) -> DataFrame:
-        return (kept.select(F.col("a").alias("p"), F.col("b").alias("node"), F.explode(prefix).alias("e"))
-                .join(found, "node", "left")
-                .select("p", "e", F.col("node").alias(name), F.coalesce("component", "node").alias(f"c{name}")))
-
-    pairs = named("outer", "x").join(named("inner", "y"), ["p", "e"]).where("cx <> cy")
-    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.lit(False).alias("pivot")).distinct()
+    kept = near.mapInArrow(met, "p binary, node binary, asks boolean, differs long, s double, e array<long>, at array<long>")
+    drawn = F.floor(-F.log2((F.pmod(F.xxhash64("node"), F.lit(1 << 40)) + 1) / F.lit(float(1 << 40))) / 2)
+    return kept.select("p", "node", "asks", "differs", "s", F.least(drawn, F.lit(LEVELS)).cast("int").alias("level"),
+                       F.explode(F.arrays_zip("e", "at")).alias("x")).select("*", "x.e", "x.at").drop("x")
+
+
+def _apart(prefixes: DataFrame, found: DataFrame, level: int) -> DataFrame:
+    """The prefixes with their nodes' components, where texts of different components still meet and some text of at
+    most this level has not met all the others."""
+    named = (prefixes.drop("component").join(found, "node", "left")
+             .withColumn("component", F.coalesce("component", "node")))
+    open_ = named.groupBy("p", "e").agg(F.min("component").alias("low"), F.max("component").alias("high"),
+                                        F.max((F.col("asks") & (F.col("level") <= level)).cast("int")).alias("due"))
+    open_ = open_.where("low <> high AND due = 1").select("p", "e")
+    return materialise(named.join(open_, ["p", "e"], "left_semi"), "apart")
+
+
+def _open_pairs(prefixes: DataFrame, level: int) -> DataFrame:
+    """(a, b, pivot) pairs of different components, one of which asks at this level, that can have the overlap of their
+    differences which a link needs: they share elements of the prefixes that this overlap leaves, and these and what
+    comes after the last of them are enough. Levels come in turn, the few nodes of the highest first, and what they link
+    is one component before the next level asks: so k texts that are linked through each other make about k pairs for
+    each of a few texts, not all pairs."""
+    def named(rows: DataFrame, name: str) -> DataFrame:
+        return rows.select("p", "e", *[F.col(c).alias(f"{name}_{c}") for c in ("node", "component", "asks", "level", "differs", "s", "at")])
+
+    x, y = named(prefixes.where(F.col("asks") & (F.col("level") == level)), "x"), named(prefixes, "y")
+    need = F.ceil((F.col("x_s") + F.col("y_s")) / 2 - F.lit(_EPSILON))
+    once = ~F.col("y_asks") | (F.col("y_level") < level) | ((F.col("y_level") == level) & (F.col("x_node") < F.col("y_node")))
+    meet = ((x["p"] == y["p"]) & (x["e"] == y["e"]) & (F.col("x_component") != F.col("y_component")) & once
+            & (F.col("x_at") + need <= F.col("x_differs") + 1) & (F.col("y_at") + need <= F.col("y_differs") + 1))
+    pairs = x.join(y, meet).groupBy(x["p"], "x_node", "y_node").agg(
+        F.count(F.lit(1)).alias("met"), F.min(F.col("x_differs")).alias("nx"), F.min(F.col("y_differs")).alias("ny"),
+        F.max("x_at").alias("ix"), F.max("y_at").alias("iy"), F.min(need).alias("need"))
+    able = pairs.where(F.col("met") + F.least(F.col("nx") - F.col("ix"), F.col("ny") - F.col("iy")) >= F.col("need"))
+    return able.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b"), F.lit(False).alias("pivot")).distinct()
 
 
 def _with_node(docs: DataFrame) -> DataFrame:

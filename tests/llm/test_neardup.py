@@ -128,18 +128,61 @@ def test_prefixes_of_differences_meet_for_every_link():
     texts += [changed(t) for t in texts]
     sets = [neardup.expanded(neardup.hashes_of(" ".join(t))) for t in [base, *texts]]
     pivot, sims, met = sets[0], [neardup.similarity(sets[0], s) for s in sets], 0
-    prefixes = []
-    for s in sets:
-        apart, outer, inner = neardup.differences(pivot, s, 0.8)
-        prefixes.append((apart[:outer], apart[:inner]))
+    k, parts = 1 / 9, []
+    for s, sim in zip(sets, sims):
+        apart = np.setxor1d(pivot, s)
+        parts.append((apart, apart[: neardup.prefix(len(apart), len(s), sim >= 0.8, 0.8)], len(apart) - k * len(s)))
     for i in range(1, len(sets)):
         for j in range(1, len(sets)):
             if i != j and 0.6 <= sims[i] < 0.8 and neardup.similarity(sets[i], sets[j]) >= 0.8:
-                assert np.intersect1d(prefixes[i][0], prefixes[j][1]).size
+                (x, px, sx), (y, py, sy) = parts[i], parts[j]
+                need = int(np.ceil((sx + sy) / 2 - 1e-9))
+                own, other = px[: len(x) - need + 1], py[: len(y) - need + 1]
+                both = np.intersect1d(own, other)
+                assert both.size  # and what the join adds up is enough
+                assert both.size + min(len(x) - 1 - np.flatnonzero(x == both[-1])[0], len(y) - 1 - np.flatnonzero(y == both[-1])[0]) >= need
                 met += 1
     assert met >= 10
 
 
+def test_near_copies_make_few_pairs(spark, monkeypatch):
+    """3,000 copies with one to three changed words: under 20 candidates a member, and the classes of brute force."""
+    rng, rows = random.Random(8), []
+    base = [f"b{i}" for i in range(150)]
+    for i in range(3000):
+        words = list(base)
+        for p in rng.sample(range(150), rng.choice([1, 1, 2, 2, 3])):
+            words[p] = f"x{rng.randrange(10**9)}"
+        rows.append((i, " ".join(words)))
+    asked, verified = [], neardup._verified
+
+    def spy(pairs, texts, threshold):
+        asked.append(pairs.count())
+        return verified(pairs, texts, threshold)
+
+    monkeypatch.setattr(neardup, "_verified", spy)
+    got = dict(map(tuple, neardup.classes(docs(spark, rows)).collect()))
+    assert sum(asked) < 20 * len(rows), asked
+    sets = [neardup.expanded(neardup.hashes_of(t)) for _, t in rows]
+    names = {x: i for i, x in enumerate(np.unique(np.concatenate(sets)).tolist())}
+    grid = np.zeros((len(rows), len(names)), np.float32)
+    for i, x in enumerate(sets):
+        grid[i, [names[e] for e in x.tolist()]] = 1
+    common = grid @ grid.T
+    size = np.array(list(map(len, sets)))
+    up = list(range(len(rows)))
+
+    def top(x):
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    for i, j in np.argwhere(np.triu(common >= 0.8 * (size[:, None] + size[None, :] - common) - 1e-4, 1)).tolist():
+        i, j = top(i), top(j)
+        up[max(i, j)] = min(i, j)
+    assert got == {i: top(i) for i in range(len(rows))}
+
+
 def test_empty_table(spark):
     assert neardup.classes(docs(spark, [])).collect() == []
     assert neardup.classes(docs(spark, [(4, None), (4, None)])).collect() == [(4, 4), (4, 4)]
