@@ -14,8 +14,8 @@ buckets, of nodes that share one more band (texts of similarity 0.8 share eight
 two in 4 of 10,000 cases). The weighted Jaccard distance is a metric, so what is left to find are links of a node
 that is near its pivot but not linked with it. Two such texts differ in what each differs from the pivot, so a link
 needs a minimum overlap of these differences, and a prefix filter over them (the rarest first) names the few
-pairs that can have it. Such pairs are asked in levels: a thousandth of the nodes against all others, then a fourth part
-of the rest at a time, each time only where the two are in different components by then. So no link between candidates
+pairs that can have it. Such pairs are asked in levels: one in 256 nodes against all others, then one in 16, then the
+rest, each time only where the two are in different components by then. So no link between candidates
 that decides about a component is lost, and a bucket of k near copies costs about k verifications, not their square."""
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ THRESHOLD = 0.8
 _BATCH = 1 << 17
 _DRAWS = 1 << 18
 SMALL = 8
-LEVELS = 5
+LEVELS = 2
 _SEGMENT_BITS = 8
 _COUNT_BITS = 24
 _EPSILON = 1e-9
@@ -355,8 +355,8 @@ def _element_counts(near: DataFrame) -> np.ndarray:
 def _prefixes(tried: DataFrame, threshold: float) -> DataFrame:
     """(p, node, asks boolean, level, differs, s, e, at): the prefixes of the nodes' differences from a pivot p, each
     element with its place. They begin with the rarest elements; elements that no two texts hold never become rows.
-    Nodes that are not linked with p but near it ask. ``level`` counts how often a fourth of the nodes was drawn, and of
-    these a fourth, and so on: 0 for three of four nodes."""
+    Nodes that are not linked with p but near it ask. ``level`` is 2 for one in 256 nodes, 1 for one in
+    16 of the others and 0 for the rest, by their hash."""
     near = tried.where("pivot AND size(apart) > 0").select("a", "b", "sim", "size", "apart")
     shared = tried.sparkSession.sparkContext.broadcast(_element_counts(near))
     k, far = (1 - threshold) / (1 + threshold), max(0.0, 1 - 2 * (1 - threshold))
@@ -379,7 +379,7 @@ def _prefixes(tried: DataFrame, threshold: float) -> DataFrame:
                 yield pack(rows, schema)
 
     kept = near.mapInArrow(met, "p binary, node binary, asks boolean, differs long, s double, e array<long>, at array<long>")
-    drawn = F.floor(-F.log2((F.pmod(F.xxhash64("node"), F.lit(1 << 40)) + 1) / F.lit(float(1 << 40))) / 2)
+    drawn = F.floor(-F.log2((F.pmod(F.xxhash64("node"), F.lit(1 << 40)) + 1) / F.lit(float(1 << 40))) / 4)
     return kept.select("p", "node", "asks", "differs", "s", F.least(drawn, F.lit(LEVELS)).cast("int").alias("level"),
                        F.explode(F.arrays_zip("e", "at")).alias("x")).select("*", "x.e", "x.at").drop("x")
 
