@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ranktide.functions.relational import r6
+from ranktide.models import ann
 from ranktide.operators import activity as P
 from ranktide.operators import clean as C
 from ranktide.operators import retrieval as R
@@ -39,6 +40,39 @@ def q_vector_topk(spark, sf_dir):
     return out.select("qid", "id", r6("distance").alias("distance"), "rank")
 
 
+# ------------------------------------------------------------------ O4 approximate search
+@register("vector_ann")
+def q_vector_ann(spark, sf_dir):
+    """Every vector's neighbours by the index of projection trees."""
+    e = fx.table(spark, sf_dir, "embeddings")
+    out = ann.vector_ann(e.select(F.col("vec_id").alias("qid"), "embedding"), e.select(F.col("vec_id").alias("id"), "embedding"),
+                         SEARCH_K, exclude_self=True)
+    return out.select("qid", "id", r6("distance").alias("distance"), "rank")
+
+
+@register(
+    "vector_ann_recall",
+    f"""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 100 = 0),
+            d AS (SELECT q.vec_id AS qid, list_sum(list_transform(range(1, len(q.v) + 1),
+                         lambda k: (q.v[k] - c.embedding[k]::DOUBLE) * (q.v[k] - c.embedding[k]::DOUBLE))) AS distance, c.vec_id AS id
+                  FROM e q JOIN embeddings c ON q.vec_id <> c.vec_id),
+            r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY qid ORDER BY ROUND(distance, 9), id) AS rank FROM d)
+       SELECT qid, COUNT(*) AS hits, TRUE AS recalled, ROUND(MIN(distance), 6) AS nearest
+       FROM r WHERE rank <= {SEARCH_K} GROUP BY qid""",
+)
+def q_vector_ann_recall(spark, sf_dir):
+    """For the vectors whose id 100 divides, against all: number of hits, the nearest one's distance, and whether recall
+    against the exact search is 0.9 or more over all of them."""
+    e = fx.table(spark, sf_dir, "embeddings")
+    queries = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), "embedding")
+    catalog = e.select(F.col("vec_id").alias("id"), "embedding")
+    found = ann.vector_ann(queries, catalog, SEARCH_K, exclude_self=True)
+    exact = R.vector_search(queries, catalog, SEARCH_K, exclude_self=True)
+    whole = ann.recall(found, exact).agg((F.avg("recall") >= 0.9).alias("recalled"))
+    each = found.groupBy("qid").agg(F.count(F.lit(1)).alias("hits"), r6(F.min("distance")).alias("nearest"))
+    return each.join(F.broadcast(whole))  # one row
+
+
 # ------------------------------------------------------------------ O1 / O5 / O6 / F7
 def _catalog(spark, sf_dir):
     chunks = C.rag_chunks(fx.metadata(spark, sf_dir))
