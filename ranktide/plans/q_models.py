@@ -211,7 +211,7 @@ def _factor_recs(model, cf: CodedFrames):
 ALS_PARAMS = dict(rank=64, reg=0.1, iterations=20)
 SVD_PARAMS = dict(k=64, oversample=10, power_iters=2)
 BPR_PARAMS = dict(factors=64, lr=0.01, reg=0.01, epochs=100)
-FM_PARAMS = dict(factor_size=32, step=1e-3, iterations=5, negatives=4)
+FM_PARAMS = dict(dim=32, rate=0.05, epochs=5, batches=2, negatives=4)
 
 
 def _written(model):
@@ -244,10 +244,10 @@ def _bpr(spark, sf_dir):
 
 @_once
 def _fm(spark, sf_dir):
-    from ranktide.models.fm import fit_fm
+    from ranktide.models.pairwise import fit_pairwise
 
     cf = coded_frames(spark, sf_dir)
-    return cf, _written(fit_fm(cf.train, cf.n_users, cf.n_items, **FM_PARAMS))
+    return cf, _written(fit_pairwise(cf.train, cf.n_items, **FM_PARAMS)[0])
 
 
 @register("als_recs")
