@@ -299,10 +299,7 @@ def _components(docs: DataFrame, threshold: float, n_bands: int, n_rows: int) ->
         found = materialise(components(links), "components")
         prefixes = materialise(_prefixes(tried, threshold), "prefixes")
         for level in range(LEVELS, -1, -1):
-            prefixes = _apart(prefixes, found, level)
-            if prefixes.isEmpty():
-                break
-            more = materialise(_verified(_open_pairs(prefixes, level), texts, threshold), "verified").where(linked).select("a", "b")
+            more = materialise(_verified(_open_pairs(prefixes, found, level), texts, threshold), "verified").where(linked).select("a", "b")
             if not more.isEmpty():
                 links = links.unionByName(more)
                 found = materialise(components(links), "components")
@@ -353,8 +350,8 @@ def _element_counts(near: DataFrame) -> np.ndarray:
 
 
 def _prefixes(tried: DataFrame, threshold: float) -> DataFrame:
-    """(p, node, asks boolean, level, differs, s, e, at): the prefixes of the nodes' differences from a pivot p, each
-    element with its place. They begin with the rarest elements; elements that no two texts hold never become rows.
+    """(p, node, asks boolean, level, differs, s, x): the prefixes of the nodes' differences from a pivot p, as arrays of
+    elements e and their places at. They begin with the rarest elements; elements that no two texts hold never become rows.
     Nodes that are not linked with p but near it ask. ``level`` is 2 for one in 256 nodes, 1 for one in
     16 of the others and 0 for the rest, by their hash."""
     near = tried.where("pivot AND size(apart) > 0").select("a", "b", "sim", "size", "apart")
@@ -381,30 +378,22 @@ def _prefixes(tried: DataFrame, threshold: float) -> DataFrame:
     kept = near.mapInArrow(met, "p binary, node binary, asks boolean, differs long, s double, e array<long>, at array<long>")
     drawn = F.floor(-F.log2((F.pmod(F.xxhash64("node"), F.lit(1 << 40)) + 1) / F.lit(float(1 << 40))) / 4)
     return kept.select("p", "node", "asks", "differs", "s", F.least(drawn, F.lit(LEVELS)).cast("int").alias("level"),
-                       F.explode(F.arrays_zip("e", "at")).alias("x")).select("*", "x.e", "x.at").drop("x")
+                       F.arrays_zip("e", "at").alias("x"))
 
 
-def _apart(prefixes: DataFrame, found: DataFrame, level: int) -> DataFrame:
-    """The prefixes with their nodes' components, where texts of different components still meet and some text of at
-    most this level has not met all the others."""
-    named = (prefixes.drop("component").join(found, "node", "left")
-             .withColumn("component", F.coalesce("component", "node")))
-    open_ = named.groupBy("p", "e").agg(F.min("component").alias("low"), F.max("component").alias("high"),
-                                        F.max((F.col("asks") & (F.col("level") <= level)).cast("int")).alias("due"))
-    open_ = open_.where("low <> high AND due = 1").select("p", "e")
-    return materialise(named.join(open_, ["p", "e"], "left_semi"), "apart")
-
-
-def _open_pairs(prefixes: DataFrame, level: int) -> DataFrame:
+def _open_pairs(prefixes: DataFrame, found: DataFrame, level: int) -> DataFrame:
     """(a, b, pivot) pairs of different components, one of which asks at this level, that can have the overlap of their
     differences which a link needs: they share elements of the prefixes that this overlap leaves, and these and what
     comes after the last of them are enough. Levels come in turn, the few nodes of the highest first, and what they link
     is one component before the next level asks: so k texts that are linked through each other make about k pairs for
     each of a few texts, not all pairs."""
+    part = prefixes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
     def named(rows: DataFrame, name: str) -> DataFrame:
-        return rows.select("p", "e", *[F.col(c).alias(f"{name}_{c}") for c in ("node", "component", "asks", "level", "differs", "s", "at")])
+        each = rows.withColumn("x", F.explode("x")).select("*", "x.e", "x.at")
+        return each.select("p", "e", *[F.col(c).alias(f"{name}_{c}") for c in ("node", "component", "asks", "level", "differs", "s", "at")])
 
-    x, y = named(prefixes.where(F.col("asks") & (F.col("level") == level)), "x"), named(prefixes, "y")
+    x, y = named(part.where(F.col("asks") & (F.col("level") == level)), "x"), named(part, "y")
     need = F.ceil((F.col("x_s") + F.col("y_s")) / 2 - F.lit(_EPSILON))
     once = ~F.col("y_asks") | (F.col("y_level") < level) | ((F.col("y_level") == level) & (F.col("x_node") < F.col("y_node")))
     meet = ((x["p"] == y["p"]) & (x["e"] == y["e"]) & (F.col("x_component") != F.col("y_component")) & once
