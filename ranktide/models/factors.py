@@ -1,5 +1,6 @@
 """Factor models on the long interaction table ``(u, i, value)`` with dense
-integer codes: ALS (M3/M4), randomised truncated SVD (M6/M7) and BPR (M5).
+integer codes: what they share, and ALS (M3/M4). Truncated SVD (M6/M7) is in
+:mod:`ranktide.models.blocks`, BPR (M5) in :mod:`ranktide.models.strata`.
 
 All of them produce ``users (u, features)`` and ``items (i, features)``
 tables and are scored by :func:`ranktide.models.topk.blocked_topk` with seen
@@ -8,25 +9,21 @@ items masked.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
-import numpy as np
-import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ranktide.models.topk import blocked_topk, seen_lists
-from ranktide.session import checkpoint_dir, cut_lineage
-
-MAX_DENSE_BYTES = 512 * 1024 * 1024  # bound for item-side matrices held on the driver
+from ranktide.session import checkpoint_dir
 
 
 @dataclass
 class FactorModel:
     users: DataFrame   # (u, features array<float|double>)
     items: DataFrame   # (i, features)
+    losses: list[float] = field(default_factory=list)   # mean loss of each round, where a model has one
+    values: list[float] = field(default_factory=list)   # singular values, falling, where a model has them
 
     def recommend(self, history: DataFrame, k: int = 10, only_users: DataFrame | None = None) -> DataFrame:
         """M0: top-k unseen items per user by dot product."""
@@ -62,207 +59,3 @@ def fit_als(train: DataFrame, rank: int = 64, reg: float = 0.1, iterations: int
               checkpointInterval=5, coldStartStrategy="drop")
     m = als.fit(train.select(F.col("u").cast("int"), F.col("i").cast("int"), F.col("value").cast("float")))
     return FactorModel(m.userFactors.withColumnRenamed("id", "u"), m.itemFactors.withColumnRenamed("id", "i"))
-
-
-# ------------------------------------------------------------------ randomised SVD
-def _n_items(a: DataFrame) -> int:
-    return int(a.agg(F.max("i")).first()[0]) + 1
-
-
-def vectors_frame(spark, id_col: str, matrix: np.ndarray) -> DataFrame:
-    """(id, features): the rows of a matrix, numbered from 0."""
-    return spark.createDataFrame(pa.table({
-        id_col: pa.array(np.arange(len(matrix)), pa.int32()),
-        "features": pa.array(list(matrix), pa.list_(pa.float64()))}))
-
-
-def _by_user(a: DataFrame) -> DataFrame:
-    return a.repartition("u").sortWithinPartitions("u")
-
-
-def _times_dense(a_by_user: DataFrame, provider, width: int) -> DataFrame:
-    """(u, vec) = rows of A @ M for a dense n_items x width matrix M built in
-    each task by ``provider()`` (a seeded draw or a broadcast value). A user's
-    rows are in one partition (bounded by the catalogue size after de-dup)."""
-    schema = T.StructType([T.StructField("u", T.IntegerType()), T.StructField("vec", T.ArrayType(T.DoubleType()))])
-
-    def run(batches):
-        m = provider()
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            users, inv = np.unique(pdf["u"].to_numpy(), return_inverse=True)
-            acc = np.zeros((len(users), width))
-            np.add.at(acc, inv, pdf["value"].to_numpy()[:, None] * m[pdf["i"].to_numpy()])
-            yield pd.DataFrame({"u": users.astype(np.int32), "vec": list(acc)})
-
-    out = a_by_user.select("u", "i", "value").mapInPandas(run, schema)
-    # a user split across two Arrow batches of one partition yields two rows
-    return out.groupBy("u").agg(F.collect_list("vec").alias("_vs")).select(
-        "u", F.aggregate(F.slice("_vs", 2, 1 << 30), F.col("_vs")[0],
-                         lambda acc, v: F.zip_with(acc, v, lambda x, y: x + y)).alias("vec"))
-
-
-def _gram(y: DataFrame, width: int) -> np.ndarray:
-    """Y^T Y: one width x width partial per partition, summed on the driver."""
-    schema = T.StructType([T.StructField("g", T.ArrayType(T.DoubleType()))])
-
-    def run(batches):
-        g = np.zeros((width, width))
-        for pdf in batches:
-            if len(pdf):
-                m = np.stack(pdf["vec"].to_numpy())
-                g += m.T @ m
-        yield pd.DataFrame({"g": [g.ravel()]})
-
-    parts = y.select("vec").mapInPandas(run, schema).collect()
-    return sum(np.asarray(r["g"]).reshape(width, width) for r in parts)
-
-
-def _right_multiply(y: DataFrame, r_inv: np.ndarray) -> DataFrame:
-    bc = y.sparkSession.sparkContext.broadcast(r_inv)
-    schema = T.StructType([T.StructField("u", T.IntegerType()), T.StructField("vec", T.ArrayType(T.DoubleType()))])
-
-    def run(batches):
-        m = bc.value
-        for pdf in batches:
-            if len(pdf):
-                q = np.stack(pdf["vec"].to_numpy()) @ m
-                yield pd.DataFrame({"u": pdf["u"].to_numpy(), "vec": list(q)})
-
-    return y.mapInPandas(run, schema)
-
-
-def _transpose_times(a: DataFrame, q: DataFrame, n_items: int, width: int) -> np.ndarray:
-    """A^T Q (n_items x width): per-partition dense partials emitted as long
-    rows (i, j, v), summed by a map-side-combined aggregate; the result is
-    bounded by the catalogue size and collected."""
-    schema = T.StructType([T.StructField("i", T.IntegerType()), T.StructField("j", T.IntegerType()),
-                           T.StructField("v", T.DoubleType())])
-
-    def run(batches):
-        acc = np.zeros((n_items, width))
-        for pdf in batches:
-            if len(pdf):
-                np.add.at(acc, pdf["i"].to_numpy(), pdf["value"].to_numpy()[:, None] * np.stack(pdf["vec"].to_numpy()))
-        rows = np.nonzero(np.any(acc != 0, axis=1))[0]
-        ii = np.repeat(rows, width)
-        jj = np.tile(np.arange(width), len(rows))
-        yield pd.DataFrame({"i": ii.astype(np.int32), "j": jj.astype(np.int32), "v": acc[rows].ravel()})
-
-    long = a.select("u", "i", "value").join(q, "u").mapInPandas(run, schema).groupBy("i", "j").agg(F.sum("v").alias("v"))
-    out = np.zeros((n_items, width))
-    tbl = long.toArrow()
-    out[tbl.column("i").to_numpy(), tbl.column("j").to_numpy()] = tbl.column("v").to_numpy()
-    return out
-
-
-def _orthonormal(y: DataFrame, width: int) -> DataFrame:
-    g = _gram(y, width)
-    # Cholesky-QR with a tiny ridge for rank-deficient blocks
-    r = np.linalg.cholesky(g + 1e-10 * np.trace(g) / width * np.eye(width)).T
-    return cut_lineage(_right_multiply(y, np.linalg.inv(r)))
-
-
-def fit_svd(train: DataFrame, k: int = 64, oversample: int = 10, power_iters: int = 2, seed: int = 42) -> FactorModel:
-    """M6: uncentred truncated SVD by randomised range finding (Halko et al.
-    2011). Products with A are partitioned Spark jobs; only width x width and
-    n_items x width matrices (catalogue-bounded, size-checked) reach the driver.
-    Item factors are the top-k right singular vectors; user factors are
-    A V = U Sigma, so scores equal the rank-k reconstruction."""
-    a = cut_lineage(_by_user(train.select(F.col("u").cast("int"), F.col("i").cast("int"), F.col("value").cast("double"))))
-    n_items = _n_items(a)
-    width = min(k + oversample, n_items)
-    if n_items * width * 8 > MAX_DENSE_BYTES:
-        raise ValueError("catalogue too large for the dense item-side sketch; raise MAX_DENSE_BYTES or reduce k")
-    sc = a.sparkSession.sparkContext
-
-    def omega():
-        return np.random.default_rng(seed).standard_normal((n_items, width))
-
-    q = _orthonormal(_times_dense(a, omega, width), width)
-    for _ in range(power_iters):
-        z, _ = np.linalg.qr(_transpose_times(a, q, n_items, width))
-        bz = sc.broadcast(z)
-        q = _orthonormal(_times_dense(a, lambda bz=bz: bz.value, width), width)
-    # Rayleigh-Ritz on the item side: an exact QR of A^T Q (catalogue-bounded,
-    # on the driver), then the small eigenproblem of (A V0)^T (A V0).
-    v0, _ = np.linalg.qr(_transpose_times(a, q, n_items, width))
-    bv0 = sc.broadcast(v0)
-    g = _gram(cut_lineage(_times_dense(a, lambda: bv0.value, width)), width)
-    lam, w = np.linalg.eigh(g)
-    order = np.argsort(lam)[::-1]
-    kk = min(k, width)
-    v = v0 @ w[:, order[:kk]]                              # n_items x k right singular vectors
-    bv = sc.broadcast(v)
-    users = _times_dense(a, lambda: bv.value, kk).withColumnRenamed("vec", "features")
-    return FactorModel(cut_lineage(users), vectors_frame(a.sparkSession, "i", v))
-
-
-# ------------------------------------------------------------------ BPR
-def fit_bpr(train: DataFrame, factors: int = 64, lr: float = 0.01, reg: float = 0.01, epochs: int = 100,
-            seed: int = 42, shards: int = 16, mix_every: int = 10, batch: int = 256) -> FactorModel:
-    """M5: BPR-MF by iterative parameter mixing over a fixed number of user shards.
-
-    A user's items and factors are one row, hashed to one of ``shards`` partitions (a parameter, so the model does not
-    depend on the cluster). Each job runs ``mix_every`` epochs per shard against a broadcast copy of the item factors
-    (bounded by the catalogue): per epoch every positive gets a fresh unseen item and the triples are applied in
-    shuffled mini-batches. User factors stay with their rows; an item's updates are averaged over the shards that
-    touched it."""
-    from ranktide.models.fm import seen_items, unseen
-
-    spark = train.sparkSession
-    n_items = _n_items(train)
-    if n_items * factors * 8 > MAX_DENSE_BYTES:
-        raise ValueError("catalogue too large for broadcast item factors")
-    start = F.transform(F.sequence(F.lit(1), F.lit(factors)),
-                        lambda j: (F.pmod(F.xxhash64("u", j, F.lit(seed)), F.lit(2000)) - 1000) / F.lit(1e5))
-    users = cut_lineage(seen_items(train.select(F.col("u").cast("int"), F.col("i").cast("int")))
-                        .repartition(shards, "u").sortWithinPartitions("u").withColumn("features", start))
-    item_f = np.random.default_rng(seed).normal(0, 0.01, (n_items, factors))
-    schema = "kind string, id int, seen array<int>, features array<double>"
-
-    for first in range(0, epochs, mix_every):
-        shared = spark.sparkContext.broadcast(item_f)
-        rounds = range(first, min(epochs, first + mix_every))
-
-        def run(batches, shared=shared, rounds=rounds):
-            pdf = pd.concat(list(batches), ignore_index=True)
-            if not len(pdf):
-                return
-            base = shared.value
-            q, p = base.copy(), np.stack(pdf["features"].to_numpy()).astype(np.float64)
-            seen = [np.asarray(s, dtype=np.int64) for s in pdf["seen"]]
-            ids = pdf["u"].tolist()
-            for epoch in rounds:
-                drawn = [unseen(s, n_items, 1, (seed * 1009 + epoch) * 0x9E3779B1 + u) for u, s in zip(ids, seen)]
-                sizes = [len(d) for d in drawn]
-                row = np.repeat(np.arange(len(seen)), sizes)
-                pos = np.concatenate([s[:n] for s, n in zip(seen, sizes)])
-                neg = np.concatenate(drawn)
-                order = np.random.default_rng((seed, epoch, ids[0])).permutation(len(row))
-                for at in range(0, len(order), batch):
-                    own = order[at: at + batch]
-                    u, i, j = row[own], pos[own], neg[own]
-                    pu, d = p[u], q[i] - q[j]
-                    z = (1.0 / (1.0 + np.exp(np.clip((pu * d).sum(axis=1), -50, 50))))[:, None]
-                    np.add.at(p, u, lr * (z * d - reg * pu))
-                    gi, gj = lr * (z * pu - reg * q[i]), lr * (-z * pu - reg * q[j])
-                    np.add.at(q, i, gi)
-                    np.add.at(q, j, gj)
-            yield pd.DataFrame({"kind": "u", "id": pdf["u"].astype("int32"), "seen": pdf["seen"], "features": list(p)})
-            delta = q - base
-            moved = np.flatnonzero(np.any(delta != 0, axis=1))
-            yield pd.DataFrame({"kind": "i", "id": moved.astype(np.int32), "seen": None, "features": list(delta[moved])})
-
-        out = cut_lineage(users.select("u", "seen", "features").mapInPandas(run, schema))
-        users = out.where("kind = 'u'").select(F.col("id").alias("u"), "seen", "features")
-        item_f = item_f.copy()
-        total, touched = np.zeros_like(item_f), np.zeros(n_items)
-        # at most shards x catalogue rows, one shard's at a time
-        for r in out.where("kind = 'i'").select("id", "features").toLocalIterator():
-            total[r.id] += r.features
-            touched[r.id] += 1
-        item_f += total / np.maximum(touched, 1)[:, None]
-        shared.unpersist()
-    return FactorModel(users.select("u", "features"), vectors_frame(spark, "i", item_f))

@@ -215,7 +215,7 @@ FM_PARAMS = dict(dim=32, rate=0.05, epochs=5, batches=2, negatives=4)
 
 
 def _written(model):
-    return type(model)(cut_lineage(model.users), cut_lineage(model.items))
+    return type(model)(cut_lineage(model.users), cut_lineage(model.items), model.losses, model.values)
 
 
 @_once
@@ -228,7 +228,7 @@ def _als(spark, sf_dir):
 
 @_once
 def _svd(spark, sf_dir):
-    from ranktide.models.factors import fit_svd
+    from ranktide.models.blocks import fit_svd
 
     cf = coded_frames(spark, sf_dir)
     return cf, _written(fit_svd(cf.train, **SVD_PARAMS))
@@ -236,7 +236,7 @@ def _svd(spark, sf_dir):
 
 @_once
 def _bpr(spark, sf_dir):
-    from ranktide.models.factors import fit_bpr
+    from ranktide.models.strata import fit_bpr
 
     cf = coded_frames(spark, sf_dir)
     return cf, _written(fit_bpr(cf.train, **BPR_PARAMS))
@@ -389,7 +389,9 @@ def q_fm_metrics(spark, sf_dir):
 @register("model_comparison")
 def q_model_comparison(spark, sf_dir):
     """KNN, ALS, SVD and BPR trained and evaluated on one split; timings vary."""
-    from ranktide.models.factors import fit_als, fit_bpr, fit_svd
+    from ranktide.models.blocks import fit_svd
+    from ranktide.models.factors import fit_als
+    from ranktide.models.strata import fit_bpr
 
     mf = model_frames(spark, sf_dir)
     cf = coded_frames(spark, sf_dir)

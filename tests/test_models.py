@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ranktide.models import hybrid as H
 from ranktide.models import knn as K
-from ranktide.models.factors import fit_als, fit_bpr, fit_svd
+from ranktide.models.blocks import fit_svd
+from ranktide.models.factors import fit_als
+from ranktide.models.strata import fit_bpr
 from ranktide.models.topk import blocked_topk
 from ranktide.operators import evaluate as N
 
