@@ -9,6 +9,7 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ranktide.operators import features as G
 from ranktide.plans.registry import register
@@ -51,6 +52,22 @@ def q_ingest_tolerant(spark, sf_dir):
     return IO.read_jsonl(spark, path, schema, strict=False)
 
 
+GZ_LINES = 1500   # sample_size: the limit is the feature
+
+
+@register("ingest_gz", f"""SELECT parent_asin, title, CAST(NULL AS VARCHAR) AS subtitle, price FROM metadata
+                           ORDER BY parent_asin LIMIT {GZ_LINES}""")
+def q_ingest_gz(spark, sf_dir):
+    """A1/H8: the first lines of several gzip files in order; a null price is a key that the record lacks."""
+    m = fx.metadata(spark, sf_dir, with_arrays=False).select("parent_asin", "title", F.col("price").cast("string").alias("price"))
+    path = IO.scratch_path(spark, "meta-gz")
+    (m.repartitionByRange(6, "parent_asin").sortWithinPartitions("parent_asin")
+     .select(F.to_json(F.struct("*")).alias("value")).write.option("compression", "gzip").text(path))
+    columns = ["parent_asin", "title", "subtitle", "price"]
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
+    return IO.coerce_numeric(IO.read_jsonl_gz(spark, path, schema, columns, GZ_LINES), ["price"])
+
+
 @register("ingest_price_coerce", "SELECT parent_asin, title, price FROM metadata")
 def q_ingest_price_coerce(spark, sf_dir):
     m = fx.metadata(spark, sf_dir, with_arrays=False).select(

@@ -38,7 +38,7 @@ def _dedup_narrow(spark, sf_dir):
     return I.dedup_user_item(r, order=["timestamp", *fx.REVIEW_TIEBREAK])
 
 
-def model_frames(spark, sf_dir) -> ModelFrames:
+def model_frames(spark, sf_dir, val_year: int = VAL_YEAR) -> ModelFrames:
     r = _dedup_narrow(spark, sf_dir)
     r = C.date_floor(r, "timestamp", FLOOR).select(
         F.col("user_id").alias("u"), F.col("parent_asin").alias("i"), F.year("timestamp").alias("_y")
@@ -46,8 +46,8 @@ def model_frames(spark, sf_dir) -> ModelFrames:
     # the interaction table feeds degrees, chunks, norms, seen lists and truth:
     # write it once to the checkpoint folder instead of recomputing it per use
     r = cut_lineage(r)
-    train = r.where(F.col("_y") < VAL_YEAR).groupBy("u", "i").agg(F.count(F.lit(1)).cast("double").alias("value"))
-    truth = r.where(F.col("_y") == VAL_YEAR).select("u", "i").distinct()
+    train = r.where(F.col("_y") < val_year).groupBy("u", "i").agg(F.count(F.lit(1)).cast("double").alias("value"))
+    truth = r.where(F.col("_y") == val_year).select("u", "i").distinct()
     return ModelFrames(cut_lineage(train), truth, truth.select("u").distinct())
 
 
