@@ -381,6 +381,30 @@ def _prefixes(tried: DataFrame, threshold: float) -> DataFrame:
                        F.arrays_zip("e", "at").alias("x"))
 
 
+def _asked_elements(part: DataFrame, level: int) -> DataFrame:
+    """A row for each element of the prefixes in ``part`` that a node asking at this level may hold beside the same pivot:
+    a table of fixed size tells most others, which never become rows. Nodes that asked at a lower level wait for it."""
+    keys = F.transform("x", lambda x: F.xxhash64("p", x["e"])).alias("key")
+    part = part.where(~F.col("asks") | (F.col("level") <= level)).select(
+        "p", "node", "component", "asks", "level", "differs", "s", keys, F.col("x.e").alias("e"), F.col("x.at").alias("at"))
+    asking = part.where(F.col("asks") & (F.col("level") == level)).select(F.col("key").alias("apart"))
+    shared = part.sparkSession.sparkContext.broadcast(_element_counts(asking) > 0)
+    each = ("p", "node", "component", "asks", "level", "differs", "s")
+
+    def met(it):
+        held = shared.value
+        for batch in it:
+            lists = batch.column("key")
+            hit = held[lists.flatten().to_numpy() & ((1 << _COUNT_BITS) - 1)]
+            row = pa.array(np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy())[hit])
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c).take(row) for c in each), *(batch.column(c).flatten().filter(pa.array(hit)) for c in ("e", "at"))],
+                names=[*each, "e", "at"])
+
+    return materialise(part.mapInArrow(met, "p binary, node binary, component binary, asks boolean, level int, differs long, "
+                                            "s double, e long, at long"), "asked")
+
+
 def _open_pairs(prefixes: DataFrame, found: DataFrame, level: int) -> DataFrame:
     """(a, b, pivot) pairs of different components, one of which asks at this level, that can have the overlap of their
     differences which a link needs: they share elements of the prefixes that this overlap leaves, and these and what
@@ -388,12 +412,12 @@ def _open_pairs(prefixes: DataFrame, found: DataFrame, level: int) -> DataFrame:
     is one component before the next level asks: so k texts that are linked through each other make about k pairs for
     each of a few texts, not all pairs."""
     part = prefixes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    each = _asked_elements(part, level)
 
     def named(rows: DataFrame, name: str) -> DataFrame:
-        each = rows.withColumn("x", F.explode("x")).select("*", "x.e", "x.at")
-        return each.select("p", "e", *[F.col(c).alias(f"{name}_{c}") for c in ("node", "component", "asks", "level", "differs", "s", "at")])
+        return rows.select("p", "e", *[F.col(c).alias(f"{name}_{c}") for c in ("node", "component", "asks", "level", "differs", "s", "at")])
 
-    x, y = named(part.where(F.col("asks") & (F.col("level") == level)), "x"), named(part, "y")
+    x, y = named(each.where(F.col("asks") & (F.col("level") == level)), "x"), named(each, "y")
     need = F.ceil((F.col("x_s") + F.col("y_s")) / 2 - F.lit(_EPSILON))
     once = ~F.col("y_asks") | (F.col("y_level") < level) | ((F.col("y_level") == level) & (F.col("x_node") < F.col("y_node")))
     meet = ((x["p"] == y["p"]) & (x["e"] == y["e"]) & (F.col("x_component") != F.col("y_component")) & once
