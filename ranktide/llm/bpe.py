@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ranktide.llm.common import batches, bounded_batches, each_row
+from ranktide.llm.common import batches, bounded_batches, each_row, pack
 
 CHUNK_CHARS = 16_384
 BREAK = regex.compile(r"(?<=\S)\s")
@@ -108,6 +108,19 @@ _ARROW = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.st
           ("decoded_sha256", pa.string())]
 
 
+def _by_ids(rows, schema: pa.Schema, most: int = 1 << 18):
+    """Arrow batches of at most 500 results, closed once their texts have ``most`` ids."""
+    part, held = [], 0
+    for row in rows:
+        part.append(row)
+        held += row[1]
+        if len(part) >= 500 or held >= most:
+            yield pack(part, schema)
+            part, held = [], 0
+    if part:
+        yield pack(part, schema)
+
+
 def encode(docs: DataFrame, ranks: bytes, pattern: str = public_tokenizers.PATTERN, id_col: str = "doc_id",
            text_col: str = "text", with_ids: bool = False, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256[, ids]) for each row of ``docs``.
@@ -127,9 +140,9 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str = public_tokenizers.PATTE
             ids = codec.encode(text)
             out = (doc, len(ids), hashlib.sha256(codec.joined(ids)).hexdigest(),
                    hashlib.sha256(codec.decode(ids)).hexdigest())
-            return out + (ids,) if with_ids else out
+            return out + (np.array(ids, np.int32),) if with_ids else out
 
-        yield from batches((one(*r) for r in each_row(it)), arrow, 500)
+        yield from _by_ids((one(*r) for r in each_row(it)), arrow)
 
     chunk_arrow = pa.schema([("doc_id", pa.int64()), ("row", pa.string()), ("chunk", pa.int32()),
                              ("start", pa.int64()), ("text", pa.string())])
@@ -182,11 +195,11 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str = public_tokenizers.PATTE
                         decoded.update(codec.decode(ids))
                         n += len(ids)
                         if with_ids:
-                            everything += ids
+                            everything.append(np.array(ids, np.int32))
                 out = (doc, n, listed.hexdigest(), decoded.hexdigest())
-                yield out + (everything,) if with_ids else out
+                yield out + (np.concatenate([np.zeros(0, np.int32), *everything]),) if with_ids else out
 
-        yield from batches(texts(), arrow, 64)
+        yield from _by_ids(texts(), arrow)
 
     short = rows.where(F.length("text") <= chunk_chars).mapInArrow(whole, spec)
     long = (
