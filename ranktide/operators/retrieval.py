@@ -3,10 +3,12 @@ prompt rows (O1-O6, F7). Embeddings are an input column; no model inference."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ranktide.models.topk import blocked_topk
+from ranktide.session import cut_lineage
 
 # Fixed values that must equal the reference's behaviour.
 CONTEXT_SEPARATOR = "\n\n--- PRODUCT ---\n"
@@ -26,6 +28,38 @@ def upsert_latest(current: DataFrame, updates: DataFrame, id_col: str = "id") ->
     return best.select(id_col, "_b.version", *[F.col(f"_b.{c}").alias(c) for c in payload])
 
 
+def upsert_buckets(root: str, updates: DataFrame, id_col: str = "id", buckets: int = 64) -> list[int]:
+    """O2 on a stored catalogue: last write wins per id, only buckets that get updates are rewritten.
+
+    The catalogue under ``root`` is Parquet by hash bucket of the id; ``buckets`` must stay what it was when the
+    catalogue began (about its bytes over 128 MB). Returns the buckets touched, at most ``buckets`` numbers. The merged
+    rows are a table of their own before anything is replaced, so a lost executor costs no rows; a bucket's files are
+    replaced when the job commits, and an upsert that failed then is repeated with the same result."""
+    if "bucket" in updates.columns:
+        raise ValueError("the column name bucket is taken")
+    spark = updates.sparkSession
+    dealt = updates.withColumn("bucket", F.pmod(F.xxhash64(id_col), F.lit(buckets)).cast("int"))
+    touched = sorted(r.bucket for r in dealt.select("bucket").distinct().collect())
+    if not touched:
+        return touched
+    try:
+        current = spark.read.schema(dealt.schema).parquet(root).where(F.col("bucket").isin(touched))
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        current = dealt.limit(0)
+    merged = cut_lineage(upsert_latest(current.drop("bucket"), dealt.drop("bucket"), id_col).withColumn(
+        "bucket", F.pmod(F.xxhash64(id_col), F.lit(buckets)).cast("int")))
+    merged.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+        "bucket").parquet(root)
+    return touched
+
+
+def read_buckets(spark: SparkSession, root: str) -> DataFrame:
+    """The catalogue that :func:`upsert_buckets` keeps."""
+    return spark.read.parquet(root).drop("bucket")
+
+
 def vector_search(queries: DataFrame, catalog: DataFrame, k: int = 5, qid: str = "qid", cid: str = "id",
                   vec: str = "embedding", exclude_self: bool = False) -> DataFrame:
     """O4 exact: k nearest catalogue vectors by squared L2 distance (ties by id)."""

@@ -9,6 +9,7 @@ from ranktide.operators import eda as E
 from ranktide.plans import sqlfrag as S
 from ranktide.plans.registry import register
 from ranktide.sources import fixtures as fx
+from ranktide.sources import io as IO
 
 META_COLS = [
     ("parent_asin", "s"), ("title", "s"), ("store", "s"), ("price", "d"), ("description", "s"),
@@ -222,6 +223,37 @@ def q_nunique(spark, sf_dir):
     return E.nunique(fx.reviews(spark, sf_dir), ["user_id", "parent_asin", "asin", "rating"])
 
 
+SKETCHED = ["user_id", "parent_asin", "asin", "rating"]
+
+
+@register(
+    "nunique_sketch",
+    """WITH y AS (SELECT DISTINCT year(timestamp) AS y FROM reviews),
+            r AS (SELECT make_date(y, 1, 1) AS lo, make_date(y, 12, 31) AS hi FROM y
+                  UNION SELECT make_date(MIN(y), 1, 1), make_date(MAX(y), 12, 31) FROM y),
+            d AS (SELECT lo, hi, v.* FROM r JOIN reviews v ON CAST(v.timestamp AS DATE) BETWEEN lo AND hi) """
+    + " UNION ALL ".join(
+        f"SELECT lo, hi, '{c}' AS column, COUNT(DISTINCT {c}) AS n_unique, TRUE AS within_error FROM d GROUP BY lo, hi"
+        for c in SKETCHED
+    ),
+)
+def q_nunique_sketch(spark, sf_dir):
+    """Sketches by day are stored, later days appended; each year and the whole time are merged from them and held
+    against the exact numbers."""
+    reviews = fx.reviews(spark, sf_dir).select(*SKETCHED, "timestamp")
+    path = IO.scratch_path(spark, "sketches")
+    for part in ("year(timestamp) < 2000", "year(timestamp) >= 2000"):
+        E.distinct_sketches(reviews.where(part), SKETCHED, "timestamp").write.mode("append").parquet(path)
+    years = reviews.select(F.year("timestamp").alias("y")).distinct()
+    ends = years.select(F.col("y").alias("a"), F.col("y").alias("b")).unionByName(years.agg(F.min("y").alias("a"), F.max("y").alias("b")))
+    ranges = ends.select(F.make_date("a", F.lit(1), F.lit(1)).alias("lo"), F.make_date("b", F.lit(12), F.lit(31)).alias("hi")).distinct()
+    near = E.distinct_in_ranges(spark.read.parquet(path), ranges)
+    exact = E.nunique_in_ranges(reviews, SKETCHED, "timestamp", ranges)
+    within = F.abs(F.col("n_estimated") - F.col("n_unique")) <= F.ceil(F.col("error") * F.col("n_unique"))
+    return exact.join(near, ["lo", "hi", "column"], "left").select(
+        "lo", "hi", "column", "n_unique", F.coalesce(within, F.lit(False)).alias("within_error"))
+
+
 @register(
     "category_depth",
     """SELECT ROUND(AVG(COALESCE(len(categories), 0)), 6) AS mean_depth, MAX(COALESCE(len(categories), 0)) AS max_depth,

@@ -159,6 +159,32 @@ def q_run_log(spark, sf_dir):
     return spark.read.parquet(path)
 
 
+_LOGS_SQL = (KNN_SQL + f"m5 AS (WITH {metrics_sql(k=5).lstrip()}), m10 AS (WITH {metrics_sql(k=10).lstrip()}), "
+             f"log AS ({_log_sql(5)} UNION ALL {_log_sql(10)})")
+
+
+@register("run_champion", _LOGS_SQL + """, best AS (
+    SELECT run, step FROM log WHERE kind = 'metric' AND key = 'ndcg' ORDER BY value DESC, step, run LIMIT 1)
+    SELECT run, step, kind, 'champion_' || key AS key, value FROM log JOIN best USING (run, step)""")
+def q_run_champion(spark, sf_dir):
+    """Of two logged evaluations the one of the best NDCG."""
+    return N.champion(q_run_log(spark, sf_dir))
+
+
+@register("saved_knn_recs", KNN_SQL.rstrip().rstrip(",") + "\nSELECT u, i, ROUND(score, 6) AS score, rank FROM recs")
+def q_saved_knn_recs(spark, sf_dir):
+    """Neighbours and history saved as a version, loaded, recommended from."""
+    from ranktide.models import store
+    from ranktide.sources import io as IO
+
+    mf, model = _knn(spark, sf_dir)
+    root = IO.scratch_path(spark, "models")
+    number = store.save(root, "ItemKNN", {"neighbors": model.similar(KNN_NEIGHBORS), "train": mf.train},
+                        {"neighbors": KNN_NEIGHBORS})
+    kept = store.load(spark, root, "ItemKNN", number).tables
+    return K.recommend_for_users(kept["train"], kept["neighbors"], K_EVAL).select("u", "i", r6("score").alias("score"), "rank")
+
+
 # ------------------------------------------------------------------ coded frames for factor models
 @dataclass
 class CodedFrames:

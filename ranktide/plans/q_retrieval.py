@@ -12,6 +12,7 @@ from ranktide.operators import retrieval as R
 from ranktide.plans import sqlfrag as S
 from ranktide.plans.registry import register
 from ranktide.sources import fixtures as fx
+from ranktide.sources import io as IO
 
 SEARCH_K = 5
 VAL_YEAR = 2000
@@ -154,12 +155,16 @@ def q_last_turns(spark, sf_dir):
 
 
 # ------------------------------------------------------------------ O2 / O3
-def _upserted(spark, sf_dir):
+def _crawls(spark, sf_dir):
     meta = fx.metadata(spark, sf_dir)
     v1 = C.rag_chunks(meta).withColumn("version", F.lit(1))
     recrawl = meta.where(F.col("price").isNull()).withColumn("title", F.upper("title"))
     v2 = C.rag_chunks(recrawl).withColumn("version", F.lit(2))
-    return R.upsert_latest(v1, v2, "id")
+    return v1, v2
+
+
+def _upserted(spark, sf_dir):
+    return R.upsert_latest(*_crawls(spark, sf_dir), "id")
 
 
 _UPSERT_SQL = f"""
@@ -184,6 +189,15 @@ def q_upsert_latest(spark, sf_dir):
     return _upserted(spark, sf_dir).select("id", "version", "document", "title")
 
 
+@register("upsert_buckets", _UPSERT_SQL + "SELECT id, version, document, title FROM best")
+def q_upsert_buckets(spark, sf_dir):
+    """The same catalogue kept by bucket: the second crawl rewrites only buckets that it has rows for."""
+    root = IO.scratch_path(spark, "catalogue")
+    for rows in _crawls(spark, sf_dir):
+        R.upsert_buckets(root, rows.select("id", "version", "document", "title"))
+    return R.read_buckets(spark, root)
+
+
 @register("collection_count", _UPSERT_SQL + "SELECT COUNT(*) AS n_documents FROM best")
 def q_collection_count(spark, sf_dir):
     return _upserted(spark, sf_dir).agg(F.count(F.lit(1)).alias("n_documents"))
