@@ -109,7 +109,7 @@ voc AS (SELECT w, row_number() OVER (ORDER BY count(*) DESC, w) - 1 AS id FROM u
 ids AS (SELECT id FROM voc UNION ALL SELECT {v}),
 x AS (SELECT r, doc_id, i, coalesce(id, {v}) AS id FROM u LEFT JOIN voc USING (w)),
 k AS (SELECT r, doc_id, id, coalesce(lag(id) OVER (PARTITION BY r ORDER BY i), -1) AS prev FROM x),
-{model('tg', 'WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)')}
+{model('tg', 'WHERE doc_id IN (SELECT doc_id FROM labels GROUP BY doc_id HAVING bool_or(quality = 1) AND NOT coalesce(bool_or(toxic = 1), FALSE))')}
 {model('bg', '')}
 s AS (SELECT r, count(*) AS n, avg({loss('tg')}) AS tl, avg({loss('bg')}) AS bl
       FROM k LEFT JOIN tg USING (prev, id) LEFT JOIN tgb USING (prev) JOIN tga USING (id)

@@ -37,8 +37,11 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cross-entropy difference of every document; documents labelled as good are the target."""
-    target = read(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    """Cross-entropy difference of every document; documents labelled as good and never as toxic are the
+    target."""
+    target = read(spark, sf_dir, "labels").groupBy("doc_id").agg(
+        F.max(F.col("quality") == 1).alias("good"), F.max(F.col("toxic") == 1).alias("toxic")
+    ).where("good AND NOT coalesce(toxic, FALSE)").select("doc_id")
     out = lm.score(read(spark, sf_dir, "documents").select("doc_id", "text"), target)
     return out.select("doc_id", "n_tokens", *[F.round(c, 6).alias(c) for c in ("target_loss", "background_loss", "difference")])
 
