@@ -445,6 +445,18 @@ def q_als_tuning(spark, sf_dir):
     return tune_als(cf.train, cf.truth, cf.users, n_trials=TUNING_TRIALS)
 
 
+@register("als_halving")
+def q_als_halving(spark, sf_dir):
+    """N3 by successive halving: the same candidates (their iterations are the budget here), survivors go on from their
+    factor tables."""
+    from ranktide.models import halving as H
+    from ranktide.operators.serving import tuning_candidates
+
+    cf = coded_frames(spark, sf_dir)
+    trials = [H.Trial(n, c["rank"], c["reg"]) for n, c in enumerate(tuning_candidates(TUNING_TRIALS))]
+    return H.search(cf.train, cf.truth, cf.users, trials)[0]
+
+
 @register(
     "user_sample_fraction",
     """WITH u AS (SELECT DISTINCT user_id FROM reviews)
