@@ -58,6 +58,20 @@ def in_filter(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (bits[at >> 6] >> (at & 63)) & 1 == 1
 
 
+def set_aside(df: DataFrame, taken: set[str]):
+    """``df`` with its columns of the ``taken`` names (whatever their case) under other names, and a function that gives
+    a result's columns their names back."""
+    used, names = {c.lower() for c in df.columns} | taken, []
+    for c in df.columns:
+        new = c
+        while c.lower() in taken and new.lower() in used:
+            new += "_"
+        used.add(new.lower())
+        names.append(new)
+    back = dict(zip(names, df.columns))
+    return df.toDF(*names), lambda out: out.toDF(*[back.get(c, c) for c in out.columns])
+
+
 def batches(rows, schema: pa.Schema, size: int = 2000):
     """Arrow batches of at most ``size`` of the tuples that ``rows`` yields."""
     part = []

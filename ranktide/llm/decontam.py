@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ranktide.llm.common import bounded_batches
+from ranktide.llm.common import bounded_batches, set_aside
 from ranktide.llm.words import LETTERS, mix, windows, word_hashes
 
 SHINGLE = 5
@@ -175,7 +175,8 @@ def _hits(docs: DataFrame, items: DataFrame, threshold: float, block_bytes: int,
 
 def clean(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that contain no item; all columns stay. A row is told by its doc_id and its text, so others of the
-    same doc_id, or of none, stay."""
+    same doc_id, or of none, stay. Extra columns may have any names."""
+    docs, named = set_aside(docs, {"_hit", "text_key"})
     key = F.sha2("text", 256)
     hit = _hits(docs, items, threshold, BLOCK_BYTES, key).select(F.col("doc_id").alias("_hit"), "text_key").distinct()
-    return docs.join(hit, docs.doc_id.eqNullSafe(F.col("_hit")) & (key == F.col("text_key")), "left_anti")
+    return named(docs.join(hit, docs.doc_id.eqNullSafe(F.col("_hit")) & (key == F.col("text_key")), "left_anti"))

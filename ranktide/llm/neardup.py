@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import AtomicType, BinaryType, StructField, StructType
 
-from ranktide.llm.common import bit_filter, bounded_batches, filter_bit, in_filter, materialise, pack
+from ranktide.llm.common import bit_filter, bounded_batches, filter_bit, in_filter, materialise, pack, set_aside
 from ranktide.llm.graph import components
 from ranktide.llm.words import mix, shingles, word_hashes
 
@@ -443,7 +443,8 @@ def _with_node(docs: DataFrame) -> DataFrame:
 def representatives(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row of each class, all columns, and every row of a null text. It is the one of the smallest doc_id (a null
     one only if there is no other), then of the smallest node, then the first by text and the other columns; other rows
-    of its doc_id, or of none, are in classes of their own."""
+    of its doc_id, or of none, are in classes of their own. Extra columns may have any names."""
+    docs, named = set_aside(docs, {"_node", "_place", "_rep", "_lead"})
     _, reps = _components(docs, threshold, BANDS, ROWS)
     lead = reps.groupBy("component").agg(F.min(F.struct(F.col("rep").isNull().alias("no_id"), "rep", "node")).alias("lead"))
     lead = lead.select(F.col("lead.rep").alias("_rep"), F.col("lead.node").alias("_lead"))
@@ -452,4 +453,4 @@ def representatives(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     order = ["text", *sorted(f.name for f in docs.schema.fields if isinstance(f.dataType, AtomicType) and f.name not in ("doc_id", "text"))]
     place = F.row_number().over(Window.partitionBy("doc_id", "_node").orderBy(*order))
     first = found.withColumn("_place", place).where("_place = 1").select(*docs.columns)
-    return first.unionByName(docs.where("text IS NULL"))
+    return named(first.unionByName(docs.where("text IS NULL")))

@@ -173,10 +173,12 @@ def judge(docs: DataFrame, rules: Rules = Rules(), keep: tuple[str, ...] = ()) -
     ``base_failed``: under ``base_min_words`` words, or over ``base_max_repeat_percent`` of them in repeated triples.
     ``kept``: neither that nor a distance over its limit. A distance is null where the text is too short for it. A
     null text has no words and fails; a null language is held against every reference; repeated rows are judged each;
-    columns not in ``keep`` are ignored; no rows give no rows."""
+    columns not in ``keep`` are ignored, and ``keep`` may not name one of the result's own (ValueError); no rows give no
+    rows."""
     bounded_batches(docs.sparkSession)
     names = [c.split()[0] for c in COLUMNS.split(", ")]
-    assert not set(keep) & {"doc_id", *names}
+    if taken := {c.lower() for c in keep} & {"doc_id", *names}:
+        raise ValueError(f"the result has columns of its own named {sorted(taken)}")
     kept_types = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     table = reference_table(docs.select("lang", "text"), rules)
     n_blocks = max(1, -(-table.where("key = ' words'").count() // rules.block_langs))

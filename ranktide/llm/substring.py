@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ranktide.llm.common import bit_filter, bounded_batches, filter_bit, in_filter, materialise
+from ranktide.llm.common import bit_filter, bounded_batches, filter_bit, in_filter, materialise, set_aside
 from ranktide.llm.words import OTHER_MULTIPLIER, mix, windows, word_hashes
 
 WIDTH = 50
@@ -129,10 +129,14 @@ def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = (), width: int = WID
     whose word sequence also starts in a document with a smaller doc_id; windows are judged on the input. ``text`` is
     the kept words joined by one space. Null texts have no words; a null doc_id is neither smaller than another nor
     has a smaller one; rows that share a doc_id never remove from each other. Columns not named in ``keep`` are
-    ignored. Texts under ``width`` words stay whole; no rows give no rows."""
-    assert not set(keep) & {"doc_id", "text", "n_words", "n_removed"}
+    ignored, and ``keep`` may not name one of the result's own (ValueError). Texts under ``width`` words stay whole; no
+    rows give no rows."""
+    if taken := {c.lower() for c in keep} & {"doc_id", "text", "n_words", "n_removed"}:
+        raise ValueError(f"the result has columns of its own named {sorted(taken)}")
     bounded_batches(docs.sparkSession)
-    tagged = docs.select(F.col("doc_id").cast("long"), "text", *keep).withColumn(
+    docs, named = set_aside(docs.select(F.col("doc_id").cast("long"), "text", *keep), {"tag", "_at", "_places"})
+    keep = tuple(docs.columns[2:])
+    tagged = docs.withColumn(
         "tag", F.expr("xxhash64(text) & 2147483647L"))
     narrow = tagged.select("doc_id", "tag", "text")
     sketch = docs.sparkSession.sparkContext.broadcast(_repeated_cells(narrow, width, cell_bits))
@@ -181,4 +185,4 @@ def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = (), width: int = WID
         return (cut(b, [None] * b.num_rows) for b in (where_marked(b, False) for b in it))
 
     result = f"doc_id long, n_words long, n_removed long, text string{kept_types}"
-    return joined.mapInArrow(cut_marked, result).unionByName(at.mapInArrow(cut_others, result))
+    return named(joined.mapInArrow(cut_marked, result).unionByName(at.mapInArrow(cut_others, result)))
