@@ -203,3 +203,30 @@ def test_profile_in_task_matches_spark_profiles(spark):
     key = lambda d: {(r["u"], r["i"], r["rank"], round(r["score"], 9)) for r in d.collect()}
     assert TF.profile_queries(hist, w)[1] and not TF.profile_queries(hist, w, block_bytes=64)[1]
     assert key(TF.user_scores(hist, w, 4)) == key(TF.user_scores(hist, w, 4, block_bytes=64))
+
+
+def test_sparse_sides_never_pass_the_driver(spark, monkeypatch):
+    """Neither the catalogue nor its blocks are collected or broadcast, and blocks fuse as one table does."""
+    from ranktide.models import hybrid as H
+    from ranktide.models import tfidf as TF
+
+    rng = np.random.default_rng(3)
+    docs = spark.createDataFrame([(f"i{n:02d}", " ".join(rng.choice(list(TERMS), 6))) for n in range(30)] + [("i98", "w1 w2"), ("i99", "w1 w2")],
+                                 "item string, text string")
+    w = TF.tfidf(docs, max_features=200)
+    hist = spark.createDataFrame([(f"u{n}", f"i{rng.integers(0, 30):02d}") for n in range(9) for _ in range(3)], "u string, i string")
+    side = spark.createDataFrame([(f"u{n}", f"i{m:02d}", float(rng.random())) for n in range(9) for m in (2, 5, 99)] + [("u0", "none", 0.5)],
+                                 "u string, i string, score double")
+
+    def refuse(*_, **__):
+        raise AssertionError("the catalogue went through the driver")
+
+    monkeypatch.setattr(type(w), "toArrow", refuse)
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", refuse)
+    want = sorted(H.fuse_grid(side, TF.user_scores(hist, w), (0.0, 0.7, 1.0), 6).select("alpha", "u", "i", "rank").collect())
+    for block_bytes in (1 << 23, 512):
+        got = H.fuse_with_content(side, hist, w, (0.0, 0.7, 1.0), 6, block_bytes=block_bytes)
+        assert sorted(got.select("alpha", "u", "i", "rank").collect()) == want
+
+
+TERMS = tuple(f"w{n}" for n in range(12))
