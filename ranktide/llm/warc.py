@@ -177,6 +177,19 @@ def write(pages: DataFrame, root: str, min_revisit_bytes: int = 0, roll_bytes: i
     return spark.read.schema(MANIFEST).parquet(manifest)
 
 
+class _Counted:
+    """A stream that counts and hashes what is read of it."""
+
+    def __init__(self, raw):
+        self.raw, self.bytes, self.hash = raw, 0, hashlib.sha256()
+
+    def read(self, size: int = -1) -> bytes:
+        data = self.raw.read() if size is None or size < 0 else self.raw.read(size)
+        self.bytes += len(data)
+        self.hash.update(data)
+        return data
+
+
 def records(stream):
     """(headers, block) of each record of an uncompressed WARC stream."""
     while True:
@@ -196,7 +209,8 @@ def records(stream):
 
 def read(manifest: DataFrame, root: str, payload: bool = True) -> DataFrame:
     """The records of the files that ``manifest`` lists: page_id, payload_bytes, payload_digest, record_type,
-    refers_to and, for responses, the payload. Digests are computed again and must be those of the headers."""
+    refers_to and, for responses, the payload. Digests are computed again and must be those of the headers; a file's
+    bytes, their sha256, its number of records and its first and last id must be those of the manifest."""
     kept = READ if payload else READ.removesuffix(", payload binary")
     arrow = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()),
                        ("record_type", pa.string()), ("refers_to", pa.int64())] + [("payload", pa.binary())] * payload)
@@ -216,14 +230,22 @@ def read(manifest: DataFrame, root: str, payload: bool = True) -> DataFrame:
         where, top = fs.FileSystem.from_uri(root)
 
         def rows():
-            for (name,) in each_row(it):
-                with where.open_input_stream(f"{top}/{name}", compression=None) as raw, gzip.GzipFile(fileobj=raw) as f:
-                    for head, block in records(f):
-                        yield one(head, block)
+            for name, *stated in each_row(it):
+                with where.open_input_stream(f"{top}/{name}", compression=None) as raw:
+                    counted = _Counted(raw)
+                    number, first, last = 0, None, None
+                    with gzip.GzipFile(fileobj=counted) as f:
+                        for head, block in records(f):
+                            row = one(head, block)
+                            first, last, number = row[0] if not number else first, row[0], number + 1
+                            yield row
+                if [number, counted.bytes, counted.hash.hexdigest(), first, last] != stated:
+                    raise ValueError(f"{name} is not the file that the manifest lists")
 
         yield from batches(rows(), arrow, 256)
 
     # AQE would fold the few names into one task: the number of tasks follows the archives' bytes
     files, size = manifest.agg(F.count(F.lit(1)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
     tasks = max(1, min(files, math.ceil(size / READ_BYTES)))
-    return manifest.select("file").repartition(tasks, "file").mapInArrow(work, kept)
+    listed = manifest.select("file", "records", "bytes", "sha256", "first_id", "last_id")
+    return listed.repartition(tasks, "file").mapInArrow(work, kept)

@@ -1,6 +1,9 @@
 import os
 from collections import Counter
 
+import pytest
+from pyspark.sql import functions as F
+
 from ranktide.llm import warc
 from ranktide.llm.common import shared_path
 
@@ -84,3 +87,13 @@ def test_null_id_and_empty_table(spark):
     assert {r.page_id: r.record_type for r in back.collect()} == {None: "revisit", 4: "response"}
     _, back, _ = _run(spark, [])
     assert back.collect() == []
+
+
+def test_reading_holds_the_manifest(spark):
+    """A file whose records, bytes, digest or ids are not those that the manifest lists is not read as if it were."""
+    manifest, back, root = _run(spark, [(n, f"http://a/{n}", f"text {n}") for n in range(20)])
+    assert back.count() == 20
+    for column, wrong in (("records", "records + 1"), ("bytes", "bytes - 1"), ("sha256", "upper(sha256)"), ("first_id", "first_id + 1"),
+                          ("last_id", "CAST(NULL AS BIGINT)")):
+        with pytest.raises(Exception, match="manifest lists"):
+            warc.read(manifest.withColumn(column, F.expr(wrong)), root, payload=False).collect()
