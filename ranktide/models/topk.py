@@ -26,7 +26,8 @@ DENSE_TERM_BYTES = 64 * 1024 * 1024   # of a block's terms with many entries
 DENSE_SHARE = 128     # a dense term is in one of so many entries at least
 QUERY_ROWS = 128      # sparse queries of a chunk
 SHARE_ROWS = 32768    # sparse queries of a share
-DENSE_BLOCK_BYTES = 4 * 1024 * 1024
+DENSE_BLOCK_BYTES = 32 * 1024 * 1024
+DENSE_SLICE_BYTES = 4 * 1024 * 1024    # of a block, scored at a time
 ROUND_DIGITS = 9   # scores closer than 1e-9 tie and fall back to the id order
 
 
@@ -93,27 +94,37 @@ def _score_blocks(k: int, metric: str, key_types, exclude_self: bool, with_seen:
                 qids, cids = np.array(row["_q"].as_py()), np.array(row["_c"].as_py())
                 q = np.frombuffer(row["_qv"].as_py()).reshape(len(qids), -1)
                 c = np.frombuffer(row["_cv"].as_py()).reshape(len(cids), -1)
-                score = q @ c.T
-                if metric == "l2":
-                    score *= -2.0
-                    score += np.einsum("ij,ij->i", q, q)[:, None]
-                    score += np.einsum("ij,ij->i", c, c)[None, :]
-                    np.maximum(score, 0.0, out=score)
-                key = np.round(score if metric == "l2" else -score, ROUND_DIGITS)
                 skip = [(np.arange(len(qids)), qids)] if exclude_self else []
                 if with_seen:
                     seen = [x or [] for x in row["_seen"].as_py()]
                     flat = [x for s in seen for x in s]
                     if flat:
                         skip.append((np.repeat(np.arange(len(seen)), [len(s) for s in seen]), np.array(flat)))
-                for which, ids in skip:
-                    at = np.minimum(np.searchsorted(cids, ids), len(cids) - 1)
-                    hit = cids[at] == ids
-                    key[which[hit], at[hit]] = np.inf
-                r, j, rank = best_of_rows(key, k)
+                skip = [(which, np.minimum(np.searchsorted(cids, ids), len(cids) - 1), ids) for which, ids in skip]
+                skip = [(which[cids[at] == ids], at[cids[at] == ids]) for which, at, ids in skip]
+                step, best = max(1, DENSE_SLICE_BYTES // (8 * max(1, c.shape[1]))), []
+                for first in range(0, len(cids), step):
+                    own = c[first: first + step]
+                    score = q @ own.T
+                    if metric == "l2":
+                        score *= -2.0
+                        score += np.einsum("ij,ij->i", q, q)[:, None]
+                        score += np.einsum("ij,ij->i", own, own)[None, :]
+                        np.maximum(score, 0.0, out=score)
+                    key = np.round(score if metric == "l2" else -score, ROUND_DIGITS)
+                    for which, at in skip:
+                        here = (at >= first) & (at < first + len(own))
+                        key[which[here], at[here] - first] = np.inf
+                    r, j, _ = best_of_rows(key, k)
+                    best.append((r, j + first, key[r, j], score[r, j]))
+                r, j, key, score = (np.concatenate(x) for x in zip(*best))
+                order = np.lexsort((j, key, r))
+                rank = np.arange(len(r)) - np.searchsorted(r[order], r[order]) + 1
+                order, rank = order[rank <= k], rank[rank <= k]
+                r, j, score = r[order], j[order], score[order]
                 yield pa.RecordBatch.from_arrays([
                     pa.array(qids[r].tolist(), qtype), pa.array(cids[j].tolist(), ctype),
-                    pa.array(score[r, j], pa.float64()), pa.array(rank, pa.int32())], names=["_qid", "_cid", "score", "rank"])
+                    pa.array(score, pa.float64()), pa.array(rank, pa.int32())], names=["_qid", "_cid", "score", "rank"])
 
     return work
 
@@ -126,11 +137,12 @@ def blocked_topk(queries: DataFrame, catalog: DataFrame, k: int, *, qid: str = "
     ``metric="dot"`` ranks by descending inner product, ``"l2"`` by ascending
     squared Euclidean distance. ``exclude_col`` names an array column of
     catalogue ids to skip per query (seen items). The catalogue is hashed into
-    blocks of about ``block_bytes``; a product has ``query_rows`` times a
-    block's entries."""
+    blocks of about ``block_bytes``, so that each query is shuffled a few times
+    only; a product has ``query_rows`` times the entries of a slice of a block."""
     n_cat, dim = catalog.select(F.count(F.lit(1)), F.max(F.size(vec))).first()
     n_blocks = max(1, math.ceil(int(n_cat or 0) * max(int(dim or 0), 1) * 8 / block_bytes))
-    shares = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # a share of the queries passes a block chunk by chunk, so shares need only keep all cores busy
+    shares = max(1, math.ceil(4 * queries.sparkSession.sparkContext.defaultParallelism / n_blocks))
     types = {f.name: f.dataType for f in queries.schema.fields} | {"_c": catalog.schema[cid].dataType}
     arrow = to_arrow_type(types[qid]), to_arrow_type(types["_c"])
     qt, ct = types[qid].simpleString(), types["_c"].simpleString()

@@ -2,6 +2,7 @@
 clusters, so a working model must beat random ranking."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -230,3 +231,26 @@ def test_sparse_sides_never_pass_the_driver(spark, monkeypatch):
 
 
 TERMS = tuple(f"w{n}" for n in range(12))
+
+
+@pytest.mark.parametrize("metric", ["dot", "l2"])
+def test_blocked_topk_in_slices_copies_little(spark, monkeypatch, metric):
+    """A block scored in slices gives what one product gives, ties by id, and a block is not copied per shuffle partition."""
+    from ranktide.models import topk
+
+    rng = np.random.default_rng(5)
+    c = rng.integers(-2, 3, (60, 3)).astype(float)  # many ties
+    cat = spark.createDataFrame([(n, x.tolist()) for n, x in enumerate(c)], "i int, features array<double>")
+    q = spark.createDataFrame([(n, c[n].tolist()) for n in range(20)], "u int, features array<double>")
+    monkeypatch.setattr(topk, "DENSE_SLICE_BYTES", 7 * 8 * 3, raising=False)
+    scored = topk._score_blocks(4, metric, (pa.int32(), pa.int32()), True, False)
+    ids = [pa.array([list(range(n))], pa.list_(pa.int32())) for n in (20, 60)]
+    met = pa.RecordBatch.from_arrays([ids[0], pa.array([c[:20].tobytes()]), ids[1], pa.array([c.tobytes()])], names=["_q", "_qv", "_c", "_cv"])
+    got = [(a, b, r) for x in scored([met]) for a, b, r in zip(*(x.column(n).to_pylist() for n in ("_qid", "_cid", "rank")))]
+    key = -(c[:20] @ c.T) if metric == "dot" else ((c[:20, None] - c[None]) ** 2).sum(axis=2)
+    want = [(u, i, r + 1) for u in range(20) for r, i in enumerate(sorted((i for i in range(60) if i != u), key=lambda i: (key[u, i], i))[:4])]
+    assert got == want
+    spark.conf.set("spark.sql.shuffle.partitions", "300")
+    plan = topk.blocked_topk(q, cat, 4, metric=metric)._jdf.queryExecution().optimizedPlan().toString()
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert "299" not in plan
