@@ -254,3 +254,30 @@ def test_blocked_topk_in_slices_copies_little(spark, monkeypatch, metric):
     plan = topk.blocked_topk(q, cat, 4, metric=metric)._jdf.queryExecution().optimizedPlan().toString()
     spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert "299" not in plan
+
+
+def test_knn_sums_in_parts_and_keeps_the_nearest(spark, monkeypatch):
+    """A user and an item with a third of all rows, chunks and parts: the nearest neighbours are those of the whole
+    matrix, and only they leave the tasks that sum."""
+    rng = np.random.default_rng(11)
+    a = (rng.random((60, 40)) < 0.15) * rng.integers(1, 4, (60, 40)).astype(float)
+    a[0], a[:, 7] = 1.0, 2.0
+    rows = [(f"u{u:02d}", f"i{i:02d}", float(a[u, i])) for u, i in zip(*np.nonzero(a))]
+    m = spark.createDataFrame(rows + [(None, "i01", 1.0), ("u01", None, 1.0)], "u string, i string, value double")
+    unit = a / np.linalg.norm(a, axis=0)
+    sim, met = unit.T @ unit, (a.T @ a) > 0
+    want = {}
+    for i in range(40):
+        js = sorted((j for j in range(40) if j != i and met[i, j]), key=lambda j: (-round(sim[i, j], 9), j))
+        want |= {(f"i{i:02d}", f"i{j:02d}"): (r + 1, sim[i, j]) for r, j in enumerate(js[:3])}
+    for split, chunk in ((K.SPLIT, 512), (20, 5)):
+        monkeypatch.setattr(K, "SPLIT", split)
+        near = K.item_similarity(m, chunk=chunk, nearest=3)
+        assert split == 20 or near.count() == len(want)
+        got = {(r["item"], r["neighbor"]): (r["rank"], r["sim"]) for r in K.similar_items(near, 3).collect()}
+        assert got.keys() == want.keys()
+        assert all(got[p][0] == want[p][0] and abs(got[p][1] - want[p][1]) < 1e-12 for p in want)
+        whole = K.item_similarity(m, chunk=chunk).collect()
+        assert len(whole) == met.sum() - 40
+        pairs = {(r["i"], r["j"]): r["dot"] for r in K.cooccurrence(m, chunk=chunk).collect()}
+        assert pairs == {(f"i{i:02d}", f"i{j:02d}"): (a.T @ a)[i, j] for i in range(40) for j in range(i + 1, 40) if met[i, j]}
