@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -110,33 +111,58 @@ class KCoreResult:
     rows_per_iteration: list[int]
 
 
+REMOVED_BROADCAST = 500_000   # removed values of a column that are broadcast; more are joined by shuffle
+
+
 def k_core(df: DataFrame, thresholds: dict[str, int], max_iterations: int = 3) -> KCoreResult:
     """Iterative k-core (C4): per pass, in dict order, keep values whose row count
     is strictly greater than the threshold; stop when a pass removes nothing.
 
     Passes run on the distinct key combinations and their row counts, not on
-    the rows: counts are aggregates (map-side combine), the filter is a semi
-    join, and each pass is written to the shared checkpoint folder. The rows
-    themselves are read once more at the end, for the keys that remain.
+    the rows: counts are aggregates (map-side combine), and a pass takes away
+    the rows of the values that it removes. These are few against those that
+    stay, so neither the combinations nor, at the end, the rows (which are kept
+    unless one of their values was ever removed) are shuffled for them while
+    they number at most ``REMOVED_BROADCAST`` a column. Each pass that removes
+    something is written to the shared checkpoint folder.
     """
     cols = require_columns(df, list(thresholds))
     keys = cut_lineage(df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n")))
     before = _rows(keys)
     sizes: list[int] = []
     converged = False
+    removed: dict[str, list[tuple[DataFrame, int]]] = {c: [] for c in cols}
     it = 0
     for it in range(1, max_iterations + 1):
         for col, k in thresholds.items():
-            keep = keys.groupBy(col).agg(F.sum("_n").alias("_s")).where(F.col("_s") > k).select(col)
-            keys = keep_keys(keys, keep, col)
-        keys = cut_lineage(keys)
+            gone = cut_lineage(keys.groupBy(col).agg(F.sum("_n").alias("_s")).where((F.col("_s") <= k) & F.col(col).isNotNull()).select(col))
+            n = gone.count()
+            keys = keys.where(F.col(col).isNotNull())
+            if n:
+                removed[col].append((gone, n))
+                keys = _without(keys, col, [(gone, n)])
         after = _rows(keys)
         sizes.append(after)
         if after == before:
             converged = True
             break
-        before = after
-    return KCoreResult(keep_keys(df, keys.select(*cols), cols), it, converged, sizes)
+        before, keys = after, cut_lineage(keys)
+    if all(sum(n for _, n in r) <= REMOVED_BROADCAST for r in removed.values()):
+        out = df
+        for col in cols:
+            out = _without(out.where(F.col(col).isNotNull()), col, removed[col])
+        out = out.select(*cols, *[c for c in df.columns if c not in cols])
+    else:
+        out = keep_keys(df, keys.select(*cols), cols)
+    return KCoreResult(out, it, converged, sizes)
+
+
+def _without(df: DataFrame, col: str, removed: list[tuple[DataFrame, int]]) -> DataFrame:
+    """Rows of ``df`` whose ``col`` is none of the removed values."""
+    if not removed:
+        return df
+    values = reduce(DataFrame.unionAll, [r for r, _ in removed])
+    return keep_keys(df, F.broadcast(values) if sum(n for _, n in removed) <= REMOVED_BROADCAST else values, col, anti=True)
 
 
 def _rows(keys: DataFrame) -> int:

@@ -1,7 +1,9 @@
 """Spam rules, de-duplication, k-core, top-N: edge cases and properties."""
 
 import datetime as dt
+from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ranktide.operators import interactions as I
@@ -88,3 +90,23 @@ def test_top_n_ties_by_id(spark):
     assert top == ["c", "a"]
     kept = I.filter_top_n_items(_pairs(spark, rows), top_n=2)
     assert {r["parent_asin"] for r in kept.collect()} == {"a", "c"}
+
+
+def test_k_core_takes_away_removed_values(spark, monkeypatch):
+    """Nulls go, rows are not shuffled while few values are removed, and by shuffle the result is the same."""
+    rng = np.random.default_rng(5)
+    rows = [(f"u{u}", f"i{i}") for u, i in zip((60 * rng.random(900) ** 2).astype(int), (40 * rng.random(900) ** 2).astype(int))]
+    df = spark.createDataFrame(rows + [(None, "i0"), ("u0", None), (None, None)] * 30, "user_id string, parent_asin string")
+    few = I.k_core(df, {"user_id": 12, "parent_asin": 14}, 3)
+    assert "hashpartitioning" not in few.df._jdf.queryExecution().toString()
+    left = [r for r in rows + [(None, "i0"), ("u0", None), (None, None)] * 30]
+    for _ in range(3):
+        for at, k in ((0, 12), (1, 14)):
+            n = Counter(r[at] for r in left)
+            left = [r for r in left if r[at] is not None and n[r[at]] > k]
+    got = Counter(map(tuple, few.df.collect()))
+    assert 0 < len(left) < len(rows) and got == Counter(left)
+    monkeypatch.setattr(I, "REMOVED_BROADCAST", 0)
+    many = I.k_core(df, {"user_id": 12, "parent_asin": 14}, 3)
+    assert Counter(map(tuple, many.df.collect())) == got
+    assert (many.iterations, many.converged, many.rows_per_iteration) == (few.iterations, few.converged, few.rows_per_iteration)
