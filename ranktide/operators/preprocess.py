@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ranktide.functions.relational import first_per_key
+from ranktide.functions.relational import first_per_key, keep_keys, reject_complex
 from ranktide.operators import clean as C
 from ranktide.operators import features as G
 from ranktide.operators import interactions as I
@@ -42,14 +42,20 @@ class Prepared:
 
 
 SCALED = ("helpful_vote", "confidence_weight", "final_weight")
+TEXTS = ("title", "text")
 TEXT_KEYS = ("user_id", "parent_asin", "timestamp")
+KEY_BROADCAST = 200_000   # rows whose keys are broadcast to find their texts; more are joined by shuffle
+
+
+def present_rows(reviews: DataFrame, s: Settings) -> DataFrame:
+    """None-like strings as nulls, rows without a required value left out."""
+    return C.remove_missing_values(C.replace_none_strings(reviews, s.none_columns), s.required)
 
 
 def clean_rows(reviews: DataFrame, s: Settings) -> DataFrame:
     """Row-wise cleaning and exact de-duplication."""
-    df = C.replace_none_strings(reviews, s.none_columns)
-    df = C.remove_missing_values(df, s.required)
-    df = C.remove_duplicates(df, [c for c in df.columns if c not in ("title", "text")], order=["title", "text"])
+    df = present_rows(reviews, s)
+    df = C.remove_duplicates(df, [c for c in df.columns if c not in TEXTS], order=TEXTS)
     df = C.handle_outliers(df, ["helpful_vote"])
     return C.filter_text(df, "text", s.min_words, s.max_words)
 
@@ -86,17 +92,23 @@ def preprocess(reviews: DataFrame, meta: DataFrame, s: Settings = Settings()) ->
     """Clean, drop spam, de-duplicate, k-core, top-N, weigh, bind texts, encode, split by time, scale and featurise.
 
     ``timestamp`` and ``rating`` come typed (B8, B9 run at ingest). Everything up to the text binding carries narrow
-    rows. The cleaned rows and the filtered rows are written once, since the spam rules, the k-core, the encoders and
-    the three splits all start from them."""
-    cleaned = cut_lineage(clean_rows(reviews, s))
-    narrow = cleaned.drop("title", "text")
+    rows: texts are read again for the keys that the filters leave, cleaned and bound, so texts of dropped rows are
+    neither shuffled nor written. The cleaned rows and the filtered rows are written once, since the spam rules, the
+    k-core, the encoders and the three splits all start from them."""
+    rows = present_rows(reviews, s)
+    bare = rows.drop(*TEXTS)
+    reject_complex(bare, bare.columns)
+    narrow = cut_lineage(C.handle_outliers(C.remove_duplicates(bare), ["helpful_vote"]))
     df = I.remove_spam(narrow, max_reviews_per_day=s.max_reviews_per_day, min_time_gap=s.min_time_gap)
     df = I.dedup_user_item(df, order=["timestamp", *s.tiebreak])
     df = I.k_core(df, s.k_core, s.k_core_passes).df
     df = I.filter_top_n_items(df, top_n=s.top_n)
     df = G.add_final_weight(G.set_implicit_weight(G.apply_confidence_weight(df)))
     df = G.add_user_segment(df)
-    df = cut_lineage(bind_text(df, cleaned, order=s.tiebreak))
+    df = cut_lineage(df)
+    n = df.count()
+    own = keep_keys(rows, df.select(*TEXT_KEYS).distinct(), list(TEXT_KEYS), bound=n if n <= KEY_BROADCAST else None)
+    df = cut_lineage(bind_text(df, clean_rows(own, s), order=s.tiebreak))
     metadata = active_metadata(meta, df, s)
     df = df.withColumn("user_id_original", F.col("user_id")).withColumn("parent_asin_original", F.col("parent_asin"))
     df, encoders = G.encode_labels(df, ["user_id", "parent_asin"])

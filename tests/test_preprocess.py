@@ -45,3 +45,26 @@ def test_negatives_are_whole_and_unseen(spark):
         assert sorted(r.i for r in rows if r.u == u and r.label == 1) == s
     draws = unseen(np.array([1, 5]), 6, 10_000, 7)
     assert set(draws.tolist()) == {0, 2, 3, 4} and np.bincount(draws)[[0, 2, 3, 4]].min() > 4000
+
+
+def test_texts_of_dropped_rows_are_not_written(spark, monkeypatch):
+    from ranktide.plans import q_prep
+    from tests.conftest import SF
+
+    written, cut = [], P.cut_lineage
+
+    def spy(df):
+        written.append(cut(df))
+        return written[-1]
+
+    monkeypatch.setattr(P, "cut_lineage", spy)
+    want = {}
+    for bound in (P.KEY_BROADCAST, 0):
+        monkeypatch.setattr(P, "KEY_BROADCAST", bound)
+        written.clear()
+        q_prep.prepared(spark, SF)
+        with_text = [df for df in written if "text" in df.columns]
+        assert "text" not in written[0].columns and with_text
+        assert all(df.count() <= written[0].count() for df in with_text)
+        want[bound] = sorted(map(str, with_text[0].select("user_id", "parent_asin", "timestamp", "title", "text").collect()))
+    assert len({str(x) for x in want.values()}) == 1
