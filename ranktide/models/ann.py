@@ -83,18 +83,30 @@ def descend(vectors: np.ndarray, cuts: dict[int, float], tree: int, seed: int, f
     return np.concatenate(rows), np.concatenate(found)
 
 
+def _packed(vector) -> bytes:
+    """A vector's bytes after one that names their kind: floats if these hold it exactly, else doubles."""
+    wide = np.array(vector, np.float64)
+    with np.errstate(over="ignore"):
+        short = wide.astype(np.float32)
+    return b"f" + short.tobytes() if np.array_equal(short, wide) else b"d" + wide.tobytes()
+
+
+def _vector(packed: bytes) -> np.ndarray:
+    return np.frombuffer(packed, np.float32 if packed[:1] == b"f" else np.float64, offset=1).astype(np.float64)
+
+
 def _matrix(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(len(column), -1)
+    return np.stack([_vector(x) for x in column.to_pylist()])
 
 
 def _binary(rows: DataFrame, key: str, vec: str) -> DataFrame:
-    """(key, v): vectors as the bytes of their doubles; rows of no vector are left out."""
+    """(key, v): packed vectors; rows of no vector are left out."""
     kind = rows.schema[key].dataType
 
     def work(it):
         for batch in it:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(
-                [np.array(x, np.float64).tobytes() for x in batch.column(1).to_pylist()], pa.binary())], names=[key, "v"])
+                [_packed(x) for x in batch.column(1).to_pylist()], pa.binary())], names=[key, "v"])
 
     wide = rows.where(f"{vec} IS NOT NULL AND {key} IS NOT NULL").select(key, F.transform(vec, lambda x: x.cast("double")).alias("v"))
     return wide.mapInArrow(work, f"{key} {kind.simpleString()}, v binary")
@@ -122,7 +134,7 @@ def _cut(rows: DataFrame, cuts: DataFrame, seed: int, probes: int) -> DataFrame:
                     continue
                 known = dict(zip(n, batch.column("values")[own[0]].as_py()))
                 level = batch.column("level")[own[0]].as_py()
-                vectors = np.stack([np.frombuffer(blobs[i], np.float64) for i in own])
+                vectors = np.stack([_vector(blobs[i]) for i in own])
                 deeper = level + max(known).bit_length()
                 for r, node in zip(*descend(vectors, known, tree, seed, level, probes)):
                     out.append((ids[own[r]], blobs[own[r]], tree, f"{bucket}/{node}", deeper))
@@ -196,7 +208,7 @@ def vector_ann(queries: DataFrame, catalog: DataFrame, k: int = 5, qid: str = "q
         for batch in it:
             out = []
             for own, held in zip(batch.column("asked").to_pylist(), batch.column("held").to_pylist()):
-                a, b = (np.stack([np.frombuffer(x["v"], np.float64) for x in part]) for part in (own, held))
+                a, b = (np.stack([_vector(x["v"]) for x in part]) for part in (own, held))
                 names = [x["id"] for x in held]
                 for x, q in zip(own, a):
                     d = ((b - q) ** 2).sum(axis=1)

@@ -67,3 +67,10 @@ def test_recall_with_a_crowded_bucket(spark, monkeypatch):
     for q, v in got.items():
         for i, d in v:
             assert d == pytest.approx(((vectors[q] - vectors[i]) ** 2).sum(), rel=1e-9, abs=1e-18)
+
+
+def test_vectors_are_packed_as_short_as_they_can_be():
+    short, wide = np.array([0.5, -3.25, 1e-40]).astype(np.float32), np.array([0.1, 1e300, 2.0])
+    assert len(ann._packed(short.tolist())) == 1 + 12 and len(ann._packed(wide.tolist())) == 1 + 24
+    assert ann._vector(ann._packed(short.tolist())).tolist() == short.astype(float).tolist()
+    assert ann._vector(ann._packed(wide.tolist())).tolist() == wide.tolist()
