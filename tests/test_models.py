@@ -264,7 +264,7 @@ def test_knn_sums_in_parts_and_keeps_the_nearest(spark, monkeypatch):
     a[0], a[:, 7] = 1.0, 2.0
     rows = [(f"u{u:02d}", f"i{i:02d}", float(a[u, i])) for u, i in zip(*np.nonzero(a))]
     m = spark.createDataFrame(rows + [(None, "i01", 1.0), ("u01", None, 1.0)], "u string, i string, value double")
-    unit = a / np.linalg.norm(a, axis=0)
+    unit = a / np.sqrt((a ** 2).sum(axis=0) + (np.arange(40) == 1))   # the row without a user counts in the norm
     sim, met = unit.T @ unit, (a.T @ a) > 0
     want = {}
     for i in range(40):
@@ -281,3 +281,16 @@ def test_knn_sums_in_parts_and_keeps_the_nearest(spark, monkeypatch):
         assert len(whole) == met.sum() - 40
         pairs = {(r["i"], r["j"]): r["dot"] for r in K.cooccurrence(m, chunk=chunk).collect()}
         assert pairs == {(f"i{i:02d}", f"i{j:02d}"): (a.T @ a)[i, j] for i in range(40) for j in range(i + 1, 40) if met[i, j]}
+
+
+def test_floats_are_scored_as_doubles_and_packed_as_floats(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.standard_normal(6).astype(np.float32).tolist()) for i in range(50)]
+    short = spark.createDataFrame(rows, "i int, v array<float>")
+    wide = short.select("i", F.col("v").cast("array<double>").alias("v"))
+    blocks, got = [], []
+    for df in (short, wide):
+        out = blocked_topk(df.withColumnRenamed("i", "u"), df, 4, vec="v", exclude_self=True, block_bytes=50 * 6 * 4)
+        blocks.append("RANGE" in out._jdf.queryExecution().toString() or "Window" in out._jdf.queryExecution().toString())
+        got.append(sorted(map(tuple, out.collect())))
+    assert got[0] == got[1] and blocks == [False, True]   # one block of floats, two of doubles
