@@ -310,9 +310,10 @@ def _components(docs: DataFrame, threshold: float, n_bands: int, n_rows: int) ->
     return signed, reps
 
 
-def _element_counts(near: DataFrame) -> np.ndarray:
+def _element_counts(near: DataFrame, kinds: int = 1, told=None) -> np.ndarray:
     """How many rows of ``near`` hold an element, by a hash of it, up to 255: a table of fixed size (and, by chance, a
-    little more). Tasks send their elements packed, by segment of the table."""
+    little more). Tasks send their elements packed, by segment of the table. An element may be ``kinds`` times its hash
+    and its kind; ``told`` gives a number for each row of counts by kind, where the segments are summed."""
     shift = _COUNT_BITS - _SEGMENT_BITS
     packed = pa.schema([("segment", pa.int32()), ("cells", pa.binary())])
     merged = pa.schema([("segment", pa.int32()), ("counts", pa.binary())])
@@ -320,13 +321,13 @@ def _element_counts(near: DataFrame) -> np.ndarray:
     def send(it):
         def rows(held):
             cells = np.sort(np.concatenate(held))
-            segments, starts = np.unique(cells >> shift, return_index=True)
+            segments, starts = np.unique(cells // (kinds << shift), return_index=True)
             return pack([(int(s), c.tobytes()) for s, c in zip(segments, np.split(cells, starts[1:]))], packed)
 
         held, size = [], 0
         for batch in it:
             for elements in batch.column("apart").to_pylist():
-                held.append((np.array(elements, np.int64) & ((1 << _COUNT_BITS) - 1)).astype(np.int32))
+                held.append((np.array(elements, np.int64) & ((kinds << _COUNT_BITS) - 1)).astype(np.int32))
                 size += len(elements)
             if size > 1 << 20:
                 yield rows(held)
@@ -335,11 +336,11 @@ def _element_counts(near: DataFrame) -> np.ndarray:
             yield rows(held)
 
     def merge(table):
-        segment, counts = table.column("segment")[0].as_py(), np.zeros(1 << shift, np.int64)
+        segment, counts = table.column("segment")[0].as_py(), np.zeros(kinds << shift, np.int64)
         for cells in table.column("cells").to_pylist():
-            counts += np.bincount(np.frombuffer(cells, np.int32) - (segment << shift), minlength=1 << shift)
-        return pa.table([pa.array([segment], pa.int32()), pa.array([np.minimum(counts, 255).astype(np.uint8).tobytes()])],
-                        schema=merged)
+            counts += np.bincount(np.frombuffer(cells, np.int32) - segment * (kinds << shift), minlength=kinds << shift)
+        counts = told(counts.reshape(-1, kinds)) if told else np.minimum(counts, 255)
+        return pa.table([pa.array([segment], pa.int32()), pa.array([counts.astype(np.uint8).tobytes()])], schema=merged)
 
     sent = near.select("apart").mapInArrow(send, "segment int, cells binary")
     rows = sent.groupBy("segment").applyInArrow(merge, "segment int, counts binary").toArrow()
@@ -381,22 +382,44 @@ def _prefixes(tried: DataFrame, threshold: float) -> DataFrame:
                        F.arrays_zip("e", "at").alias("x"))
 
 
+def _meeting(counts: np.ndarray) -> np.ndarray:
+    """For each cell a bit for each kind of node (2 if it asks, and 1 if it is outside its pivot's component) that tells
+    whether such a node can meet another one in it, from the numbers of nodes by kind. One of the two has to ask and
+    one has to be outside, as nodes of one component do not meet."""
+    inside, outside, asks_inside, asks_outside = counts.T
+    return ((asks_outside > 0) | (asks_inside + asks_outside > 0) << 1 | (outside + asks_outside > 0) << 2
+            | (inside + outside + asks_inside + asks_outside > 1) << 3)
+
+
 def _asked_elements(part: DataFrame, level: int) -> DataFrame:
-    """A row for each element of the prefixes in ``part`` that a node asking at this level may hold beside the same pivot:
-    a table of fixed size tells most others, which never become rows. Nodes that asked at a lower level wait for it."""
+    """A row for each element of the prefixes in ``part`` by which a node may meet one of another component beside the
+    same pivot, one of the two asking at this level: a table of fixed size tells most others, which never become rows.
+    Most nodes of a large bucket are in their pivot's component, so they are rows only for what an outside node holds.
+    Places from which not even the node of the smallest s that it may meet lets an overlap be reached are left out.
+    Nodes that asked at a lower level wait for it."""
+    asks = F.col("asks") & (F.col("level") == level)
+    kind = asks.cast("int") * 2 + (F.col("component") != F.col("home")).cast("int")
+    part = part.where(~F.col("asks") | (F.col("level") <= level)).withColumn("kind", kind)
+    low = part.groupBy("p").agg(*[F.min(F.when(F.col("kind") == k, F.col("s"))).alias(f"low{k}") for k in range(4)])
+    least = (F.when(F.col("kind") == 0, F.col("low3")).when(F.col("kind") == 1, F.least("low2", "low3"))
+             .when(F.col("kind") == 2, F.least("low1", "low3")).otherwise(F.least("low0", "low1", "low2", "low3")))
+    last = F.col("differs") + 1 - F.ceil((F.col("s") + least) / 2 - F.lit(_EPSILON))
+    part = part.join(low, "p").withColumn("last", last).where("last IS NOT NULL").withColumn("x", F.filter("x", lambda x: x["at"] <= F.col("last")))
     keys = F.transform("x", lambda x: F.xxhash64("p", x["e"])).alias("key")
-    part = part.where(~F.col("asks") | (F.col("level") <= level)).select(
-        "p", "node", "component", "asks", "level", "differs", "s", keys, F.col("x.e").alias("e"), F.col("x.at").alias("at"))
-    asking = part.where(F.col("asks") & (F.col("level") == level)).select(F.col("key").alias("apart"))
-    shared = part.sparkSession.sparkContext.broadcast(_element_counts(asking) > 0)
+    part = part.where("size(x) > 0").select(
+        "p", "node", "component", "asks", "level", "differs", "s", "kind", keys, F.col("x.e").alias("e"), F.col("x.at").alias("at"))
+    cells = F.transform("key", lambda k: k.bitwiseAND(F.lit((1 << _COUNT_BITS) - 1)) * 4 + F.col("kind"))
+    shared = part.sparkSession.sparkContext.broadcast(_element_counts(part.select(cells.alias("apart")), 4, _meeting))
     each = ("p", "node", "component", "asks", "level", "differs", "s")
 
     def met(it):
         held = shared.value
         for batch in it:
             lists = batch.column("key")
-            hit = held[lists.flatten().to_numpy() & ((1 << _COUNT_BITS) - 1)]
-            row = pa.array(np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy())[hit])
+            row = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy())
+            kinds = batch.column("kind").to_numpy()[row]
+            hit = (held[lists.flatten().to_numpy() & ((1 << _COUNT_BITS) - 1)] >> kinds) & 1 == 1
+            row = pa.array(row[hit])
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c).take(row) for c in each), *(batch.column(c).flatten().filter(pa.array(hit)) for c in ("e", "at"))],
                 names=[*each, "e", "at"])
@@ -412,7 +435,8 @@ def _open_pairs(prefixes: DataFrame, found: DataFrame, level: int) -> DataFrame:
     is one component before the next level asks: so k texts that are linked through each other make about k pairs for
     each of a few texts, not all pairs."""
     part = prefixes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    each = _asked_elements(part, level)
+    homes = prefixes.select("p").distinct().join(found.select(F.col("node").alias("p"), F.col("component").alias("home")), "p", "left")
+    each = _asked_elements(part.join(homes.select("p", F.coalesce("home", "p").alias("home")), "p"), level)
 
     def named(rows: DataFrame, name: str) -> DataFrame:
         return rows.select("p", "e", *[F.col(c).alias(f"{name}_{c}") for c in ("node", "component", "asks", "level", "differs", "s", "at")])

@@ -183,6 +183,27 @@ def test_near_copies_make_few_pairs(spark, monkeypatch):
     assert got == {i: top(i) for i in range(len(rows))}
 
 
+def test_nodes_of_one_component_are_no_rows_for_each_other(spark):
+    """Beside a pivot: nodes of its component that all hold an element, some of which ask, and two outside nodes that
+    hold another one. Only these two can meet."""
+    prefixes = [(b"p", b"in%d" % i, i % 2 == 1, 0, 3, 1.0, [(7, 1)]) for i in range(40)]
+    prefixes += [(b"p", b"out%d" % i, i == 0, 0, 3, 1.0, [(9, 1), (100 + i, 2)]) for i in range(2)]
+    prefixes = spark.createDataFrame(prefixes, "p binary, node binary, asks boolean, level int, differs long, s double, "
+                                               "x array<struct<e: long, at: long>>")
+    found = spark.createDataFrame([(b"in%d" % i, b"a") for i in range(40)] + [(b"p", b"a")], "node binary, component binary")
+    made, materialise = {}, neardup.materialise
+
+    def spy(df, name):
+        made[name] = materialise(df, name)
+        return made[name]
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(neardup, "materialise", spy)
+        pairs = [tuple(map(bytes, r)) for r in neardup._open_pairs(prefixes, found, 0).select("a", "b").collect()]
+    assert pairs == [(b"out0", b"out1")]
+    assert sorted(bytes(r.node) for r in made["asked"].collect()) == [b"out0", b"out1"]
+
+
 def test_empty_table(spark):
     assert neardup.classes(docs(spark, [])).collect() == []
     assert neardup.classes(docs(spark, [(4, None), (4, None)])).collect() == [(4, 4), (4, 4)]
