@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.errors import PySparkException
 
@@ -47,6 +48,20 @@ def test_negatives_are_whole_and_unseen(spark):
     assert set(draws.tolist()) == {0, 2, 3, 4} and np.bincount(draws)[[0, 2, 3, 4]].min() > 4000
 
 
+def test_users_of_a_batch_are_drawn_for_together():
+    import pyarrow as pa
+
+    from ranktide.models import fm
+
+    seen = [[u % 7, 7 + u % 5] for u in range(500)] + [[]]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(501), pa.int32()), pa.array(seen, pa.list_(pa.int32()))], names=["u", "seen"])
+    out = list(fm._tables(20, 3, 42)([batch]))
+    assert len(out) == 1
+    want = [row for u, s in enumerate(seen) for row in
+            [(u, i, 1.0) for i in s] + [(u, i, 0.0) for i in unseen(np.array(s, int), 20, 3, 42 * 0x9E3779B1 + u).tolist()]]
+    assert list(zip(*(c.to_pylist() for c in out[0].columns))) == want
+
+
 def test_texts_of_dropped_rows_are_not_written(spark, monkeypatch):
     from ranktide.plans import q_prep
     from tests.conftest import SF
