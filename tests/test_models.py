@@ -294,3 +294,23 @@ def test_floats_are_scored_as_doubles_and_packed_as_floats(spark):
         blocks.append("RANGE" in out._jdf.queryExecution().toString() or "Window" in out._jdf.queryExecution().toString())
         got.append(sorted(map(tuple, out.collect())))
     assert got[0] == got[1] and blocks == [False, True]   # one block of floats, two of doubles
+
+
+def test_bpr_keeps_no_more_files_for_more_rounds(spark):
+    import os
+    from urllib.parse import urlparse
+
+    from ranktide.models.strata import fit_bpr
+    from ranktide.session import FREED, checkpoint_dir
+
+    folder = urlparse(checkpoint_dir(spark)).path
+    train = spark.createDataFrame([(u, i) for u in range(24) for i in range(30) if (u + i) % 3 == 0], "u int, i int")
+
+    def files(epochs):
+        before = {os.path.join(d, f) for d, _, names in os.walk(folder) for f in names}
+        model = fit_bpr(train, factors=2, epochs=epochs, passes=1, blocks=2)
+        assert len(model.losses) == epochs and model.users.count() == 24 and model.items.count() == 30
+        return len({os.path.join(d, f) for d, _, names in os.walk(folder) for f in names} - before)
+
+    assert files(5) <= files(1) + 4
+    assert spark.conf.get(FREED, "false") == "false"
