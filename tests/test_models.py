@@ -314,3 +314,21 @@ def test_bpr_keeps_no_more_files_for_more_rounds(spark):
 
     assert files(5) <= files(1) + 4
     assert spark.conf.get(FREED, "false") == "false"
+
+
+def test_tfidf_tasks_grow_with_the_texts(spark, monkeypatch):
+    from ranktide.models import tfidf as TF
+
+    docs = [(f"i{n % 45}", " ".join(f"word{(n * 7 + j) % 30}" for j in range(20))) for n in range(50)] + [("none", None), (None, "word1 word2")]
+    docs = spark.createDataFrame(docs, "item string, text string")
+    written, cut = [], TF.cut_lineage
+    monkeypatch.setattr(TF, "cut_lineage", lambda df: written.append(cut(df)) or written[-1])
+    rows = lambda: sorted(((r.item, r.term, r.idx, round(r.weight, 9)) for r in TF.tfidf(docs, max_features=40).collect()), key=str)
+    want = rows()
+    monkeypatch.setattr(TF, "CHARS_PER_TASK", 100)
+    written.clear()
+    assert rows() == want
+    counts = next(df for df in written if "tf" in df.columns)
+    assert counts.rdd.getNumPartitions() > 50
+    places = counts.selectExpr("item", "spark_partition_id() as p").distinct().groupBy("item").count()
+    assert places.where("count > 1").isEmpty() and counts.groupBy("item", "term").count().where("count > 1").isEmpty()
