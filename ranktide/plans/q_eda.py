@@ -8,6 +8,7 @@ from ranktide.functions import text as T
 from ranktide.operators import eda as E
 from ranktide.plans import sqlfrag as S
 from ranktide.plans.registry import register
+from ranktide.session import cut_lineage
 from ranktide.sources import fixtures as fx
 from ranktide.sources import io as IO
 
@@ -74,7 +75,8 @@ def q_describe_features(spark, sf_dir):
     _dist_sql("n_words", f"(SELECT len({S.words('text')}) AS n_words FROM documents)"),
 )
 def q_word_count_distribution(spark, sf_dir):
-    d = fx.table(spark, sf_dir, "documents").select(T.word_count("text").alias("n_words"))
+    # the statistics and the quantiles start from the counts: each text is split once
+    d = cut_lineage(fx.table(spark, sf_dir, "documents").select(T.word_count("text").alias("n_words")))
     return E.distribution(d, "n_words")
 
 

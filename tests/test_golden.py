@@ -103,3 +103,13 @@ def test_user_gap_stats_matches_window_lag(spark):
         gaps = [b - a for a, b in zip(ss, ss[1:])]
         exp = min(gaps) if gaps else None
         assert (got[u] is None and exp is None) or math.isclose(got[u], exp)
+
+
+def test_texts_are_split_once_for_their_distribution(spark):
+    from ranktide.plans import registry
+    from tests.conftest import SF
+
+    registry.load_all()
+    out = registry.QUERIES["word_count_distribution"](spark, SF)
+    assert "documents" not in out._jdf.queryExecution().toString()
+    assert out.first()["count"] == spark.read.parquet(f"{SF}/documents.parquet").where("text IS NOT NULL").count()
