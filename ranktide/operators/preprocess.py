@@ -61,13 +61,21 @@ def clean_rows(reviews: DataFrame, s: Settings) -> DataFrame:
 
 
 def bind_text(df: DataFrame, texts: DataFrame, columns: Sequence[str] = ("title", "text"),
-              order: Sequence[str] = ()) -> DataFrame:
+              order: Sequence[str] = (), library: DataFrame | None = None, ref: str | None = None) -> DataFrame:
     """Late text binding: the texts of (user, item, time), joined after all filters have run on narrow rows. The first
     text under ``order`` (then the columns themselves) counts; rows without one keep nulls. The filtered keys restrict
-    the texts before they are reduced to one per key, so texts of dropped rows are not sorted."""
+    the texts before they are reduced to one per key, so texts of dropped rows are not sorted.
+
+    With a ``library`` (``ref``, columns) the rows of ``texts`` name their text by ``ref`` alone. The first name of each
+    key under ``order`` (then the name) is found without any text, and each text of the library is moved once, not once
+    for every row that names it; of several texts of one name the first by the columns counts."""
     keys = list(TEXT_KEYS)
-    own = texts.select(*keys, *columns, *order).join(df.select(*keys).distinct(), keys, "left_semi")
-    first = first_per_key(own, keys, [*order, *columns]).select(*keys, *columns)
+    if library is not None:
+        named = bind_text(df, texts, (ref,), order)
+        first = first_per_key(library.select(ref, *columns), [ref], columns)
+        return named.join(first, ref, "left").select(*df.columns, *columns)
+    own = texts.select(*keys, *columns, *(c for c in order if c not in columns)).join(df.select(*keys).distinct(), keys, "left_semi")
+    first = first_per_key(own, keys, list(dict.fromkeys([*order, *columns]))).select(*keys, *columns)
     return df.join(first, keys, "left")
 
 

@@ -122,9 +122,10 @@ def q_prepared_metadata(spark, sf_dir):
         SELECT k.*, t.title, length(t.text) AS text_chars FROM k LEFT JOIN t USING (user_id, parent_asin, timestamp)""",
 )
 def q_late_text_binding(spark, sf_dir):
-    r = reviews_with_text(spark, sf_dir)
+    r = fx.reviews(spark, sf_dir)
     keys = r.where("rating >= 4").groupBy(*P.TEXT_KEYS).agg(F.min("rating").alias("rating"))
-    out = P.bind_text(keys, r, order=fx.REVIEW_TIEBREAK)
+    library = fx.review_texts(spark, sf_dir).select(F.col("review_id").alias("l_partkey"), "title", "text")
+    out = P.bind_text(keys, r, order=fx.REVIEW_TIEBREAK, library=library, ref="l_partkey")
     return out.select(*P.TEXT_KEYS, "rating", "title", F.length("text").cast("long").alias("text_chars"))
 
 

@@ -16,6 +16,17 @@ def test_bind_text_takes_the_first_text_of_the_three_keys(spark):
     assert got == {("u1", "a"): ("t1", "y"), ("u1", "b"): (None, None), ("u2", "a"): (None, "z")}
 
 
+def test_bind_text_by_reference_takes_each_text_once(spark):
+    rows = spark.createDataFrame([("u1", "a", 1), ("u1", "b", 1), ("u2", "a", 2), ("u1", "a", 1)], "user_id string, parent_asin string, timestamp int")
+    named = spark.createDataFrame([("u1", "a", 1, 2, 7), ("u1", "a", 1, 1, 8), ("u1", "a", 9, 0, 7), ("u2", "a", 2, 0, 9), ("u1", "b", 1, 0, None)],
+                                  "user_id string, parent_asin string, timestamp int, pos int, ref int")
+    library = spark.createDataFrame([(7, "t7", "x"), (8, "t8", "z"), (8, "t8", "y"), (None, "no", "no")], "ref int, title string, text string")
+    got = sorted(map(tuple, P.bind_text(rows, named, order=["pos"], library=library, ref="ref").collect()))
+    assert got == [("u1", "a", 1, "t8", "y")] * 2 + [("u1", "b", 1, None, None), ("u2", "a", 2, None, None)]
+    texts = named.join(library, "ref", "left")  # as with the texts on every row
+    assert sorted(map(tuple, P.bind_text(rows, texts, order=["pos"]).collect())) == got
+
+
 def test_missing_metadata_fails_the_job(spark):
     rows = spark.createDataFrame([("a",), ("b",)], "parent_asin string")
     meta = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1)], "parent_asin string, x int")
