@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ranktide.functions.relational import dense_index, require_columns, with_group_stats
+from ranktide.session import cut_lineage
 
 # Fixed values that must equal the reference's behaviour.
 SEGMENT_LABELS = ("Light", "Medium", "Heavy")
@@ -17,6 +18,7 @@ TRUSTED_RATING_LITERAL = 3.6   # hard-coded second Trusted condition (D14)
 VERIFIED_WEIGHT = 1.0
 UNVERIFIED_WEIGHT = 0.7
 DEFAULT_USER_VERIFIED_RATIO = 0.5
+HASHED_FROM = 500_000   # values of a mapping; Spark chooses the join of shorter ones
 
 
 # ------------------------------------------------------------------ G1
@@ -24,14 +26,31 @@ def fit_label_codes(df: DataFrame, column: str) -> DataFrame:
     """Mapping ``(value, code)``: codes 0..n-1 in sorted value order (nulls
     excluded). Built with a distributed dense index, never on the driver."""
     values = df.select(F.col(column).alias("value")).where(F.col("value").isNotNull()).distinct()
+    return _coded(values)
+
+
+def _coded(values: DataFrame) -> DataFrame:
     return dense_index(values, [F.col("value").asc()], "code").select("value", F.col("code").cast("int").alias("code"))
 
 
+def fit_all_label_codes(df: DataFrame, columns: Sequence[str]) -> dict[str, DataFrame]:
+    """The mapping of each column. The values of columns of one type are gathered in one pass over ``df``."""
+    types = dict((f.name, f.dataType) for f in df.schema.fields)
+    if len(columns) < 2 or len({types[c] for c in columns}) > 1:
+        return {c: fit_label_codes(df, c) for c in columns}
+    each = F.array(*[F.struct(F.lit(n).alias("n"), F.col(c).alias("value")) for n, c in enumerate(columns)])
+    values = cut_lineage(df.select(F.inline(each)).where(F.col("value").isNotNull()).distinct())
+    return {c: _coded(values.where(F.col("n") == n).select("value")) for n, c in enumerate(columns)}
+
+
 def apply_label_codes(df: DataFrame, column: str, mapping: DataFrame,
                       handle_invalid: str = "error", keep_original: str | None = None) -> DataFrame:
     """Replace ``column`` by its code. Unseen values fail the job
-    (``handle_invalid="error"``) or become null (``"keep_null"``)."""
+    (``handle_invalid="error"``) or become null (``"keep_null"``). A mapping too long for a broadcast is held by parts in
+    the tasks, so that rows need no sort (which spills) to meet their codes."""
     m = mapping.select(F.col("value").alias(column), F.col("code").alias("_code"))
+    if mapping.count() > HASHED_FROM:
+        m = m.hint("shuffle_hash")
     out = df.join(m, column, "left")
     code = F.col("_code")
     if handle_invalid == "error":
@@ -46,14 +65,16 @@ def apply_label_codes(df: DataFrame, column: str, mapping: DataFrame,
     )
 
 
-def encode_labels(df: DataFrame, columns: Sequence[str], encoders: dict | None = None):
-    """Fit (or reuse) mappings for ``columns`` and apply them; returns (df, encoders)."""
+def encode_labels(df: DataFrame, columns: Sequence[str], encoders: dict | None = None,
+                  keep_original: dict[str, str] | None = None):
+    """Fit (or reuse) mappings for ``columns`` and apply them; returns (df, encoders). ``keep_original`` names, by
+    column, further columns at the end for the values that were replaced."""
     require_columns(df, columns)
-    encoders = dict(encoders or {})
+    encoders, kept = dict(encoders or {}), keep_original or {}
+    new = list(dict.fromkeys(c for c in columns if c not in encoders))
+    encoders |= fit_all_label_codes(df, new)
     for c in columns:
-        if c not in encoders:
-            encoders[c] = fit_label_codes(df, c)
-        df = apply_label_codes(df, c, encoders[c])
+        df = apply_label_codes(df, c, encoders[c], keep_original=kept.get(c))
     return df, encoders
 
 

@@ -46,8 +46,7 @@ def q_label_codes(spark, sf_dir):
 )
 def q_encoded_reviews(spark, sf_dir):
     r = _reviews(spark, sf_dir).select(*fx.REVIEW_TIEBREAK, "user_id", "parent_asin")
-    r = r.withColumn("parent_asin_original", F.col("parent_asin"))
-    out, _ = G.encode_labels(r, ["user_id", "parent_asin"])
+    out, _ = G.encode_labels(r, ["user_id", "parent_asin"], keep_original={"parent_asin": "parent_asin_original"})
     return out
 
 

@@ -91,3 +91,19 @@ def test_remove_duplicates_rejects_arrays(spark):
     df = spark.createDataFrame([(["x"],)], "a array<string>")
     with pytest.raises(ValueError):
         C.remove_duplicates(df, ["a"])
+
+
+def test_encoding_keeps_originals_and_sorts_no_rows(spark, monkeypatch):
+    rows = [("u2", "b", 1), ("u1", "a", 2), (None, "c", 3), ("u2", None, 4), ("u2", "b", 1), ("u10", "a", 5)]
+    df = spark.createDataFrame(rows, "u string, i string, x int")
+    for bound in (G.HASHED_FROM, 0):
+        monkeypatch.setattr(G, "HASHED_FROM", bound)
+        out, encoders = G.encode_labels(df, ["u", "i"], keep_original={"i": "i_original"})
+        assert out.columns == ["u", "i", "x", "i_original"]
+        users, items = {"u1": 0, "u10": 1, "u2": 2}, {"a": 0, "b": 1, "c": 2}
+        assert sorted(map(tuple, out.collect()), key=str) == sorted(((users.get(u), items.get(i), x, i) for u, i, x in rows), key=str)
+        assert {r.value: r.code for r in encoders["u"].collect()} == users and encoders["i"].columns == ["value", "code"]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+    mixed = G.encode_labels(df, ["u", "x"])[0]  # columns of different types
+    assert {(r.u, r.x) for r in mixed.collect()} == {(users.get(u), x - 1) for u, _, x in rows}
