@@ -332,3 +332,33 @@ def test_tfidf_tasks_grow_with_the_texts(spark, monkeypatch):
     assert counts.rdd.getNumPartitions() > 50
     places = counts.selectExpr("item", "spark_partition_id() as p").distinct().groupBy("item").count()
     assert places.where("count > 1").isEmpty() and counts.groupBy("item", "term").count().where("count > 1").isEmpty()
+
+
+@pytest.mark.parametrize("kind, scale", [(np.float32, 1.0), (np.float64, 1.0), (np.float64, 1e-9), (np.float64, 1e18), (np.float64, 1e200)])
+def test_products_screened_in_short_floats_are_exact(kind, scale, monkeypatch):
+    """Scores that differ by less than the shorter floats tell, ties by id, vectors too long for them, masked entries."""
+    from ranktide.models import topk
+
+    rng = np.random.default_rng(8)
+    c = rng.standard_normal((300, 16))
+    c[100:] = c[:200] * (1 + rng.integers(-2, 3, (200, 1)) * 1e-8)   # many that floats hold for the same
+    c, q = (c * scale).astype(kind), rng.standard_normal((9, 16)).astype(kind)
+    monkeypatch.setattr(topk, "DENSE_SLICE_BYTES", 37 * 8 * 16)
+    ids = [pa.array([list(range(n))], pa.list_(pa.int32())) for n in (9, 300)]
+    none = [pa.nulls(1, pa.list_(pa.int32())), pa.nulls(1, pa.binary())]
+    seen = [[n, 299 - n] for n in range(9)]
+    lists = pa.list_(pa.list_(pa.int32()))
+    names = ["_q", "_qv", "_c", "_cv", "_seen"]
+    block = pa.RecordBatch.from_arrays([*none, ids[1], pa.array([c.tobytes()]), pa.nulls(1, lists)], names=names)
+    chunk = pa.RecordBatch.from_arrays([ids[0], pa.array([q.tobytes()]), *none, pa.array([seen], lists)], names=names)
+    scored = topk._score_blocks(7, "dot", (pa.int32(), pa.int32()), False, True, (kind, kind))
+    exact = q.astype(np.float64) @ c.astype(np.float64).T
+    for x in scored([block, chunk, chunk]):   # the block comes once
+        got = list(zip(*(x.column(n).to_pylist() for n in ("_qid", "_cid", "rank"))))
+        want = [(u, i, r + 1) for u in range(9) for r, i in enumerate(sorted(
+            (i for i in range(300) if i not in seen[u]), key=lambda i: (round(-exact[u, i], 9), i))[:7])]
+        if scale < 1e10:
+            assert got == want
+        else:   # sums of this size differ in their last places by the order of their terms
+            np.testing.assert_allclose(x.column("score").to_pylist(), [exact[u, i] for u, i, _ in want], rtol=1e-12)
+    assert sum(1 for _ in scored([block, chunk, chunk])) == 2
