@@ -362,3 +362,11 @@ def test_products_screened_in_short_floats_are_exact(kind, scale, monkeypatch):
         else:   # sums of this size differ in their last places by the order of their terms
             np.testing.assert_allclose(x.column("score").to_pylist(), [exact[u, i] for u, i, _ in want], rtol=1e-12)
     assert sum(1 for _ in scored([block, chunk, chunk])) == 2
+
+
+def test_recommendations_start_from_written_neighbours(spark):
+    """What met for the similarities is not shuffled in the job that shuffles the users' candidates."""
+    m = spark.createDataFrame([(f"u{n % 5}", f"i{n * n % 7}", 1.0) for n in range(30)], "u string, i string, value double").distinct()
+    recs = K.ItemKNN(3, 3).fit(m).recommend(2)
+    assert "MapInArrow" not in recs._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(recs.collect()) == sorted(K.recommend_for_users(m, K.ItemKNN(3, 3).fit(m).similar(3), 2).collect())
